@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressgauge.llm import bpe_join, mixing, token_orc
 from pressgauge.llm.jaccard_join import jaccard_components
 
 
@@ -13,14 +14,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> bytes:
+    """A vocabulary file of the installed public tokenizers, read once on the driver and shipped to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as ORC in doc_id order and read back."""
+    return token_orc.encode_and_read_back(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
+def op4_bpe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document by a shuffle of distinct words, and its decoding."""
+    import public_tokenizers
+
+    return bpe_join.digest(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     found = jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3 with at most three passes over a source."""
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_orc": op1_token_orc,
+    "op4_bpe_join": op4_bpe_join,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}

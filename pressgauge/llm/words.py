@@ -140,3 +140,91 @@ def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     at = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values) if values else np.zeros(0), kind))
+
+
+# White space beyond ASCII, as UTF-8: fixed values of the Unicode White_Space property.
+_WIDE_SPACE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_CODES = np.array(sorted(int.from_bytes(c.encode(), "big") for c in _WIDE_SPACE), np.int64)
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space in the Unicode sense."""
+    out = SPACE[data]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        wide = data.astype(np.int64)
+        two = lead[(data[lead] == 0xC2) & (lead + 1 < len(data))]
+        two = two[np.isin((wide[two] << 8) | wide[two + 1], _WIDE_CODES)]
+        three = lead[(data[lead] != 0xC2) & (lead + 2 < len(data))]
+        three = three[np.isin((wide[three] << 16) | (wide[three + 1] << 8) | wide[three + 2], _WIDE_CODES)]
+        for at, length in ((two, 2), (three, 3)):
+            for j in range(length):
+                out[at + j] = True
+    return out
+
+
+def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of pieces that cover all bytes: white space and the word after it; a row's last may be blank."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = white(data)
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    first = first[:-1]
+    first[1:] |= blank[1:] & ~blank[:-1]
+    start = np.flatnonzero(first)
+    return start, np.append(start[1:], len(data)), np.searchsorted(at, start, "right") - 1
+
+
+# Classes for splitting words where every tokenizer rule splits too: 1 ASCII letters and digits, 2 ASCII punctuation
+# other than the apostrophe, 3 anything that needs its neighbours.
+_CLASS = np.full(256, 3, np.uint8)
+for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+    _CLASS[_c] = 1
+for _c in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~":
+    _CLASS[_c] = 2
+
+
+def folded_parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with A-Z folded before ASCII, and start, end, row of word parts cut between ASCII letters and punctuation."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return data, none, none, none
+    plain = np.ones(len(data), bool)
+    plain[:-1] = data[1:] < 0x80
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    plain[:-1] |= cut[1:-1]
+    data = np.where(plain & (data >= 65) & (data <= 90), data | 0x20, data).astype(np.uint8)
+    kind = _CLASS[data]
+    kind[SPACE[data]] = 0
+    inside = kind > 0
+    joined = inside[1:] & inside[:-1] & ~cut[1 : len(data)] & ~((kind[1:] + kind[:-1] == 3) & inside[1:] & inside[:-1])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return data, start, end, np.searchsorted(at, start, "right") - 1
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans, frequent ones first, and for every span its index among them."""
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+    h = hashes(data, start, end) ^ (end - start).astype(np.uint64)
+    _, where, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    raw, a, b = data.tobytes(), start[where[order]].tolist(), end[where[order]].tolist()
+    return [raw[i:j] for i, j in zip(a, b)], rank[inverse]
+
+
+def gather(values: np.ndarray, offset: np.ndarray, length: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """values[offset[i] : offset[i] + length[i]] for every i of ``index``, one after another."""
+    n = length[index]
+    total = int(n.sum())
+    if not total:
+        return values[:0]
+    shift = offset[index] - (np.cumsum(n) - n)
+    return values[np.repeat(shift, n) + np.arange(total)]
