@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe_join, mixing, token_orc
+from pressgauge.llm import bpe_join, maxscore, mixing, prefix_forest, token_orc
 from pressgauge.llm.jaccard_join import jaccard_components
 
 
@@ -27,6 +28,11 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.encode_and_read_back(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op2_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors by integer inner product, for every vector whose id is divisible by 50."""
+    return maxscore.maxscore_top_k(_table(spark, sf_dir, "embeddings"), k=5, is_query=F.col("vec_id") % 50 == 0)
+
+
 def op4_bpe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document by a shuffle of distinct words, and its decoding."""
     import public_tokenizers
@@ -40,6 +46,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty near neighbours by inner product, for every vector whose id is divisible by 20."""
+    return prefix_forest.forest_top_k(_table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3 with at most three passes over a source."""
     return mixing.digest(_table(spark, sf_dir, "documents"))
@@ -47,9 +58,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_maxscore_top_k": op2_maxscore_top_k,
     "op4_bpe_join": op4_bpe_join,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op9_prefix_forest": op9_prefix_forest,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_maxscore_top_k": maxscore.ORACLE,
+    "op10_source_mixing": mixing.ORACLE,
+}
