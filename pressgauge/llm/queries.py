@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe_join, maxscore, mixing, prefix_forest, token_orc
+from pressgauge.llm import bpe_join, langid_gru, maxscore, mixing, prefix_forest, token_orc, toxicity
 from pressgauge.llm.jaccard_join import jaccard_components
 
 
@@ -46,6 +46,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_langid_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; those whose crc32(doc_id) is divisible by 5 are held out."""
+    return langid_gru.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; those whose crc32(doc_id) leaves 1 by 3 are held out."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty near neighbours by inner product, for every vector whose id is divisible by 20."""
     return prefix_forest.forest_top_k(_table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_maxscore_top_k": op2_maxscore_top_k,
     "op4_bpe_join": op4_bpe_join,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_langid_gru": op6_langid_gru,
+    "op7_toxicity": op7_toxicity,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_source_mixing": op10_source_mixing,
 }
