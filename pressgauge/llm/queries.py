@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe_join, langid_gru, maxscore, mixing, prefix_forest, token_orc, toxicity
+from pressgauge.llm import bpe_join, langid_gru, maxscore, mixing, paragraph_dedup, prefix_forest, token_orc, toxicity
 from pressgauge.llm.jaccard_join import jaccard_components
 
 
@@ -56,6 +56,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte spans of lines and passages that repeat, all but the first of each class, over all documents."""
+    return paragraph_dedup.removals(_table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty near neighbours by inner product, for every vector whose id is divisible by 20."""
     return prefix_forest.forest_top_k(_table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_langid_gru": op6_langid_gru,
     "op7_toxicity": op7_toxicity,
+    "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_source_mixing": op10_source_mixing,
 }
