@@ -1,16 +1,77 @@
-"""The training-corpus pipeline: language ID, near duplicates, repeated passages, mixing, tokens."""
+"""The training-corpus pipeline: language ID, near duplicates, repeated passages, mixing, tokens.
+
+Every stage takes the documents that its predecessor kept, with all their columns, and returns documents; the last
+returns a row of token digests per document it was given. A stage is judged on its own input, so copies that the mix
+repeats on purpose are tokenized as often.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pressgauge.llm import bpe_join, langid_gru, mixing, paragraph_dedup
+from pressgauge.llm.jaccard_join import jaccard_components
+from pressgauge.llm.queries import tokenizer_file
+from pressgauge.llm.scratch import cut, small_side
+
+#: Language ID rejects documents without letters and those whose best language holds less than this share.
+LEAST_LANGUAGE_SCORE = 0.35
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID; documents that it rejects go. Rows are told apart by doc_id and text, so repeated rows share a fate."""
+    model = langid_gru.learn(docs, F.lit(True))
+    scored = langid_gru.predict(docs, model)
+    rejected = scored.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select(F.col("doc_id").alias("_rejected")).distinct()
+    rejected = small_side(cut(rejected, "rejected"))
+    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join on five words at 0.8; of each group the document with the smallest doc_id stays."""
+    groups = jaccard_components(docs, k=5, percent=80)
+    dropped = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = small_side(cut(dropped, "dropped"))
+    left = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    # Rows that repeat the doc_id that stays, with the same text, are copies of it.
+    return left.dropDuplicates(["doc_id", "text"])
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: repeated lines and passages are cut out of all documents but the first that holds them."""
+    return paragraph_dedup.dedup_passages(docs, k=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to source weights; a document comes out as often as the mix takes it."""
+    return mixing.emit(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE encoding and decoding, a row per document and copy."""
+    import public_tokenizers
+
+    return bpe_join.digest(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", keep_languages),
+    ("n-gram Jaccard join", one_per_group),
+    ("substring dedup", drop_passages),
+    ("mixing", mix),
+    ("byte-level BPE", tokens),
+]
 
-STAGES: list = []
+#: The network of the first stage cannot be written in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES one after another over ``documents``."""
+    """STAGES one after another over ``documents``, each written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, "stage")
     return docs
