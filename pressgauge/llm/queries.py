@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe_join, langid_gru, maxscore, mixing, paragraph_dedup, prefix_forest, token_orc, toxicity
+from pressgauge.llm import bpe_join, langid_gru, maxscore, mixing, paragraph_dedup, prefix_forest, token_orc, toxicity, warc
 from pressgauge.llm.jaccard_join import jaccard_components
 
 
@@ -33,6 +33,11 @@ def op2_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.maxscore_top_k(_table(spark, sf_dir, "embeddings"), k=5, is_query=F.col("vec_id") % 50 == 0)
 
 
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back by the salvage reader."""
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document by a shuffle of distinct words, and its decoding."""
     import public_tokenizers
@@ -74,6 +79,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_maxscore_top_k": op2_maxscore_top_k,
+    "op3_warc_salvage": op3_warc_salvage,
     "op4_bpe_join": op4_bpe_join,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_langid_gru": op6_langid_gru,
@@ -85,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_maxscore_top_k": maxscore.ORACLE,
+    "op3_warc_salvage": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
