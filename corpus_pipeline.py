@@ -34,8 +34,8 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     dropped = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
     dropped = small_side(cut(dropped, "dropped"))
     left = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
-    # Rows that repeat the doc_id that stays, with the same text, are copies of it.
-    return left.dropDuplicates(["doc_id", "text"])
+    # Rows that repeat the doc_id that stays, with the same text, are copies of it; texts are shuffled only if there are any.
+    return left if groups.groupBy("doc_id").count().where("count > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
