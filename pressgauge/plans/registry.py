@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pressgauge.plans import analytics, operations, stories
+from pressgauge.plans import analytics, operations, stories, texts
 
-MODULES = (analytics, stories, operations)
+MODULES = (analytics, stories, operations, texts)
 
 
 def queries() -> dict:
