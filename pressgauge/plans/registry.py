@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pressgauge.plans import analytics, operations, stories, texts
+from pressgauge.sources import feeds
+from pressgauge.streaming import micro_batch
 
-MODULES = (analytics, stories, operations, texts)
+MODULES = (analytics, stories, operations, texts, feeds, micro_batch)
 
 
 def queries() -> dict:
