@@ -99,22 +99,26 @@ def _pack(block: int, ids: list[pa.Array], texts: list[pa.Array], find, buckets:
             offset = np.cumsum(length) - length
             flow.append(W.gather(np.array(found, np.uint32), offset, length, index))
             counts.append(np.bincount(row, weights=length[index], minlength=len(at) - 1).astype(np.int64))
+    sequence = np.concatenate(flow) if flow else np.zeros(0, np.uint32)
+    # Indices by falling frequency are small numbers, which compress best.
+    often = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[often] = np.arange(len(words), dtype=np.uint32)
     listed = list(words)
+    listed = [listed[i] for i in often.tolist()]
     bucket = np.zeros(0, np.int64)
     if listed:
         data = np.frombuffer(b"".join(listed), np.uint8)
         end = np.cumsum([len(w) for w in listed])
         bucket = (W.hashes(data, np.concatenate(([0], end[:-1])), end) % np.uint64(buckets)).astype(np.int64)
-    # Words in bucket order, so that the ids coming back, in bucket order too, match them.
+    # Words leave, and their ids come back, in bucket order; the block keeps which index each of them has.
     order = np.argsort(bucket, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
     doc_ids = pa.concat_arrays(ids)
     known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
     keys = doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes() + known.astype(np.uint8).tobytes()
-    sequence = np.concatenate(flow) if flow else np.zeros(0, np.uint32)
-    pieces = [pa.compress(keys, "zstd", asbytes=True), _press(np.concatenate(counts) if counts else np.zeros(0)), _press(place[sequence] if len(listed) else sequence)]
-    yield block, -1, 0, len(doc_ids), len(pieces[0]).to_bytes(8, "little") + len(pieces[1]).to_bytes(8, "little") + b"".join(pieces)
+    steps = np.diff(order, prepend=0) % (1 << 32)
+    pieces = [pa.compress(keys, "zstd", asbytes=True), _press(np.concatenate(counts) if counts else np.zeros(0)), _press(steps), _press(rank[sequence])]
+    yield block, -1, 0, len(doc_ids), len(pieces[0]).to_bytes(8, "little") + b"".join(pieces)
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     for b in np.unique(bucket).tolist():
         some = [listed[i] for i in order[cuts[b] : cuts[b + 1]]]
@@ -188,12 +192,17 @@ def _assembled(docs: DataFrame, ranks: bytes, pattern: str, digests: bool) -> Da
     def assemble(group: pa.Table) -> pa.Table:
         data, bucket, kind = (group.column(c).to_pylist() for c in ("data", "bucket", "kind"))
         whole = data[kind.index(0)]
-        a, b = int.from_bytes(whole[:8], "little"), int.from_bytes(whole[8:16], "little")
+        at = 8 + int.from_bytes(whole[:8], "little")
         rows = group.column("n").to_pylist()[kind.index(0)]
-        keys = pa.decompress(whole[16 : 16 + a], 9 * rows, "zstd", asbytes=True)
+        keys = pa.decompress(whole[8:at], 9 * rows, "zstd", asbytes=True)
         doc_ids = pa.array(np.frombuffer(keys[: 8 * rows], "<i8"), mask=np.frombuffer(keys[8 * rows :], np.uint8) == 0)
-        counts = _unpress(whole[16 + a : 16 + a + b]).astype(np.int64)
-        sequence = _unpress(whole[16 + a + b :])
+        parts = []
+        for _ in range(3):
+            size = _pressed_size(whole[at : at + 16])
+            parts.append(_unpress(whole[at : at + size]))
+            at += size
+        counts, sequence = parts[0].astype(np.int64), parts[2]
+        order = np.cumsum(parts[1].astype(np.int64)) % (1 << 32)
         lengths, values = [], []
         for _, raw in sorted((bu, d) for bu, k, d in zip(bucket, kind, data) if k):
             half = _pressed_size(raw)
@@ -202,6 +211,9 @@ def _assembled(docs: DataFrame, ranks: bytes, pattern: str, digests: bool) -> Da
         length = np.concatenate(lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
         value = np.concatenate(values) if values else np.zeros(0, np.uint32)
         offset = np.cumsum(length) - length
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        length, offset = length[back], offset[back]
         out = {"doc_id": doc_ids}
         sizes, hashes, decoded, ids = [], [], [], []
         at = np.concatenate(([0], np.cumsum(counts)))
@@ -216,10 +228,10 @@ def _assembled(docs: DataFrame, ranks: bytes, pattern: str, digests: bool) -> Da
             if digests:
                 raw = got.tobytes()
                 text, where, width = token_bytes()
-                back = W.gather(text, where, width, got).tobytes()
+                plain = W.gather(text, where, width, got).tobytes()
                 m = np.concatenate(([0], np.cumsum(width[got])))[n]
                 hashes += [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(n.tolist(), n[1:].tolist())]
-                decoded += [hashlib.sha256(back[i:j]).hexdigest() for i, j in zip(m.tolist(), m[1:].tolist())]
+                decoded += [hashlib.sha256(plain[i:j]).hexdigest() for i, j in zip(m.tolist(), m[1:].tolist())]
             else:
                 ids += [got[i:j].view(np.int32) for i, j in zip(n.tolist(), n[1:].tolist())]
             row = to
