@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pressgauge.functions import clean as C
 from pressgauge.functions import text as T
 from pressgauge.operators import clustering, dedup, entities
 from pressgauge.plans.bindings import event_articles
@@ -181,3 +182,70 @@ def entity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF weights of titles and beginnings of texts."""
     return clustering.vectors(clustering.terms(titles(spark, sf_dir).select("doc_id", "title", "text"))).select("doc_id", "term", F.round("w", 6).alias("weight"))
+
+
+@query("n1_clean_text")
+def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of pages without markup, and its excerpt."""
+    text = C.clean_text(F.col("html"))
+    return read_table(spark, sf_dir, "pages").select("page_id", text.alias("text")).select("page_id", F.length("text").alias("characters"), C.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(
+    "n9_resolved_times",
+    """WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS seen, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 1000 WHEN 2 THEN CAST(floor(epoch(ts)) AS BIGINT) + 700 ELSE CAST(floor(epoch(ts)) AS BIGINT) - 60 END AS parsed FROM events),
+    j AS (SELECT *, CASE WHEN parsed IS NULL THEN 'missing' WHEN parsed < 946684800 THEN 'too_old' WHEN parsed > seen + 600 THEN 'in_future' END AS issue FROM e)
+    SELECT event_id, CASE WHEN issue IS NULL THEN parsed ELSE seen END AS published, issue IS NOT NULL AS estimated, issue FROM j""",
+)
+def resolved_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publication times with implausible ones replaced."""
+    e = event_articles(spark, sf_dir, hidden=True).select(F.col("id").alias("event_id"), F.col("epoch").alias("seen"))
+    k = F.col("event_id") % 5
+    e = e.withColumn("parsed", F.when(k == 0, F.lit(None)).when(k == 1, F.lit(1000)).when(k == 2, F.col("seen") + 700).otherwise(F.col("seen") - 60))
+    at, estimated, issue = C.resolved_time(F.col("parsed"), F.col("seen"))
+    return e.select("event_id", at.alias("published"), estimated.alias("estimated"), issue.alias("issue"))
+
+
+@query(
+    "n10_item_keys",
+    f"""WITH {_TITLES} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'g' || doc_id WHEN doc_id % 3 = 1 THEN md5('link' || doc_id) ELSE md5(title || '|' || epoch) END AS item_key FROM titles""",
+)
+def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item's identity: its own id, else its link, else title and time."""
+    i, own = F.col("doc_id"), F.col("doc_id").cast("string")
+    guid = F.when(i % 3 == 0, F.concat(F.lit("g"), own))
+    link = F.when(i % 3 == 1, F.md5(F.concat(F.lit("link"), own).cast("binary")))
+    last = F.md5(F.concat_ws("|", "title", F.col("epoch").cast("string")).cast("binary"))
+    return titles(spark, sf_dir).select("doc_id", F.coalesce(guid, link, last).alias("item_key"))
+
+
+@query(
+    "n25_rule_entities",
+    r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS name FROM documents",
+)
+def rule_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of capitalised words of every text."""
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.explode(names).alias("name"))
+
+
+@query(
+    "n35_quota_pacing",
+    "SELECT user_id, count(*) AS used, greatest(ceil(greatest(100 - count(*), 0)::DOUBLE / greatest(user_id % 7, 1)), 1)::BIGINT AS next_run FROM events GROUP BY 1",
+)
+def quota_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls per outlet that the next run may make."""
+    n = event_articles(spark, sf_dir, hidden=True).groupBy(F.col("source_id").alias("user_id")).agg(F.count(F.lit(1)).alias("used"))
+    return n.select("user_id", "used", C.quota_per_run(F.col("used"), F.lit(100), F.col("user_id") % 7).cast("long").alias("next_run"))
+
+
+@query("d10_representatives")
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member of every multi-item story that is most like the others, the earliest on ties."""
+    items = titles(spark, sf_dir).select("doc_id", "title", "text", "epoch")
+    pairs = clustering.similar_pairs(items)
+    story = clustering.cluster_components(items)
+    both = pairs.select("a", "similarity").unionByName(pairs.select(F.col("b").alias("a"), "similarity"))
+    near = both.groupBy(F.col("a").alias("doc_id")).agg(F.round(F.sum("similarity"), 6).alias("s"), F.count(F.lit(1)).alias("n"))
+    joined = story.join(near, "doc_id")
+    return joined.groupBy("story").agg(F.count(F.lit(1)).alias("members"), F.max_by("doc_id", F.struct("s", -F.col("doc_id"))).alias("representative"))

@@ -84,3 +84,17 @@ def test_feeds_survive_syntax_errors(spark, tmp_path):
     rows = {(r.file.rpartition("/")[2], r.title): r for r in feeds.read_feeds(spark, str(tmp_path)).collect()}
     assert set(rows) == {("ok.xml", "A"), ("cut.xml", "A"), ("atom.xml", "C")}
     assert rows["ok.xml", "A"].image == "http://e/i.png" and rows["cut.xml", "A"].malformed and rows["atom.xml", "C"].link == "http://e/c"
+
+
+def test_clean_text():
+    from pressgauge.functions.clean import clean
+
+    assert clean("<p>Caf\u00c3\u00a9 &amp; bar</p>\u200b<script>x<y</script>  e\u0301") == "Caf\u00e9 & bar \u00e9"
+    assert clean(None) is None and clean("") == ""
+
+
+def test_excerpt(spark):
+    from pressgauge.functions.clean import excerpt
+
+    got = spark.createDataFrame([("short",), ("word " * 100,), ("x" * 400,)], "t string").select(excerpt(F.col("t"), 50)).collect()
+    assert [r[0] for r in got] == ["short", " ".join(["word"] * 9) + "\u2026", "x" * 50 + "\u2026"]
