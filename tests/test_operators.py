@@ -97,4 +97,4 @@ def test_excerpt(spark):
     from pressgauge.functions.clean import excerpt
 
     got = spark.createDataFrame([("short",), ("word " * 100,), ("x" * 400,)], "t string").select(excerpt(F.col("t"), 50)).collect()
-    assert [r[0] for r in got] == ["short", " ".join(["word"] * 9) + "\u2026", "x" * 50 + "\u2026"]
+    assert [r[0] for r in got] == ["short", " ".join(["word"] * 10) + "\u2026", "x" * 50 + "\u2026"]
