@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressgauge.llm.scratch import cut, small_side
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,12 +59,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def mixed(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """``docs`` with _mix_size, _mix_source_size, _mix_target and _mix_copies (how often the mix takes the row)."""
     sized = docs.withColumn("_mix_size", word_count(F.col("text").cast("string"))).withColumn("_mix_key", F.col("source").cast("string"))
-    totals = sized.groupBy(F.col("_mix_key").alias("_mix_source")).agg(F.sum("_mix_size").alias("source_size"))
+    # One row per source, written once: its count decides whether it can be sent to the documents, whose texts then
+    # need no shuffle.
+    totals = cut(sized.groupBy(F.col("_mix_key").alias("_mix_source")).agg(F.sum("_mix_size").alias("source_size")), "sources")
     plan = targets(totals, weights, most).select("_mix_source", F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
     rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return (
-        sized.join(plan, F.col("_mix_key").eqNullSafe(F.col("_mix_source")))
+        sized.join(small_side(plan, totals), F.col("_mix_key").eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_copies", F.least(copies, F.lit(most)).cast("int"))
         .drop("_mix_key", "_mix_source")
     )
