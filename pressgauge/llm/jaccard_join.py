@@ -79,16 +79,9 @@ def node_sizes(docs: DataFrame, k: int) -> DataFrame:
 
 def frequency_levels(sized: DataFrame) -> bytes:
     """A byte per counter, growing with the logarithm of its total; a fixed 2**SKETCH_BITS bytes."""
-    rows = (
-        sized.where("n = -1")
-        .select(F.posexplode("counts").alias("i", "c"))
-        .groupBy("i")
-        .agg(F.sum("c").alias("c"))
-        .collect()
-    )
+    rows = sized.where("n = -1").select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).toArrow()
     total = np.zeros(1 << SKETCH_BITS)
-    for r in rows:
-        total[r.i] = r.c
+    total[rows.column("i").to_numpy()] = rows.column("c").to_numpy()
     return np.floor(3 * np.log2(total + 1)).astype(np.uint8).tobytes()
 
 
@@ -162,12 +155,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         most = F.least(n - p, m - q)
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def fetch(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = small_side(wanted.join(first_doc, "node").select(F.col("first_doc").alias("wanted_id")).distinct(), pairs)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-        sets = full_sets(texts, k, percent, levels)
+        return full_sets(texts, k, percent, levels)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets = fetch(pairs)
         a = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("items", "second", "third")])
         b = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("items", "second", "third")])
         both = pairs.join(a, "a").join(b, "b")
@@ -175,7 +171,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         common = F.size(F.array_intersect("a_items", "b_items")).cast("long")
         return both.where(common * 100 >= (F.size("a_items") + F.size("b_items") - common) * percent).select("a", "b").distinct()
 
-    labels = link(members, ["n", "pos"], pair_ok, verify)
+    labels = link(members, ["n", "pos"], pair_ok, verify, fetch, percent)
     classes = first_doc.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = classes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = cut(classes.join(lowest, "component").select("node", "component_id"), "classes")

@@ -1,22 +1,37 @@
-"""Connected components of a similarity graph whose edges are found bucket by bucket, without all pairs of a bucket.
+"""Connected components of a set-similarity graph, found key by key without all pairs of a key.
 
-``members`` holds a row for every (key, node): nodes that share a key may be linked. In each round every key names one
-hub, every other node of the key is a candidate partner of that hub, and the candidates are verified exactly. Nodes
-already in one component need no further edge, so keys whose nodes all lie in one component are finished. Once few
-pairs of different components are left, those are all verified. No pair that could join two components is skipped.
+``members`` holds a row for every (key, node): nodes that share a key may be linked. The first round names a hub per
+key; every other node of the key is a candidate partner of that hub, and candidates are verified exactly. Nodes already
+in one component need no further edge, so keys whose nodes all lie in one component are finished. Of the others, small
+keys have all their pairs verified. Large ones are groups of near copies, and are settled by families:
+
+A large key names a few hubs. A family is a hub and the nodes of its keys that are somewhat similar to it. Its reference is the set of items that
+most of the family hold, and every node is known by its differences from the reference. For nodes x and y the
+symmetric difference has |x| + |y| - 2 * (shared) differences, so with the slack
+S = (100 - percent) * size - (100 + percent) * differences two nodes are linked for certain if S(x) + S(y) >= 0, and
+otherwise only if they share differences. The node with the most slack is linked to all it can be for certain; other
+pairs must share one of their rarest differences, and are then decided exactly from the differences. Any partner of a
+node close to the hub belongs to the family, by the triangle inequality of the Jaccard distance, so such nodes have met
+all they can be linked to under those keys and leave them.
+
+No pair that could join two components is skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.llm.scratch import cut
 
-#: Hub rounds before the pairs left between components are verified whatever their number.
+#: Rounds before the pairs left between components are verified whatever their number.
 ROUNDS = 8
+#: Keys with at most so many members have all their pairs verified.
+SMALL = 8
+#: Hubs that a large key names at a time; every member of the key meets each of them.
+HUBS = 4
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -41,63 +56,101 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the families of (key, node), and the (key, node) that have met all their partners."""
+    first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node"))["node"]
+    named = members.groupBy("key").agg(F.array_distinct(F.array(*[first(i) for i in range(HUBS)])).alias("h"))
+    hubs = cut(named.select("key", F.explode("h").alias("hub")), "hubs")
+    placed = members.join(hubs, "key").select("key", "node", "hub")
+    pairs = cut(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "family-pairs")
+    sets = fetch(pairs).select("node", "items")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    apart = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
+    sized = both.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.size("x").cast("long").alias("hub_n"), F.size("y").cast("long").alias("n"), apart.alias("d"))
+    sized = sized.withColumn("common", (F.col("n") + F.col("hub_n") - F.size("d")) / 2)
+    union = F.col("n") + F.col("hub_n") - F.col("common")
+    # Within distance 1/2 of the hub; close ones are nearer by the distance that a link may have.
+    ring = sized.where(F.col("common") * 2 >= union).withColumn("close", F.col("common") * 100 >= (150 - percent) * union)
+    ring = cut(ring.select("hub", "hub_n", "node", "n", "d", "close").dropDuplicates(["hub", "node"]), "ring")
+    own = ring.select("hub", F.col("hub_n").alias("n")).distinct().select("hub", F.col("hub").alias("node"), "n", F.array().cast("array<long>").alias("d"), F.lit(True).alias("close"))
+    ring = ring.drop("hub_n").unionByName(own)
+    many = ring.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    often = ring.select("hub", F.explode("d").alias("item")).groupBy("hub", "item").agg(F.count(F.lit(1)).alias("c")).join(many, "hub").where(F.col("c") * 2 > F.col("m"))
+    # Items on which most of the family differ from the hub: at most twice as many as a node has differences.
+    flipped = often.groupBy("hub").agg(F.collect_list("item").alias("f"))
+    known = ring.join(flipped, "hub", "left").withColumn("f", F.coalesce("f", F.array().cast("array<long>")))
+    known = known.select("hub", "node", "n", "close", F.concat(F.array_except("d", "f"), F.array_except("f", "d")).alias("e"))
+    known = cut(known.withColumn("slack", F.col("n") * (100 - percent) - F.size("e") * (100 + percent)), "family")
+    best = known.groupBy("hub").agg(F.max(F.struct("slack", "node")).alias("best"))
+    known = known.join(best, "hub").withColumn("certain", F.col("slack") + F.col("best.slack") >= 0)
+    certain = known.where("certain and node <> best.node").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
+
+    items = known.select("hub", "node", "certain", F.size("e").alias("k"), (F.col("slack") + F.col("best.slack")).alias("over"), F.explode("e").alias("item"))
+    count = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("c"), F.bool_and("certain").alias("sure"))
+    need = F.greatest(F.lit(1), F.ceil(-F.col("over") / (2.0 * (100 + percent))))
+    rare = Window.partitionBy("hub", "node").orderBy("c", "item")
+    # Items that one node holds come first and cannot be shared; those whose holders all are linked already add nothing.
+    leading = items.join(count, ["hub", "item"]).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("k") - need + 1)
+    leading = cut(leading.where("c > 1 and not sure").select("hub", "item", "node", "certain"), "leading")
+    x, y = (leading.select("hub", "item", F.col("node").alias(c), F.col("certain").alias(f"{c}_certain")) for c in ("a", "b"))
+    near = x.join(y, ["hub", "item"]).where("a < b and not (a_certain and b_certain)").select("hub", "a", "b").distinct()
+    side = lambda c: known.select("hub", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("e").alias(f"{c}_e"))
+    met = near.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    differ = F.size("a_e") + F.size("b_e") - 2 * F.size(F.array_intersect("a_e", "b_e"))
+    shared = met.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
+    done = placed.join(known.where("close").select("hub", "node"), ["hub", "node"]).select("key", "node")
+    done = done.unionByName(hubs.select("key", F.col("hub").alias("node"))).distinct()
+    return certain.unionByName(shared).distinct(), done
+
+
 def link(
     members: DataFrame,
     carried: list[str],
     pair_ok: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame],
+    percent: int,
 ) -> DataFrame:
     """(node, component) for the nodes that have a link; other nodes are components of their own.
 
     ``members`` has key, node and the columns ``carried``, is already restricted to keys with two nodes or more, and is
     read several times. ``pair_ok(a, b)`` is a necessary condition on two members of a key, given their column prefixes.
-    ``verify`` takes distinct pairs (a, b) with a < b and returns those that are linked.
+    ``verify`` takes distinct pairs (a, b) with a < b and returns those that are linked; ``fetch`` returns the sets
+    (node, items) of all nodes of pairs (a, b).
     """
-    spark = members.sparkSession
-    links, labels, tried = None, None, []
-    for turn in range(ROUNDS + 1):
-        here = members
-        if labels is not None:
-            here = here.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            here = here.withColumn("component", F.col("node"))
-        if turn:
-            open_keys = (
-                here.groupBy("key")
-                .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-                .where("lo <> hi")
-                .select("key", "m")
-            )
-            open_keys = cut(open_keys, "keys")
-            # Twice the pairs that a full check of the open keys would look at, against the size of one more hub round.
-            left, pairs = open_keys.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1))).first()
-            if not left:
-                break
-            here = here.join(open_keys.select("key"), "key")
-            last = turn == ROUNDS or pairs <= 8 * left
-        else:
-            last = False
-        left_side = here.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", *carried)])
-        if last:
-            right_side = here.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "component", *carried)])
-            distinct_nodes = F.col("x_node") < F.col("y_node")
-        else:
-            order = F.xxhash64("node", F.lit(turn))
-            hub = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component", *carried)).alias("h"))
-            right_side = hub.select("key", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("node", "component", *carried)])
-            distinct_nodes = F.col("x_node") != F.col("y_node")
-        near = left_side.join(right_side, "key").where(distinct_nodes & (F.col("x_component") != F.col("y_component")) & pair_ok("x_", "y_"))
-        pairs_now = near.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        for old in tried:
-            pairs_now = pairs_now.join(old, ["a", "b"], "left_anti")
-        pairs_now = cut(pairs_now, "pairs")
-        tried.append(pairs_now)
-        found = cut(verify(pairs_now), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = cut(components(links), "labels")
-        if last:
+    def sides(here: DataFrame, prefix: str) -> DataFrame:
+        return here.select("key", *[F.col(c).alias(f"{prefix}{c}") for c in ("node", "component", *carried)])
+
+    def checked(near: DataFrame) -> DataFrame:
+        near = near.where((F.col("x_component") != F.col("y_component")) & pair_ok("x_", "y_"))
+        return verify(cut(near.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs"))
+
+    start = members.withColumn("component", F.col("node"))
+    hub = start.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node", "component", *carried)).alias("h"))
+    first = hub.select("key", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("node", "component", *carried)])
+    links = cut(checked(sides(start, "x_").join(first, "key")), "links")
+    labels = cut(components(links), "labels")
+    members = members.join(hub.select("key", F.col("h.node").alias("node")), ["key", "node"], "left_anti")
+    for turn in range(1, ROUNDS + 1):
+        here = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spread = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+        here = cut(here.join(spread.select("key", "m"), "key"), "open")
+        if here.isEmpty():
+            break
+        small = F.lit(True) if turn == ROUNDS else F.col("m") <= SMALL
+        few = here.where(small).drop("m")
+        found = checked(sides(few, "x_").join(sides(few, "y_"), "key").where("x_node < y_node"))
+        large = here.where(~small)
+        more = not large.isEmpty()
+        if more:
+            kin, done = families(large.select("key", "node"), turn, fetch, percent)
+            found = found.unionByName(kin)
+            members = cut(large.drop("m", "component").join(done, ["key", "node"], "left_anti"), "members")
+        found = cut(found, "links")
+        if not found.isEmpty():
+            # Components so far stand for the links that made them.
+            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+            labels = cut(components(links), "labels")
+        if not more:
             break
-        # The hub of a key has now met every other node of that key.
-        hub_keys = hub.select("key", F.col("h.node").alias("node"))
-        members = cut(members.join(hub_keys, ["key", "node"], "left_anti"), "members") if turn + 1 < ROUNDS else members
-    return labels if labels is not None else spark.createDataFrame([], "node long, component long")
+    return labels

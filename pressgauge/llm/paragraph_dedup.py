@@ -173,17 +173,19 @@ def _near_lines(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def any_pair(x: str, y: str) -> Column:
         return F.lit(True)
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def fetch(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         ids = small_side(wanted.join(nodes, "digest").select(F.col("first.doc_id").alias("wanted_id")).distinct(), pairs)
         texts = _slim(docs)
-        texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-        sets = line_sets(texts, k)
+        return line_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), k)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets = fetch(pairs)
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
-    labels = link(members, ["n"], any_pair, verify)
+    labels = link(members, ["n"], any_pair, verify, fetch, percent)
     named = nodes.join(labels, nodes["digest"] == labels["node"], "left").select("digest", "first", "n", F.coalesce("component", "digest").alias("class_id"))
     kept = named.groupBy("class_id").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     classes = cut(named.join(kept.select("class_id", "keep"), "class_id").select("digest", "class_id", "keep"), "line-classes")

@@ -239,3 +239,21 @@ def test_near_lines_are_found(spark):
     docs = spark.createDataFrame([(1, " ".join(base)), (2, "Intro\n" + " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     found = {(r.doc_id, r.keep_doc_id) for r in paragraph_dedup.removals(docs).collect() if r.kind == "line"}
     assert found == {(2, 1)}
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_large_groups_of_near_copies_equal_brute_force(spark, k, percent):
+    """Groups with a variant that many share and edits that some share, so that families have to decide."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for group in range(2):
+        base = [f"g{group}w{rng.randint(0, 10**6)}" for _ in range(150)]
+        variant = [f"v{group}{j}" if 20 <= j < 26 else w for j, w in enumerate(base)]
+        for _ in range(60):
+            text = list(base if rng.random() < 0.6 else variant)
+            for _ in range(rng.randint(0, 12)):
+                text[rng.randrange(150)] = f"e{rng.randint(0, 10**7) if rng.random() < 0.7 else rng.randint(0, 40)}"
+            rows.append((len(rows), " ".join(text)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, k, percent))
