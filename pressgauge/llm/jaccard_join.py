@@ -171,7 +171,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         common = F.size(F.array_intersect("a_items", "b_items")).cast("long")
         return both.where(common * 100 >= (F.size("a_items") + F.size("b_items") - common) * percent).select("a", "b").distinct()
 
-    labels = link(members, ["n", "pos"], pair_ok, verify, fetch, percent)
+    labels = link(members, ["n", "pos"], pair_ok, verify, fetch, percent, sized_by="n")
     classes = first_doc.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = classes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = cut(classes.join(lowest, "component").select("node", "component_id"), "classes")

@@ -31,7 +31,7 @@ ROUNDS = 8
 #: Keys with at most so many members have all their pairs verified.
 SMALL = 8
 #: Hubs that a large key names at a time; every member of the key meets each of them.
-HUBS = 4
+HUBS = 2
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -56,12 +56,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links within the families of (key, node), and the (key, node) that have met all their partners."""
-    first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node"))["node"]
+def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFrame], percent: int, sized_by: str | None) -> tuple[DataFrame, DataFrame]:
+    """Links within the families of (key, node), and the (key, node) that have met all their partners.
+
+    Where column ``sized_by`` holds the sizes of the sets, a node of less than half or more than twice the hub's size is
+    no member of its family and is left out before any set is fetched.
+    """
+    size = F.col(sized_by).cast("long") if sized_by else F.lit(1).cast("long")
+    members = members.select("key", "node", size.alias("s"))
+    first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node", "s"))
     named = members.groupBy("key").agg(F.array_distinct(F.array(*[first(i) for i in range(HUBS)])).alias("h"))
-    hubs = cut(named.select("key", F.explode("h").alias("hub")), "hubs")
-    placed = members.join(hubs, "key").select("key", "node", "hub")
+    hubs = cut(named.select("key", F.explode("h").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.s").alias("hub_s")).distinct(), "hubs")
+    near = F.least("s", "hub_s") * 2 >= F.greatest("s", "hub_s")
+    placed = members.join(hubs, "key").where(near).select("key", "node", "hub")
     pairs = cut(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "family-pairs")
     sets = fetch(pairs).select("node", "items")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
@@ -110,6 +117,7 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     percent: int,
+    sized_by: str | None = None,
 ) -> DataFrame:
     """(node, component) for the nodes that have a link; other nodes are components of their own.
 
@@ -143,7 +151,7 @@ def link(
         large = here.where(~small)
         more = not large.isEmpty()
         if more:
-            kin, done = families(large.select("key", "node"), turn, fetch, percent)
+            kin, done = families(large, turn, fetch, percent, sized_by)
             found = found.unionByName(kin)
             members = cut(large.drop("m", "component").join(done, ["key", "node"], "left_anti"), "members")
         found = cut(found, "links")
