@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.llm import bpe_join, langid_gru, mixing, paragraph_dedup
-from pressgauge.llm.jaccard_join import jaccard_components
+from pressgauge.llm.jaccard_join import jaccard_rows, text_hash
 from pressgauge.llm.queries import tokenizer_file
 from pressgauge.llm.scratch import cut, small_side
 
@@ -20,22 +20,29 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID; documents that it rejects go. Rows are told apart by doc_id and text, so repeated rows share a fate."""
-    model = langid_gru.learn(docs, F.lit(True))
-    scored = langid_gru.predict(docs, model)
-    rejected = scored.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select(F.col("doc_id").alias("_rejected")).distinct()
-    rejected = small_side(cut(rejected, "rejected"))
-    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+    """Language ID; documents that it rejects go. The decision stays with its row, so ids may repeat or be null."""
+    return langid_gru.certain(docs, langid_gru.learn(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five words at 0.8; of each group the document with the smallest doc_id stays."""
-    groups = jaccard_components(docs, k=5, percent=80)
-    dropped = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = small_side(cut(dropped, "dropped"))
-    left = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
-    # Rows that repeat the doc_id that stays, with the same text, are copies of it; texts are shuffled only if there are any.
-    return left if groups.groupBy("doc_id").count().where("count > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """N-gram Jaccard join on five words at 0.8; of each group one row stays, that with the smallest doc_id, null last.
+
+    Rows are told apart by doc_id and text; documents without words are in no group and all stay.
+    """
+    texts = jaccard_rows(docs, k=5, percent=80).where("group is not null").groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    texts = cut(texts, "group-texts")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = texts.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("texts"))
+    # Texts that go, and those of which a single row stays; all other rows are read past this list.
+    open_ = texts.join(first.where("texts > 1"), "group", "left").withColumn("goes", F.col("first").isNotNull() & (order != F.col("first")))
+    listed = open_.where("goes or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), F.col("goes").alias("_goes"))
+    listed = small_side(cut(listed, "dropped"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_text"))
+    marked = docs.join(listed, same, "left")
+    single = marked.where(F.col("_goes").isNull()).select(*docs.columns)
+    repeated = marked.where(~F.col("_goes")).select(*docs.columns)
+    # Texts are shuffled only if a row that stays has copies of itself.
+    return single if listed.where("not _goes").isEmpty() else single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,12 +45,17 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def text_hash() -> Column:
+    """Tells texts apart where rows repeat a doc_id or have none."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def node_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n, counts): a row per document, and per task a row with n = -1 and its shingle counters."""
+    """(doc_id, text_hash, node, n, counts): a row per document, and per task a row with n = -1 and its shingle counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.list_(pa.int32()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.list_(pa.int32()))])
         for batch in batches:
             node, size = [], []
             for _, data, at in W.chunks(batch.column("text")):
@@ -63,6 +68,7 @@ def node_sizes(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(np.array(node, np.uint64).view(np.int64), mask=n == 0),
                     pa.array(n),
                     pa.nulls(len(n), pa.list_(pa.int32())),
@@ -70,11 +76,11 @@ def node_sizes(docs: DataFrame, k: int) -> DataFrame:
                 schema=schema,
             )
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([counts], pa.list_(pa.int32()))], schema=schema
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([counts], pa.list_(pa.int32()))], schema=schema
         )
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, node long, n long, counts array<int>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    return slim.mapInArrow(run, "doc_id long, text_hash long, node long, n long, counts array<int>")
 
 
 def frequency_levels(sized: DataFrame) -> bytes:
@@ -140,10 +146,15 @@ def full_sets(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) for every row; component_id is the smallest doc_id reachable by links."""
+    return jaccard_rows(docs, k, percent).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+def jaccard_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``jaccard_components`` with each row's text_hash and its group, a node, which is null for the empty set."""
     spark = docs.sparkSession
     sized = cut(node_sizes(docs, k), "sizes")
     levels = spark.sparkContext.broadcast(frequency_levels(sized))
-    rows = sized.where("n >= 0").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    rows = sized.where("n >= 0").select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
     first_doc = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
 
     tokens = prefixes(docs, k, percent, levels)
@@ -174,10 +185,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     labels = link(members, ["n", "pos"], pair_ok, verify, fetch, percent, sized_by="n")
     classes = first_doc.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = classes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = cut(classes.join(lowest, "component").select("node", "component_id"), "classes")
+    named = cut(classes.join(lowest, "component").select("node", "component_id", "component"), "classes")
     return rows.join(named, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("node").alias("set_id"),
+        "text_hash",
+        F.col("component").alias("group"),
     )

@@ -191,34 +191,51 @@ def word_evidence(model: ByteGru, parts: list[bytes]) -> tuple[np.ndarray, np.nd
     return total, n
 
 
+def _scores(gru: ByteGru | None, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, languages and shares of every chunk of a column of texts."""
+    for row, data, at in W.chunks(column, 16 << 20):
+        rows = len(at) - 1
+        names, score = np.full(rows, "und", object), np.zeros(rows)
+        data, start, end, of = W.folded_parts(data, at)
+        parts, index = W.distinct(data, start, end)
+        if gru is not None and parts:
+            evidence, n = word_evidence(gru, parts)
+            letters = np.array([any(c.isalpha() for c in p.decode()) for p in parts])
+            known = np.bincount(of, weights=letters[index], minlength=rows) > 0
+            mean = np.stack([np.bincount(of, weights=evidence[index, k], minlength=rows) for k in range(evidence.shape[1])], axis=1)
+            mean /= np.maximum(np.bincount(of, weights=n[index], minlength=rows), 1)[:, None]
+            e = np.exp(mean - mean.max(axis=1, keepdims=True))
+            share = e / e.sum(axis=1, keepdims=True)
+            best = share.argmax(axis=1)
+            names = np.where(known, np.array(gru.languages, object)[best], "und")
+            score = np.where(known, share[np.arange(rows), best], 0.0)
+        yield row, names, score
+
+
 def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gru = shared.value
         for batch in batches:
-            for row, data, at in W.chunks(batch.column("text"), 16 << 20):
-                rows = len(at) - 1
-                names, score = np.full(rows, "und", object), np.zeros(rows)
-                data, start, end, of = W.folded_parts(data, at)
-                parts, index = W.distinct(data, start, end)
-                if gru is not None and parts:
-                    evidence, n = word_evidence(gru, parts)
-                    letters = np.array([any(c.isalpha() for c in p.decode()) for p in parts])
-                    known = np.bincount(of, weights=letters[index], minlength=rows) > 0
-                    mean = np.stack([np.bincount(of, weights=evidence[index, k], minlength=rows) for k in range(evidence.shape[1])], axis=1)
-                    mean /= np.maximum(np.bincount(of, weights=n[index], minlength=rows), 1)[:, None]
-                    e = np.exp(mean - mean.max(axis=1, keepdims=True))
-                    share = e / e.sum(axis=1, keepdims=True)
-                    best = share.argmax(axis=1)
-                    names = np.where(known, np.array(gru.languages, object)[best], "und")
-                    score = np.where(known, share[np.arange(rows), best], 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            for row, names, score in _scores(shared.value, batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(names)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def certain(docs: DataFrame, model: ByteGru | None, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has letters and whose best language holds ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, names, score in _scores(shared.value, batch.column("text")):
+                yield batch.slice(row, len(names)).filter(pa.array((names != "und") & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); documents of the held-out fold are never learned from."""
     model = learn(docs, ~held_out(F.col("doc_id"), folds, fold))

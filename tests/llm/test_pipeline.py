@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from pressgauge.llm import mixing
+from tests.llm.conftest import SCHEMA, prose
 from tests.llm.test_text_operators import brute_components, repeated_windows
 
 
@@ -36,3 +37,32 @@ def test_stages_on_an_empty_table(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def with_ids(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), n, "k", n, n, 1.0, "e", "a", "b", 0.5, 0) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+
+
+def test_rejected_rows_take_no_others_of_their_id(spark):
+    """Null and repeated ids whose rows differ: a row's fate is its own."""
+    clean = [(None, prose(50 + i, 40)) for i in range(4)] + [(3, prose(60 + i, 40)) for i in range(3)]
+    docs = with_ids(spark, clean + [(None, None), (None, "123 !"), (3, " "), (3, "456")])
+    kept = corpus_pipeline.keep_languages(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(clean)
+
+
+def test_one_row_per_group_whatever_its_ids(spark):
+    """A null-id copy takes no other null-id row with it, and near copies of one id or of none leave one row."""
+    words = prose(70, 120).split()
+    near = " ".join([*words[:60], "changed", *words[61:]])
+    alone = [prose(80 + i, 60) for i in range(4)]
+    only_null, one_id = prose(90, 120).split(), prose(91, 120).split()
+    edit = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    rows = [(1, " ".join(words)), (None, " ".join(words)), (None, near), (None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3])]
+    rows += [(None, " ".join(only_null)), (None, edit(only_null)), (9, " ".join(one_id)), (9, edit(one_id)), (9, edit(one_id)), (7, " ".join(words)), (12, None), (12, "")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_per_group(spark, with_ids(spark, rows), "").collect())
+    assert got == Counter(got.keys())
+    fixed = {(1, " ".join(words)), (None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (12, None), (12, "")}
+    assert fixed <= set(got) and len(got) == len(fixed) + 2
+    assert sum(i is None and t in (" ".join(only_null), edit(only_null)) for i, t in got) == 1
+    assert sum(i == 9 for i, _ in got) == 1
