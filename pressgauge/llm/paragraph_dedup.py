@@ -2,11 +2,15 @@
 
 Paragraphs come in two kinds. Lines of ``MIN_WORDS`` words or more are compared as sets of word shingles: MinHash
 bands, tuned for high recall at the wanted similarity, deal lines to keys; lines that collide are verified by their
-exact Jaccard similarity and joined to components. As a repeated passage may start and end anywhere in a line, every
-text is also cut into stretches at words whose hash is the smallest among their neighbours. Such cuts depend on the
-words around them alone, so a passage is cut alike wherever it stands. Stretches are a few words long, where a
-similarity of 0.8 leaves no room for a different shingle, so their band is the whole sequence; neighbouring repeated
-stretches of ``MIN_RUN`` words or more together are a repeated passage.
+exact Jaccard similarity and joined to components.
+
+A passage may start and end anywhere in a line, so every run of ``MIN_RUN`` words that stood earlier goes, and with it
+any longer passage. Two passes find all of them. The first picks seeds by winnowing: of every ``MIN_RUN - SEED + 1``
+neighbouring ``SEED``-word shingles that with the least hash, so that texts which share ``MIN_RUN`` words share a seed
+there. The second takes the texts with seeds that repeat and compares, by their digests, all windows of ``MIN_RUN``
+words around those seeds. As a passage of similarity 0.8 or more over ``SEED``-word shingles has an unchanged run of
+``MIN_RUN`` words at least, every near copy is met as well; changed words between two removed runs go with them if the
+passage kept has the two runs in the same order and the similarity over both is high enough.
 
 In every class the occurrence with the smallest doc_id, then position, stays and the others are removals.
 
@@ -31,10 +35,10 @@ from pressgauge.llm.linking import link
 from pressgauge.llm.scratch import cut, small_side
 
 MIN_WORDS, MIN_RUN = 30, 20
-#: Bands and rows: two lines of similarity 0.8 collide with probability 1 - (1 - 0.8**3)**6 = 0.986, of 0.9 with 0.9996.
-BANDS, ROWS = 6, 3
-#: A stretch ends before a word whose hash is the least among so many on both sides.
-NEIGHBOURS = 5
+#: Bands and rows: two lines of similarity 0.8 collide with probability 1 - (1 - 0.8**3)**20 = 0.9999994.
+BANDS, ROWS = 20, 3
+#: Words of a seed shingle.
+SEED = 5
 
 _SEEDS = np.random.default_rng(23).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,20 +69,37 @@ class Text:
         keep = stop - new >= least
         return new[keep], stop[keep]
 
-    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-plus-one word of every content-defined stretch; they cover all words."""
-        n = len(self.h)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        g, least = W.mix(self.h ^ np.uint64(0x5BD1E995)), np.ones(n, bool)
-        for d in range(1, min(NEIGHBOURS, n - 1) + 1):
-            same = self.row[d:] == self.row[:-d]
-            least[:-d] &= (g[:-d] <= g[d:]) | ~same
-            least[d:] &= (g[d:] < g[:-d]) | ~same
-        least[0] = True
-        least[1:] |= self.row[1:] != self.row[:-1]
-        new = np.flatnonzero(least)
-        return new, np.append(new[1:], n)
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the seeds and their hashes; equal runs of ``MIN_RUN`` words have an equal seed at the same place."""
+        g, w = W.shingles(self.h, SEED), MIN_RUN - SEED + 1
+        # Shingles over a row's end lose to all others; they are never in a window that lies in one row.
+        g[self.row[: len(g)] != self.row[SEED - 1 :][: len(g)]] = np.uint64(2**64 - 1)
+        m = len(g) - w + 1
+        if m <= 0:
+            return np.zeros(0, np.int64), g[:0]
+        least = g[:m].copy()
+        for j in range(1, w):
+            np.minimum(least, g[j : j + m], out=least)
+        # A shingle is picked if it is the least of a window that holds it and lies in its row.
+        last = self.row[MIN_RUN - 1 :][:m]
+        least = np.where(self.row[:m] == last, least, np.uint64(0))
+        most = np.zeros(len(g), np.uint64)
+        for j in range(w):
+            np.maximum(most[j : j + m], least, out=most[j : j + m])
+        at = np.flatnonzero(most == g)
+        return at, g[at]
+
+    def windows(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words and digests of all runs of ``MIN_RUN`` words that hold one of the seeds, each inside one row."""
+        m = max(0, len(self.h) - MIN_RUN + 1)
+        wanted = np.zeros(len(self.h) + 1, np.int64)
+        np.add.at(wanted, np.maximum(seeds - (MIN_RUN - SEED), 0), 1)
+        np.add.at(wanted, seeds + 1, -1)
+        at = np.flatnonzero((np.cumsum(wanted)[:m] > 0) & (self.row[:m] == self.row[MIN_RUN - 1 :][:m]))
+        digest = np.zeros(len(at), np.uint64)
+        for j in range(MIN_RUN):
+            digest = W.mix(digest * np.uint64(0x9E3779B97F4A7C15) + self.h[at + j])
+        return at, digest
 
     def sets(self, lines: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[np.ndarray]:
         sh = W.shingles(self.h, k)
@@ -123,27 +144,46 @@ def line_units(docs: DataFrame, k: int) -> DataFrame:
     return _slim(docs).mapInArrow(run, f"{UNIT}, bands array<long>")
 
 
-def stretch_units(docs: DataFrame) -> DataFrame:
-    """Content-defined stretches with their number in the text and a digest of their words."""
+def seed_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, word, seed) of every seed; ``word`` is its place in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, at in W.chunks(batch.column("text")):
+                text = Text(data, at)
+                word, seed = text.seeds()
+                row = text.row[word]
+                rows = pa.array(row + first)
+                place = (word - text.first[row]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(place), pa.array(seed.view(np.int64))], names=["doc_id", "text_hash", "word", "seed"]
+                )
+
+    return _slim(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, word int, seed long")
+
+
+def window_units(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc_id, text_id, word, start, end, digest) of the runs of ``MIN_RUN`` words around the ``seeds`` of (doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, at in W.chunks(batch.column("text")):
                 text = Text(data, at)
-                cuts = text.stretches()
-                row, start, end, n = _spans(text, cuts)
-                # Digests of word sequences: position-weighted sums of the word hashes.
-                place = np.arange(len(text.h)) - np.repeat(cuts[0], n)
-                value = W.mix(text.h * np.uint64(5) + place.astype(np.uint64))
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
-                digest = W.mix(total[cuts[1]] - total[cuts[0]] + n.astype(np.uint64))
-                number = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
+                some = batch.column("seeds").slice(first, len(at) - 1)
+                seeds = some.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                seeds += np.repeat(text.first[:-1], pc.list_value_length(some).to_numpy(zero_copy_only=False))
+                word, digest = text.windows(seeds)
+                row, start, end, _ = _spans(text, (word, word + MIN_RUN))
+                place = (word - text.first[row]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row + first)), pa.array(text.text_ids()[row]), pa.array(start), pa.array(end), pa.array(n), pa.array(digest.view(np.int64)), pa.array(number)],
-                    names=["doc_id", "text_id", "start", "end", "n_words", "digest", "number"],
+                    [batch.column("doc_id").take(pa.array(row + first)), pa.array(text.text_ids()[row]), pa.array(place), pa.array(start), pa.array(end), pa.array(digest.view(np.int64))],
+                    names=["doc_id", "text_id", "word", "start", "end", "digest"],
                 )
 
-    return _slim(docs).mapInArrow(run, f"{UNIT}, number int")
+    lists = small_side(lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), limit=100_000)
+    rows = _slim(docs)
+    rows = rows.join(lists, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("doc_id", "text", "seeds")
+    return rows.mapInArrow(run, "doc_id long, text_id int, word int, start int, end int, digest long")
 
 
 def line_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -162,7 +202,7 @@ def line_sets(docs: DataFrame, k: int) -> DataFrame:
 def _near_lines(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Removals among long lines."""
     units = cut(line_units(docs, k), "lines")
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "text_id", "start")
     nodes = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     bands = units.select(F.explode("bands").alias("key"), F.col("digest").alias("node"), F.col("n_words").alias("n"))
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
@@ -189,32 +229,53 @@ def _near_lines(docs: DataFrame, k: int, percent: int) -> DataFrame:
     named = nodes.join(labels, nodes["digest"] == labels["node"], "left").select("digest", "first", "n", F.coalesce("component", "digest").alias("class_id"))
     kept = named.groupBy("class_id").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     classes = cut(named.join(kept.select("class_id", "keep"), "class_id").select("digest", "class_id", "keep"), "line-classes")
-    found = units.join(classes, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))))
+    found = units.join(classes, "digest").where(~place.eqNullSafe(F.col("keep")))
     return found.select("doc_id", "text_id", "start", "end", "n_words", F.lit("line").alias("kind"), "class_id", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
 
 
-def _repeated_runs(docs: DataFrame) -> DataFrame:
-    """Removals of passages made of repeated stretches."""
-    units = cut(stretch_units(docs), "stretches")
-    repeated = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("keep")).where("n > 1").drop("n")
-    again = units.join(repeated, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("start") == F.col("keep.start"))))
-    again = again.select("doc_id", "text_id", "number", "start", "end", "n_words", "digest", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
-    # A window over the repeated stretches of one text.
-    order = Window.partitionBy("doc_id", "text_id").orderBy("number")
-    runs = again.withColumn("run", F.col("number") - F.row_number().over(order)).groupBy("doc_id", "text_id", "run")
-    found = runs.agg(
+def _repeated_runs(docs: DataFrame, percent: int) -> DataFrame:
+    """Removals of passages that stood earlier word for word, and of changed words between two of them."""
+    seeds = cut(seed_units(docs), "seeds")
+    twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
+    lists = seeds.join(twice, "seed", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("word").alias("seeds"))
+    windows = cut(window_units(docs, cut(lists, "seed-lists")), "windows")
+    place = F.struct("doc_id", "text_id", "word", "end")
+    first = windows.groupBy("digest").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, "digest").where(~place.eqNullSafe(F.col("keep")))
+    # Windows over one text: neighbours that stand in the same way in the text that keeps them are one run.
+    # Rows that repeat doc_id and text give every window twice, which the same rule joins.
+    text = Window.partitionBy("doc_id", "text_id").orderBy("word")
+    again = again.withColumn("shift", F.col("keep.word") - F.col("word")).withColumn("from", F.struct("keep.doc_id", "keep.text_id"))
+    joined = F.lag("from").over(text).eqNullSafe(F.col("from")) & (F.lag("shift").over(text) == F.col("shift")) & (F.lag("word").over(text) >= F.col("word") - 1)
+    again = again.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(text))
+    runs = again.groupBy("doc_id", "text_id", "run").agg(
+        F.min("word").alias("word"),
+        (F.max("word") + MIN_RUN).alias("stop"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.sum("n_words").cast("int").alias("n_words"),
-        F.min_by("digest", "start").alias("class_id"),
-        F.min_by("keep_doc_id", "start").alias("keep_doc_id"),
-    ).where(F.col("n_words") >= MIN_RUN)
-    return found.select("doc_id", "text_id", "start", "end", "n_words", F.lit("passage").alias("kind"), "class_id", "keep_doc_id")
+        F.min("shift").alias("shift"),
+        F.min_by("digest", "word").alias("class_id"),
+        F.min_by("from", "word").alias("from"),
+        F.min("keep.end").alias("keep_end"),
+    )
+    own = F.col("from").eqNullSafe(F.struct("doc_id", "text_id"))
+    # A text that repeats itself within MIN_RUN words keeps its first run whole.
+    over = F.when(own, F.greatest(F.lit(0), MIN_RUN + F.col("shift"))).otherwise(0)
+    plain = runs.withColumn("n_words", (F.col("stop") - F.col("word") - over).cast("int")).withColumn("start", F.when(over > 0, F.col("keep_end")).otherwise(F.col("start")))
+    names = ["doc_id", "text_id", "start", "end", "n_words", F.lit("passage").alias("kind"), "class_id", F.col("from.doc_id").alias("keep_doc_id")]
+    before = {c: F.lag(c).over(Window.partitionBy("doc_id", "text_id").orderBy("word")) for c in ("word", "stop", "end", "shift", "from")}
+    pairs = runs.select("*", *[c.alias(f"p_{n}") for n, c in before.items()]).where(F.col("p_from").eqNullSafe(F.col("from")) & ~own & (F.col("word") > F.col("p_stop")) & (F.col("word") + F.col("shift") >= F.col("p_stop") + F.col("p_shift")))
+    less = SEED - 1
+    common = F.col("p_stop") - F.col("p_word") + F.col("stop") - F.col("word") - 2 * less
+    both = 2 * (F.col("stop") - F.col("p_word") - less) + F.col("shift") - F.col("p_shift")
+    near = pairs.where(common * 100 >= (both - common) * percent)
+    between = near.withColumn("n_words", (F.col("word") - F.col("p_stop")).cast("int")).withColumn("end", F.col("start")).withColumn("start", F.col("p_end"))
+    return plain.select(*names).unionByName(between.select(*names))
 
 
 def removals(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_id, start, end, n_words, kind, class_id, keep_doc_id): byte spans to remove, which may overlap."""
-    return _near_lines(docs, k, percent).unionByName(_repeated_runs(docs))
+    return _near_lines(docs, k, percent).unionByName(_repeated_runs(docs, percent))
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:

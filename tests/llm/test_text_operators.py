@@ -241,6 +241,45 @@ def test_near_lines_are_found(spark):
     assert found == {(2, 1)}
 
 
+def covered(spans, rows, least=20):
+    """Words of each row in a removal, and words in a run of ``least`` words that stood earlier, by brute force."""
+    removed, wanted, seen = defaultdict(set), defaultdict(set), set()
+    for n, (doc_id, text) in enumerate(rows):
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        w = words(text)
+        for r in spans:
+            if r.doc_id == doc_id:
+                removed[n] |= {i for i, (a, b) in enumerate(at) if r.start <= a and b <= r.end}
+        for i in range(len(w) - least + 1):
+            if tuple(w[i : i + least]) in seen:
+                wanted[n] |= set(range(i, i + least))
+            seen.add(tuple(w[i : i + least]))
+    return removed, wanted
+
+
+def test_every_repeated_run_of_twenty_words_goes_whole(spark):
+    """Passages of 20 to 60 words anywhere in a line, and equal short lines; brute force names every word."""
+    from tests.llm.conftest import prose
+
+    passages = [prose(200 + i, 20 + i) for i in range(41)]
+    rows = [(1, " ".join(prose(300 + i, 7 + i % 9) + " " + p for i, p in enumerate(passages)))]
+    rows += [(2 + i, f"{prose(400 + i, 3 + i)} {p} {prose(500 + i, 5)}") for i, p in enumerate(passages)]
+    rows += [(60, f"{prose(600, 9)}\n{prose(601, 20)}\n{prose(602, 8)}"), (61, f"{prose(601, 20)}\n{prose(603, 9)}")]
+    spans = paragraph_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    removed, wanted = covered(spans, rows)
+    assert {n: v for n, v in removed.items() if v} == dict(wanted)
+
+
+def test_passages_of_rows_without_ids_and_periodic_texts(spark):
+    from tests.llm.conftest import prose
+
+    passage, base = prose(700, 40), prose(701, 100).split()
+    rows = [(None, f"{passage} {prose(702, 9)}"), (None, f"{passage} {prose(703, 9)}"), (5, "la " * 90)]
+    rows += [(6, prose(704, 9) + " " + " ".join(base)), (7, prose(705, 9) + " " + " ".join([*base[:50], "other", *base[51:]]) + " " + prose(706, 60))]
+    left = {(r.doc_id, len(words(r.text))) for r in paragraph_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {(None, 49), (None, 9), (5, 20), (6, 109), (7, 69)}
+
+
 @pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
 def test_large_groups_of_near_copies_equal_brute_force(spark, k, percent):
     """Groups with a variant that many share and edits that some share, so that families have to decide."""
