@@ -243,9 +243,6 @@ def quota_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The member of every multi-item story that is most like the others, the earliest on ties."""
     items = titles(spark, sf_dir).select("doc_id", "title", "text", "epoch")
-    pairs = clustering.similar_pairs(items)
-    story = clustering.cluster_components(items)
-    both = pairs.select("a", "similarity").unionByName(pairs.select(F.col("b").alias("a"), "similarity"))
-    near = both.groupBy(F.col("a").alias("doc_id")).agg(F.round(F.sum("similarity"), 6).alias("s"), F.count(F.lit(1)).alias("n"))
-    joined = story.join(near, "doc_id")
+    placed, pairs = clustering.similar_nodes(items)
+    joined = clustering.stories(items, placed, pairs).join(clustering.total_similarity(placed, pairs), "doc_id")
     return joined.groupBy("story").agg(F.count(F.lit(1)).alias("members"), F.max_by("doc_id", F.struct("s", -F.col("doc_id"))).alias("representative"))
