@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.llm.scratch import cut
+from pressgauge.operators.components import components as settle
 
 #: Rounds before the pairs left between components are verified whatever their number.
 ROUNDS = 8
@@ -35,25 +36,8 @@ HUBS = 2
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of an undirected graph (a, b); component is the smallest node.
-
-    Alternating large-star and small-star steps; each is one aggregation and one join, cut to shared storage.
-    """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        # Stars: every node but a centre has one edge, and no centre has an edge to another.
-        parents = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if e.join(parents.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and parents.where("n > 1").isEmpty():
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-    raise RuntimeError("components did not settle")
+    """(node, component) of an undirected graph (a, b); component is the smallest node."""
+    return settle(edges, lambda e: cut(e, "edges"), max_rounds)
 
 
 def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFrame], percent: int, sized_by: str | None) -> tuple[DataFrame, DataFrame]:

@@ -94,6 +94,13 @@ def test_copied_and_common_items_meet(spark):
     assert pairs.where("a = 0").count() < 30
 
 
+def test_a_chain_of_twenty_items_is_one_story(spark):
+    """Items 40 hours apart, each linked to the next only."""
+    words = "ministers approve national budget after long parliament debate"
+    items = spark.createDataFrame([(i, words, words, i * 40 * 3600) for i in range(20)], "doc_id long, title string, text string, epoch long")
+    assert {r.story for r in clustering.cluster_components(items).collect()} == {0}
+
+
 def test_perspective_gap_rule(spark):
     rows = [(6, 0, 7), (1, 6, 8), (3, 3, 6), (2, 0, 2)]
     got = spark.createDataFrame(rows, "l int, r int, n int").select(stories.perspective_gap(F.col("l"), F.col("r"), F.col("n"))).collect()
