@@ -142,6 +142,13 @@ def cross_source_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(roots, "h").where((F.col("doc_id") != F.col("root")) & (F.col("source") != F.col("root_source"))).select("doc_id", "root")
 
 
+@query("d5_near_copies")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose title another outlet had almost word for word within 48 hours, linked to the root; both rows stay."""
+    t = titles(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "epoch", T.normalize_key(F.col("title")).alias("key"))
+    return dedup.cross_outlet_copies(t)
+
+
 @query(
     "d6_enrichment_cache",
     """WITH e AS (SELECT event_id AS id, md5(event_type || '|' || CAST(event_id % 40 AS VARCHAR)) AS input_hash FROM events)

@@ -101,6 +101,38 @@ def test_a_chain_of_twenty_items_is_one_story(spark):
     assert {r.story for r in clustering.cluster_components(items).collect()} == {0}
 
 
+def brute_copies(rows, window=48 * 3600):
+    def grams(key):
+        return {f"  {w} "[i : i + 3] for w in key.split() for i in range(len(w) + 1)}
+
+    noise, roots = {"live", "video", "foto", "update"}, {}
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
+    for n, (i, source, at, key) in enumerate(rows):
+        near = []
+        for j, other, then, title in rows[:n]:
+            x, y = grams(key), grams(title)
+            if other != source and at - then <= window and len(key.split()) >= 4 and 10 * len(x & y) >= 8 * len(x | y):
+                near.append((-len(x & y) / len(x | y), then, j, title))
+        for _, _, j, title in sorted(near)[:5]:
+            if all(w in noise or len(w) <= 2 for w in set(key.split()) ^ set(title.split())):
+                roots[i] = roots.get(j, j)
+                break
+    return roots
+
+
+def test_copies_in_other_outlets(spark):
+    """Titles with noise words link to the root across outlets, in item order; brute force decides."""
+    rng = random.Random(8)
+    stems = ["ministers approve the national budget after long debate", "storm floods coastal village and closes many roads overnight", "fire in town hall"]
+    rows = []
+    for i in range(90):
+        words = rng.choice(stems).split()
+        words.insert(rng.randint(0, len(words)), rng.choice(["live", "video", "of", "tonight", ""]))
+        rows.append((i, f"s{rng.randint(0, 2)}", rng.randint(0, 30) * 12 * 3600, " ".join(w for w in words if w)))
+    got = dict(map(tuple, dedup.cross_outlet_copies(spark.createDataFrame(rows, "id long, source string, epoch long, key string")).collect()))
+    assert got == brute_copies(rows) and len(got) > 20
+
+
 def test_perspective_gap_rule(spark):
     rows = [(6, 0, 7), (1, 6, 8), (3, 3, 6), (2, 0, 2)]
     got = spark.createDataFrame(rows, "l int, r int, n int").select(stories.perspective_gap(F.col("l"), F.col("r"), F.col("n"))).collect()
