@@ -57,6 +57,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def bounded_distance(a: Column, b: Column, limit: int) -> Column:
+    """Edit distance of two whole texts, ``limit + 1`` where it exceeds the limit."""
+    d = F.levenshtein(a, b, limit)
+    return F.when(d < 0, limit + 1).otherwise(d)
+
+
 def near_verbatim(a: Column, b: Column, noise: tuple[str, ...] = ("live", "video", "foto", "update")) -> Column:
     """Whether two keys differ in noise words and words of one or two letters only."""
     x, y = F.split(a, " "), F.split(b, " ")

@@ -82,6 +82,26 @@ def trigram_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(n, "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
+@query("n12_title_distance")
+def title_distances(spark: SparkSession, sf_dir: str, limit: int = 2) -> DataFrame:
+    """Edit distance between neighbouring whole titles' keys, ``limit + 1`` where it exceeds the limit."""
+    t = titles(spark, sf_dir).select("doc_id", T.normalize_key(F.col("title")).alias("t"))
+    n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return t.join(n, "doc_id").select("doc_id", T.bounded_distance(F.col("t"), F.col("u"), limit).alias("distance"))
+
+
+@query(
+    "n13_title_similarity",
+    f"""WITH {_TITLES}, k AS (SELECT doc_id, list_distinct(flatten(list_transform(list_filter(string_split({_KEY.format(c='title')}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM titles)
+    SELECT a.doc_id, round(coalesce(len(list_intersect(a.g, b.g))::DOUBLE / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) AS similarity FROM k a JOIN k b ON b.doc_id = a.doc_id + 7""",
+)
+def title_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram similarity of whole titles seven items apart."""
+    k = titles(spark, sf_dir).select("doc_id", T.trigrams(T.normalize_key(F.col("title"))).alias("g"))
+    n = k.select((F.col("doc_id") - 7).alias("doc_id"), F.col("g").alias("h"))
+    return k.join(n, "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
+
+
 @query("n17_tokens")
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed title tokens."""

@@ -133,6 +133,15 @@ def test_copies_in_other_outlets(spark):
     assert got == brute_copies(rows) and len(got) > 20
 
 
+def test_whole_titles_are_compared(spark):
+    """Two titles that differ after their 80th letter only."""
+    a = "same words at the start " * 5
+    row = spark.createDataFrame([(a + "tail one", a + "tail two", a + "another end")], "a string, b string, c string").select(
+        T.bounded_distance(F.col("a"), F.col("b"), 5), T.bounded_distance(F.col("a"), F.col("c"), 2), T.jaccard(T.trigrams(F.col("a")), T.trigrams(F.col("b"))) < 1
+    ).first()
+    assert tuple(row) == (3, 3, True)
+
+
 def test_perspective_gap_rule(spark):
     rows = [(6, 0, 7), (1, 6, 8), (3, 3, 6), (2, 0, 2)]
     got = spark.createDataFrame(rows, "l int, r int, n int").select(stories.perspective_gap(F.col("l"), F.col("r"), F.col("n"))).collect()
