@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressgauge.plans.bindings import EVENT_SQL, event_articles
+from pressgauge.sources.feeds import links_of
 
 QUERIES, ORACLE = {}, {}
 NOW = 1706659200  # 2024-01-31 00:00 UTC, the fixed present of these queries
@@ -74,6 +75,30 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_checks(spark, sf_dir).agg(F.count_if(F.col("status") == "pass").alias("passed"), listed("warn").alias("warnings"), listed("fail").alias("failures"))
 
 
+_HOST = r"regexp_replace(lower(regexp_extract({c}, '^(https?:)?//([^/:?#]+)', 2, 'i')), '^www\.', '')"
+
+
+@query(
+    "dq14_foreign_domains",
+    rf"""WITH l AS (SELECT {_HOST.format(c='url')} AS own, unnest(list_distinct(regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"', 1))) AS link FROM pages),
+    n AS (SELECT count(*) AS links, count(*) FILTER (WHERE {_HOST.format(c='link')} <> '' AND NOT ends_with({_HOST.format(c='link')}, own)) AS foreign_links FROM l)
+    SELECT links, foreign_links, round(foreign_links::DOUBLE / nullif(links, 0), 6) AS observed, CASE WHEN foreign_links::DOUBLE / nullif(links, 0) > 0.05 THEN 'warn' ELSE 'pass' END AS status FROM n""",
+)
+def foreign_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of page links whose host does not end with the page's own; links without a host are the page's own."""
+    return foreign_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def foreign_links(pages: DataFrame) -> DataFrame:
+    """One row for ``foreign_domains`` over pages (url, html)."""
+    host = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"(?i)^(https?:)?//([^/:?#]+)", 2)), r"^www\.", "")
+    links = pages.select(host("url").alias("own"), F.explode(links_of(F.col("html"))).alias("link"))
+    foreign = (host("link") != "") & ~host("link").endswith(F.col("own"))
+    n = links.agg(F.count(F.lit(1)).alias("links"), F.count_if(foreign).alias("foreign_links"))
+    rate = F.col("foreign_links") / F.nullif(F.col("links"), F.lit(0))
+    return n.select("links", "foreign_links", F.round(rate, 6).alias("observed"), grade(rate, 0.05, None).alias("status"))
+
+
 @query(
     "dq1_rejection_reasons",
     f"WITH {EVENT_SQL} SELECT split_part(topic || ':' || CAST(id % 7 AS VARCHAR), ':', 1) AS reason, count(*) AS n FROM articles_all WHERE status = 'failed' GROUP BY 1 ORDER BY n DESC, reason LIMIT 10",

@@ -153,6 +153,12 @@ def test_grades(spark):
     assert [r[0] for r in got] == ["pass", "warn", "fail"]
 
 
+def test_foreign_links_are_found_by_their_hosts(spark):
+    html = '<a href="/in">a</a><a href="https://www.example.com/x">b</a><a href="http://m.example.com">c</a><a class="k" href="//other.org/y">d</a>'
+    pages = spark.createDataFrame([("https://www.example.com/p", html), ("http://third.net/", '<a href="https://example.com:80/">e</a>')], "url string, html string")
+    assert tuple(operations.foreign_links(pages).first()) == (5, 2, 0.4, "warn")
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("Çafé — DÉJÀ  vu!", "http://www.Example.com/a/b/amp/?utm_source=x&b=2&a=1#t")], "t string, u string").select(
         T.normalize_key(F.col("t")), T.canonical_url(F.col("u")), T.near_verbatim(F.lit("big fire in town"), F.lit("big fire town live")), T.jaccard(T.trigrams(F.lit("word")), T.trigrams(F.lit("word")))
