@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressgauge.operators.components import components
+from pressgauge.session import checkpointed
+
 #: Endings that forms of one name may differ in.
 ENDINGS = ("", "s", "es", "ed", "er", "ing", "ly")
 
@@ -19,31 +21,14 @@ def same_name(a: str, b: str, least: int = 4) -> bool:
 def merge_forms(names: DataFrame) -> DataFrame:
     """(name, kept): every name with the form of its group that is mentioned most.
 
-    Names are dealt to buckets by their first four letters, whose spread over a vocabulary bounds a bucket's size; a
-    bucket is sorted, so that forms of a name lie close together, and linked by union-find.
+    A name stands under each stem of four letters or more that an ending leaves; names of one stem are linked to its
+    smallest, and groups are the connected components of those links.
     """
-
-    def run(bucket: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(bucket["name"], bucket["mentions"]))
-        parent = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        where: dict[str, int] = {}
-        for i, (name, _) in enumerate(rows):
-            for stem in {name[: len(name) - len(e)] for e in ENDINGS if name.endswith(e) and len(name) - len(e) >= 4}:
-                if stem in where:
-                    parent[find(i)] = find(where[stem])
-                else:
-                    where[stem] = i
-        best: dict[int, tuple[int, str]] = {}
-        for i, (name, n) in enumerate(rows):
-            root = find(i)
-            best[root] = min(best.get(root, (-n, name)), (-n, name))
-        return pd.DataFrame([(name, best[find(i)][1]) for i, (name, _) in enumerate(rows)], columns=["name", "kept"])
-
-    return names.groupBy(F.substring("name", 1, 4).alias("_bucket")).applyInPandas(run, "name string, kept string")
+    left = lambda e: F.when(F.col("name").endswith(e) & (F.length("name") - len(e) >= 4), F.substring(F.col("name"), F.lit(1), F.length("name") - len(e)))
+    under = names.select("name", F.explode(F.array_compact(F.array(*[left(e) for e in ENDINGS]))).alias("stem"))
+    least = under.groupBy("stem").agg(F.min("name").alias("least"))
+    links = under.join(least, "stem").where("name <> least").select(F.col("name").alias("a"), F.col("least").alias("b")).distinct()
+    groups = checkpointed(components(links, checkpointed))
+    named = names.join(groups, names["name"] == groups["node"], "left").select("name", "mentions", F.coalesce("component", "name").alias("group"))
+    best = named.groupBy("group").agg(F.min(F.struct(-F.col("mentions"), F.col("name").alias("kept"))).alias("best"))
+    return named.join(best, "group").select("name", F.col("best.kept").alias("kept"))
