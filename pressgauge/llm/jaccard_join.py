@@ -4,18 +4,20 @@ Words are runs of bytes other than ASCII white space with A-Z folded. A document
 shingles; a document with fewer words is one item, a blank or null one has the empty set and links with nothing.
 Two documents link when ``100 * |A & B| >= percent * |A | B|``.
 
-Plan:
+If two sets of n and m <= n shingles link, their prefixes of n - ceil(t n) + l and m - ceil(t m) + l shingles share l
+shingles at least, under every global order of the shingles. The plan:
 
-1. One pass hashes every whole text to its set's size and digest and counts, over all documents, how often shingles
-   fall into each of a fixed number of counters. Documents with equal sets are one node from here on.
-2. Every global order sorts a set's shingles rare counters first and differs in how it mixes the shingle hash. If two
-   sets link, their prefixes (the first n - ceil(t n) + 1 shingles) share a shingle under every order. Prefix shingles
-   of the first order are dealt out by shingle; pairs that share one and pass the length and position bounds go on.
-3. For those pairs the sets are fetched. The prefixes under the other orders must overlap as well, then the
-   intersection is counted.
+1. One pass hashes every whole text to its set's size and digest. Documents with equal sets are one node from here on.
+2. Under the order of the hashes themselves long prefixes (l about (1 - t) n) are posted by shingle, packed (see
+   ``postings``). A node of whose prefix fewer than l shingles are posted by other nodes can link to nothing and goes.
+   The sets of the nodes left are written once.
+3. Over these sets the frequent shingles are counted. Three global orders are applied: rare shingles first, then by
+   hash; rare first, then by another hash; and by a third hash alone. Nodes meet by the shingles of their short prefixes
+   (l = 1) under the first order, within length and position bounds. Candidate pairs are narrow rows until their
+   prefixes under the second and the third order have been found to overlap as well; only then the sets are joined and
+   the intersection is counted.
 
-Very frequent shingles (a line or passage that many documents hold) come last in every order and so never meet in a
-prefix; groups of near copies meet through hubs (see ``linking``).
+Groups of near copies meet through hubs and families (see ``linking``), never as all pairs of a key.
 
 Edge cases: null text and blank text have n_shingles 0 and their own doc_id as component; rows that repeat a doc_id
 are separate documents; null doc_ids take part and a component of only such rows has a null component_id; an empty
@@ -33,16 +35,24 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm import words as W
 from pressgauge.llm.linking import link
-from pressgauge.llm.scratch import cut, small_side
+from pressgauge.llm.postings import shared
+from pressgauge.llm.scratch import Workspace, cut, small_side
 
-#: Counters for shingle frequencies: 2**SKETCH_BITS of them, whatever the corpus size; they order tokens, nothing more.
-SKETCH_BITS = 18
-#: Multipliers that give the second and third global order.
-ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Multipliers whose products mix the hashes for the second and third global order.
+MIXES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Shingles that more nodes hold than this, and than a share of 1 / MOST_FREQUENT of all, are ordered by frequency; that
+#: makes MOST_FREQUENT of them at most.
+FREQUENT, MOST_FREQUENT = 64, 200_000
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def _spare(n, percent: int):
+    """Shingles of a set of n that a partner may lack."""
+    return n - -(-percent * n // 100)
+
+
+def _least_shared(n: int, percent: int) -> int:
+    """Shingles of n's long prefix that a partner's long prefix holds at least; the smallest partner has ceil(t n)."""
+    return _spare(-(-percent * n // 100), percent) + 1
 
 
 def text_hash() -> Column:
@@ -50,98 +60,91 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+
+
 def node_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, node, n, counts): a row per document, and per task a row with n = -1 and its shingle counters."""
+    """(doc_id, text_hash, node, n) of every row; node is the digest of the set, null if that is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counts", pa.list_(pa.int32()))])
         for batch in batches:
             node, size = [], []
             for _, data, at in W.chunks(batch.column("text")):
-                got = list(W.row_sets(data, at, k))
-                size += [len(u) for u in got]
-                node += [W.digest(u) for u in got]
-                if got:
-                    counts += np.bincount((np.concatenate(got) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                for u in W.row_sets(data, at, k):
+                    size.append(len(u))
+                    node.append(W.digest(u))
             n = np.array(size, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_hash"),
-                    pa.array(np.array(node, np.uint64).view(np.int64), mask=n == 0),
-                    pa.array(n),
-                    pa.nulls(len(n), pa.list_(pa.int32())),
-                ],
-                schema=schema,
-            )
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([counts], pa.list_(pa.int32()))], schema=schema
-        )
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, node long, n long, counts array<int>")
-
-
-def frequency_levels(sized: DataFrame) -> bytes:
-    """A byte per counter, growing with the logarithm of its total; a fixed 2**SKETCH_BITS bytes."""
-    rows = sized.where("n = -1").select(F.posexplode("counts").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).toArrow()
-    total = np.zeros(1 << SKETCH_BITS)
-    total[rows.column("i").to_numpy()] = rows.column("c").to_numpy()
-    return np.floor(3 * np.log2(total + 1)).astype(np.uint8).tobytes()
-
-
-def _ordered(u: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
-    """The set in global order ``order``; equal levels by the mixed hash."""
-    if order:
-        u = u[np.argsort(u * ORDERS[order - 1])]
-    return u[np.argsort(level[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
-
-
-def prefixes(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """(key, node, n, pos) for the prefix shingles of every set under the first order."""
+            nodes = pa.array(np.array(node, np.uint64).view(np.int64), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), nodes, pa.array(n)], names=["doc_id", "text_hash", "node", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
-        for batch in batches:
-            for _, data, at in W.chunks(batch.column("text")):
-                key, node, size, pos = [], [], [], []
-                for u in W.row_sets(data, at, k):
-                    if n := len(u):
-                        p = _prefix_length(n, percent)
-                        key.append(_ordered(u, level, 0)[:p])
-                        node.append(np.full(p, W.digest(u), np.uint64))
-                        size.append(np.full(p, n, np.int32))
-                        pos.append(np.arange(p, dtype=np.int32))
-                if key:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in ([v.view(np.int64) for v in key], [v.view(np.int64) for v in node], size, pos)],
-                        names=["key", "node", "n", "pos"],
-                    )
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, node long, n long")
+
+
+def shared_nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, n_shared): shingles of the long prefixes under the first order that other nodes' prefixes hold."""
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long, n int, pos int")
+    def units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, data, at in W.chunks(batch.column("text")):
+            tokens, owners = [], []
+            for u in W.row_sets(data, at, k):
+                if n := len(u):
+                    u_ = u[: 2 * _spare(n, percent) + 1]
+                    tokens.append(u_)
+                    owners.append(np.full(len(u_), W.digest(u), np.uint64))
+            if tokens:
+                yield np.concatenate(tokens), np.concatenate(owners)
 
+    found = shared(docs.select(F.col("text").cast("string").alias("text")), units)
+    return found.select(F.col("owner").alias("node"), F.col("n").alias("n_shared"))
 
-def full_sets(docs: DataFrame, k: int, percent: int, levels) -> DataFrame:
-    """(node, items, second, third): whole sets and, narrowed to 32 bits, their prefixes under the other orders."""
+
+def node_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, items): whole sets in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             for _, data, at in W.chunks(batch.column("text")):
                 got = [u for u in W.row_sets(data, at, k) if len(u)]
-                others = [[_ordered(u, level, o)[: _prefix_length(len(u), percent)].astype(np.uint32).view(np.int32) for u in got] for o in (1, 2)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([W.digest(u).view(np.int64) for u in got], pa.int64()),
-                        W.ragged([u.view(np.int64) for u in got], pa.int64()),
-                        W.ragged(others[0], pa.int32()),
-                        W.ragged(others[1], pa.int32()),
-                    ],
-                    names=["node", "items", "second", "third"],
-                )
+                nodes = pa.array([W.digest(u).view(np.int64) for u in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([nodes, W.ragged([u.view(np.int64) for u in got], pa.int64())], names=["node", "items"])
+
+    return texts.select("text").mapInArrow(run, "node long, items array<long>")
+
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, items array<long>, second array<int>, third array<int>")
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles in order, and the logarithms of their counts; at most ``MOST_FREQUENT`` of them."""
+    total = sets.agg(F.sum(F.size("items").cast("long"))).first()[0] or 0
+    counts = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    rows = counts.where(F.col("c") > max(FREQUENT, total // MOST_FREQUENT)).toArrow()
+    items, c = rows.column("item").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+    order = np.argsort(items)
+    return items[order], np.log2(c[order]).astype(np.uint8)
+
+
+def order_prefixes(sets: DataFrame, percent: int, frequent) -> DataFrame:
+    """(node, n, first, second, third): the short prefixes under the three orders, the latter two as 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, level = frequent.value
+        for batch in batches:
+            column = batch.column("items")
+            items, size = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False)
+            rank = np.zeros(len(items), np.uint8)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, items), len(often) - 1)
+                rank[often[at] == items] = level[at[often[at] == items]] + 1
+            found: tuple[list, list, list] = ([], [], [])
+            end = np.cumsum(size)
+            for a, b in zip((end - size).tolist(), end.tolist()):
+                u, r, p = items[a:b], rank[a:b], _spare(b - a, percent) + 1
+                found[0].append(u[np.argsort(r, kind="stable")[:p]].view(np.int64))
+                found[1].append(u[np.lexsort((u * MIXES[0], r))[:p]].astype(np.uint32).view(np.int32))
+                found[2].append(u[np.argsort(u * MIXES[1])[:p]].astype(np.uint32).view(np.int32))
+            lists = [W.ragged(f, kind) for f, kind in zip(found, (pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int32()), *lists], names=["node", "n", "first", "second", "third"])
+
+    return sets.mapInArrow(run, "node long, n int, first array<long>, second array<int>, third array<int>")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -151,41 +154,42 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 def jaccard_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``jaccard_components`` with each row's text_hash and its group, a node, which is null for the empty set."""
-    spark = docs.sparkSession
+    work = Workspace(docs.sparkSession, "jaccard")
     sized = cut(node_sizes(docs, k), "sizes")
-    levels = spark.sparkContext.broadcast(frequency_levels(sized))
-    rows = sized.where("n >= 0").select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
-    first_doc = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-
-    tokens = prefixes(docs, k, percent, levels)
-    shared = tokens.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    members = cut(tokens.join(shared, "key", "left_semi").distinct(), "members")
-
-    def pair_ok(x: str, y: str) -> Column:
+    rows = sized.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
+    nodes = sized.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_doc"), F.min("text_hash").alias("text_hash"))
+
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    least = least - F.ceil(F.lit(percent) * least / 100) + 1
+    near = nodes.join(shared_nodes(docs, k, percent), "node").where(F.col("n_shared") >= least)
+    near = work.cut(near.select("node", "text_hash"), "near-nodes")
+    wanted = small_side(near.select(F.col("text_hash").alias("_text")))
+    texts = _texts(docs)
+    texts = texts.join(wanted, texts["text_hash"] == F.col("_text"), "left_semi")
+    sets = work.cut(node_sets(texts, k).dropDuplicates(["node"]), "sets")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
+    orders = work.cut(order_prefixes(sets, percent, frequent), "orders")
+    tokens = orders.select("node", "n", F.posexplode("first").alias("pos", "key"))
+    shared_keys = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = work.cut(tokens.join(shared_keys, "key"), "members")
+
+    def fits(x: str, y: str) -> Column:
         n, m, p, q = (F.col(f"{s}{c}").cast("long") for s, c in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
         most = F.least(n - p, m - q)
+        # At the first key that two nodes share, the intersection lies from here on.
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
-    def fetch(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ids = small_side(wanted.join(first_doc, "node").select(F.col("first_doc").alias("wanted_id")).distinct(), pairs)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-        return full_sets(texts, k, percent, levels)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sets = fetch(pairs)
-        a = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("items", "second", "third")])
-        b = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("items", "second", "third")])
-        both = pairs.join(a, "a").join(b, "b")
-        both = both.where(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third"))
-        common = F.size(F.array_intersect("a_items", "b_items")).cast("long")
-        return both.where(common * 100 >= (F.size("a_items") + F.size("b_items") - common) * percent).select("a", "b").distinct()
-
-    labels = link(members, ["n", "pos"], pair_ok, verify, fetch, percent, sized_by="n")
-    classes = first_doc.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def meets(pairs: DataFrame) -> DataFrame:
+        """Pairs whose prefixes overlap under the second and third order as well."""
+        side = lambda c: orders.select(F.col("node").alias(c), F.col("second").alias(f"{c}_2"), F.col("third").alias(f"{c}_3"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.where(F.arrays_overlap("a_2", "b_2") & F.arrays_overlap("a_3", "b_3")).select(pairs.columns)
+
+    labels = link(work, members, sets, percent, fits, meets)
+    classes = nodes.select("node", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = classes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = cut(classes.join(lowest, "component").select("node", "component_id", "component"), "classes")
+    work.close()
     return rows.join(named, "node", "left").select(
         "doc_id",
         "n_shingles",

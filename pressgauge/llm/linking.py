@@ -1,9 +1,9 @@
 """Connected components of a set-similarity graph, found key by key without all pairs of a key.
 
-``members`` holds a row for every (key, node): nodes that share a key may be linked. The first round names a hub per
-key; every other node of the key is a candidate partner of that hub, and candidates are verified exactly. Nodes already
-in one component need no further edge, so keys whose nodes all lie in one component are finished. Of the others, small
-keys have all their pairs verified. Large ones are groups of near copies, and are settled by families:
+``members`` holds a row for every (key, node): nodes that share a key may be linked. In the first round every key names
+a hub, and every node is compared with that hub that it shares the most keys with. Nodes already in one component need
+no further edge, so keys whose nodes all lie in one component are finished. Of the others, small keys have their pairs
+across components verified. Large ones may be groups of near copies, and are settled by families first:
 
 A large key names a few hubs. A family is a hub and the nodes of its keys that are somewhat similar to it. Its reference is the set of items that
 most of the family hold, and every node is known by its differences from the reference. For nodes x and y the
@@ -12,57 +12,60 @@ S = (100 - percent) * size - (100 + percent) * differences two nodes are linked
 otherwise only if they share differences. The node with the most slack is linked to all it can be for certain; other
 pairs must share one of their rarest differences, and are then decided exactly from the differences. Any partner of a
 node close to the hub belongs to the family, by the triangle inequality of the Jaccard distance, so such nodes have met
-all they can be linked to under those keys and leave them.
+all they can be linked to under those keys and leave them. What is left under a key is less and less alike; every round
+raises the number of members up to which pairs across components are compared, so the rounds come to an end.
 
 No pair that could join two components is skipped.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressgauge.llm.scratch import cut
+from pressgauge.llm.scratch import Workspace
 from pressgauge.operators.components import components as settle
 
-#: Rounds before the pairs left between components are verified whatever their number.
-ROUNDS = 8
-#: Keys with at most so many members have all their pairs verified.
-SMALL = 8
-#: Hubs that a large key names at a time; every member of the key meets each of them.
+#: Members up to which a key's pairs across components are compared in the first round, and how it grows by the round.
+SMALL, GROWTH = 64, 8
+#: Hubs that a large key names in a round; every member of the key meets each of them.
 HUBS = 2
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of an undirected graph (a, b); component is the smallest node."""
-    return settle(edges, lambda e: cut(e, "edges"), max_rounds)
+def side(sets: DataFrame, node: str, items: str) -> DataFrame:
+    return sets.select(F.col("node").alias(node), F.col("items").alias(items))
 
 
-def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFrame], percent: int, sized_by: str | None) -> tuple[DataFrame, DataFrame]:
-    """Links within the families of (key, node), and the (key, node) that have met all their partners.
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` or more, counted exactly."""
+    both = pairs.join(side(sets, "a", "x"), "a").join(side(sets, "b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
-    Where column ``sized_by`` holds the sizes of the sets, a node of less than half or more than twice the hub's size is
-    no member of its family and is left out before any set is fetched.
+
+def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, meets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within the families of (key, node, n), and the (key, node) that have met all their partners.
+
+    A node of less than half or more than twice the hub's size is no member of its family.
     """
-    size = F.col(sized_by).cast("long") if sized_by else F.lit(1).cast("long")
-    members = members.select("key", "node", size.alias("s"))
+    members = members.select("key", "node", F.col("n").cast("long").alias("s"))
     first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node", "s"))
     named = members.groupBy("key").agg(F.array_distinct(F.array(*[first(i) for i in range(HUBS)])).alias("h"))
-    hubs = cut(named.select("key", F.explode("h").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.s").alias("hub_s")).distinct(), "hubs")
+    hub_rows = work.cut(named.select("key", F.explode("h").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.s").alias("hub_s")).distinct(), "hubs")
     near = F.least("s", "hub_s") * 2 >= F.greatest("s", "hub_s")
-    placed = members.join(hubs, "key").where(near).select("key", "node", "hub")
-    pairs = cut(placed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "family-pairs")
-    sets = fetch(pairs).select("node", "items")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    placed = members.join(hub_rows, "key").where(near).select("key", "node", "hub")
+    pairs = work.cut(placed.where("node <> hub").select("hub", "node").distinct(), "family-pairs")
+    both = pairs.join(side(sets, "hub", "x"), "hub").join(side(sets, "node", "y"), "node")
     apart = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
-    sized = both.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.size("x").cast("long").alias("hub_n"), F.size("y").cast("long").alias("n"), apart.alias("d"))
+    sized = both.select("hub", "node", F.size("x").cast("long").alias("hub_n"), F.size("y").cast("long").alias("n"), apart.alias("d"))
     sized = sized.withColumn("common", (F.col("n") + F.col("hub_n") - F.size("d")) / 2)
     union = F.col("n") + F.col("hub_n") - F.col("common")
     # Within distance 1/2 of the hub; close ones are nearer by the distance that a link may have.
     ring = sized.where(F.col("common") * 2 >= union).withColumn("close", F.col("common") * 100 >= (150 - percent) * union)
-    ring = cut(ring.select("hub", "hub_n", "node", "n", "d", "close").dropDuplicates(["hub", "node"]), "ring")
+    ring = work.cut(ring.select("hub", "hub_n", "node", "n", "d", "close"), "ring")
     own = ring.select("hub", F.col("hub_n").alias("n")).distinct().select("hub", F.col("hub").alias("node"), "n", F.array().cast("array<long>").alias("d"), F.lit(True).alias("close"))
     ring = ring.drop("hub_n").unionByName(own)
     many = ring.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
@@ -71,7 +74,7 @@ def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFra
     flipped = often.groupBy("hub").agg(F.collect_list("item").alias("f"))
     known = ring.join(flipped, "hub", "left").withColumn("f", F.coalesce("f", F.array().cast("array<long>")))
     known = known.select("hub", "node", "n", "close", F.concat(F.array_except("d", "f"), F.array_except("f", "d")).alias("e"))
-    known = cut(known.withColumn("slack", F.col("n") * (100 - percent) - F.size("e") * (100 + percent)), "family")
+    known = work.cut(known.withColumn("slack", F.col("n") * (100 - percent) - F.size("e") * (100 + percent)), "family")
     best = known.groupBy("hub").agg(F.max(F.struct("slack", "node")).alias("best"))
     known = known.join(best, "hub").withColumn("certain", F.col("slack") + F.col("best.slack") >= 0)
     certain = known.where("certain and node <> best.node").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
@@ -82,67 +85,65 @@ def families(members: DataFrame, turn: int, fetch: Callable[[DataFrame], DataFra
     rare = Window.partitionBy("hub", "node").orderBy("c", "item")
     # Items that one node holds come first and cannot be shared; those whose holders all are linked already add nothing.
     leading = items.join(count, ["hub", "item"]).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("k") - need + 1)
-    leading = cut(leading.where("c > 1 and not sure").select("hub", "item", "node", "certain"), "leading")
+    leading = work.cut(leading.where("c > 1 and not sure").select("hub", "item", "node", "certain"), "leading")
     x, y = (leading.select("hub", "item", F.col("node").alias(c), F.col("certain").alias(f"{c}_certain")) for c in ("a", "b"))
-    near = x.join(y, ["hub", "item"]).where("a < b and not (a_certain and b_certain)").select("hub", "a", "b").distinct()
-    side = lambda c: known.select("hub", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("e").alias(f"{c}_e"))
-    met = near.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"])
+    near = meets(x.join(y, ["hub", "item"]).where("a < b and not (a_certain and b_certain)").select("hub", "a", "b").distinct())
+    own_side = lambda c: known.select("hub", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("e").alias(f"{c}_e"))
+    met = near.join(own_side("a"), ["hub", "a"]).join(own_side("b"), ["hub", "b"])
     differ = F.size("a_e") + F.size("b_e") - 2 * F.size(F.array_intersect("a_e", "b_e"))
     shared = met.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
     done = placed.join(known.where("close").select("hub", "node"), ["hub", "node"]).select("key", "node")
-    done = done.unionByName(hubs.select("key", F.col("hub").alias("node"))).distinct()
+    done = done.unionByName(hub_rows.select("key", F.col("hub").alias("node"))).distinct()
     return certain.unionByName(shared).distinct(), done
 
 
-def link(
-    members: DataFrame,
-    carried: list[str],
-    pair_ok: Callable[[str, str], Column],
-    verify: Callable[[DataFrame], DataFrame],
-    fetch: Callable[[DataFrame], DataFrame],
-    percent: int,
-    sized_by: str | None = None,
-) -> DataFrame:
+def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], meets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) for the nodes that have a link; other nodes are components of their own.
 
-    ``members`` has key, node and the columns ``carried``, is already restricted to keys with two nodes or more, and is
-    read several times. ``pair_ok(a, b)`` is a necessary condition on two members of a key, given their column prefixes.
-    ``verify`` takes distinct pairs (a, b) with a < b and returns those that are linked; ``fetch`` returns the sets
-    (node, items) of all nodes of pairs (a, b).
+    ``members`` has key, node, the set's size n and what else ``fits`` reads, holds a (key, node) once, and is restricted
+    to keys with two nodes or more; ``sets`` holds (node, items) once per node. ``fits(x, y)`` is a necessary condition
+    on two members of a key, given their column prefixes. ``meets`` keeps those of the pairs (a, b) that pass further
+    necessary conditions and leaves all their columns.
     """
-    def sides(here: DataFrame, prefix: str) -> DataFrame:
-        return here.select("key", *[F.col(c).alias(f"{prefix}{c}") for c in ("node", "component", *carried)])
-
-    def checked(near: DataFrame) -> DataFrame:
-        near = near.where((F.col("x_component") != F.col("y_component")) & pair_ok("x_", "y_"))
-        return verify(cut(near.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs"))
-
-    start = members.withColumn("component", F.col("node"))
-    hub = start.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(0)).alias("o"), "node", "component", *carried)).alias("h"))
-    first = hub.select("key", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("node", "component", *carried)])
-    links = cut(checked(sides(start, "x_").join(first, "key")), "links")
-    labels = cut(components(links), "labels")
-    members = members.join(hub.select("key", F.col("h.node").alias("node")), ["key", "node"], "left_anti")
-    for turn in range(1, ROUNDS + 1):
+    carried = [c for c in members.columns if c not in ("key", "node")]
+
+    def sides(here: DataFrame, prefix: str, *extra: str) -> DataFrame:
+        return here.select("key", *[F.col(c).alias(f"{prefix}{c}") for c in ("node", *extra, *carried)])
+
+    def checked(near: DataFrame, name: str) -> DataFrame:
+        return linked(work.cut(meets(near), name), sets, percent)
+
+    def components(links: DataFrame) -> DataFrame:
+        return work.cut(settle(links, lambda e: work.cut(e, "edges")), "labels")
+
+    hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", *carried)).alias("h"))
+    first = hub.select("key", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("node", *carried)])
+    stars = sides(members, "x_").join(first, "key").where(F.col("x_node") != F.col("y_node")).where(fits("x_", "y_"))
+    stars = stars.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    labels = components(work.cut(checked(stars, "stars"), "links"))
+    for turn in itertools.count(1):
+        small = SMALL * GROWTH ** (turn - 1)
         here = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spread = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-        here = cut(here.join(spread.select("key", "m"), "key"), "open")
-        if here.isEmpty():
-            break
-        small = F.lit(True) if turn == ROUNDS else F.col("m") <= SMALL
-        few = here.where(small).drop("m")
-        found = checked(sides(few, "x_").join(sides(few, "y_"), "key").where("x_node < y_node"))
-        large = here.where(~small)
-        more = not large.isEmpty()
-        if more:
-            kin, done = families(large, turn, fetch, percent, sized_by)
-            found = found.unionByName(kin)
-            members = cut(large.drop("m", "component").join(done, ["key", "node"], "left_anti"), "members")
-        found = cut(found, "links")
-        if not found.isEmpty():
+        here = work.cut(here.join(spread.select("key", "m"), "key"), "open")
+        sizes = here.agg(F.max("m"), F.min("m")).first()
+        if sizes[0] is None:
+            return labels
+        found = []
+        if sizes[1] <= small:
+            few = here.where(F.col("m") <= small)
+            across = sides(few, "x_", "component").join(sides(few, "y_", "component"), "key")
+            across = across.where("x_node < y_node and x_component <> y_component").where(fits("x_", "y_"))
+            found.append(checked(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "pairs"))
+        if sizes[0] > small:
+            large = here.where(F.col("m") > small)
+            kin, done = families(work, large, turn, sets, meets, percent)
+            found.append(kin)
+            members = work.cut(large.select("key", "node", *carried).join(done, ["key", "node"], "left_anti"), "members")
+        links = work.cut(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "links")
+        if not links.isEmpty():
             # Components so far stand for the links that made them.
-            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            labels = cut(components(links), "labels")
-        if not more:
-            break
-    return labels
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        if sizes[0] <= small:
+            return labels

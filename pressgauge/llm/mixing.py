@@ -66,7 +66,7 @@ def mixed(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3),
     rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return (
-        sized.join(small_side(plan, totals), F.col("_mix_key").eqNullSafe(F.col("_mix_source")))
+        sized.join(small_side(plan), F.col("_mix_key").eqNullSafe(F.col("_mix_source")))
         .withColumn("_mix_copies", F.least(copies, F.lit(most)).cast("int"))
         .drop("_mix_key", "_mix_source")
     )

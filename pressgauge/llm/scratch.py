@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.session import shared_dir
 
 #: Sides of at most this many narrow rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: The same for sides with lists: bytes of all lists together.
+BROADCAST_BYTES = 16 << 20
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -27,10 +29,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, bound: DataFrame | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else ``df`` for a shuffled join.
+class Workspace:
+    """Tables cut on the way to a result; they are deleted together when the result itself has been written."""
 
-    ``bound`` is a table already written that has at least half as many rows and is cheaper to count.
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_dir(spark, name)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete all tables; nothing that reads them may be evaluated later."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small_side(df: DataFrame, size: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is small, else ``df`` for a shuffled join.
+
+    Small is at most ``limit`` rows and, where the rows hold lists of ``size`` bytes, ``BROADCAST_BYTES`` in all.
     """
-    size = df.limit(limit + 1).count() if bound is None else 2 * bound.count()
-    return F.broadcast(df) if size <= limit else df
+    if size is None:
+        return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and total <= BROADCAST_BYTES else df

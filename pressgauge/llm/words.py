@@ -135,6 +135,14 @@ def digest(u: np.ndarray) -> np.uint64:
     return mix(np.array([mix(u ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum() + np.uint64(len(u))], np.uint64))[0]
 
 
+def digests(items: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``digest`` of each of the sets that begin at ``first``, none of them empty."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    total = np.add.reduceat(mix(items ^ np.uint64(0xA5A5A5A55A5A5A5A)), first)
+    return mix(total + np.diff(np.append(first, len(items))).astype(np.uint64))
+
+
 def ragged(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column from arrays."""
     at = np.zeros(len(values) + 1, np.int32)
