@@ -47,10 +47,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, meets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links within the families of (key, node, n), and the (key, node) that have met all their partners.
+    """Links within the families of (key, node, n, component), and the (key, node) that have met all their partners.
 
     A node of less than half or more than twice the hub's size is no member of its family.
     """
+    joined = members.select("node", "component").distinct()
     members = members.select("key", "node", F.col("n").cast("long").alias("s"))
     first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node", "s"))
     named = members.groupBy("key").agg(F.array_distinct(F.array(*[first(i) for i in range(HUBS)])).alias("h"))
@@ -79,15 +80,20 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     known = known.join(best, "hub").withColumn("certain", F.col("slack") + F.col("best.slack") >= 0)
     certain = known.where("certain and node <> best.node").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
 
-    items = known.select("hub", "node", "certain", F.size("e").alias("k"), (F.col("slack") + F.col("best.slack")).alias("over"), F.explode("e").alias("item"))
+    items = known.select("hub", "node", "certain", "slack", F.size("e").alias("k"), (F.col("slack") + F.col("best.slack")).alias("over"), F.explode("e").alias("item"))
     count = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("c"), F.bool_and("certain").alias("sure"))
-    need = F.greatest(F.lit(1), F.ceil(-F.col("over") / (2.0 * (100 + percent))))
+    # Differences that two nodes must share at least, given the sum of their slacks.
+    need = lambda over: F.greatest(F.lit(1), F.ceil(-over / (2.0 * (100 + percent))))
     rare = Window.partitionBy("hub", "node").orderBy("c", "item")
     # Items that one node holds come first and cannot be shared; those whose holders all are linked already add nothing.
-    leading = items.join(count, ["hub", "item"]).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("k") - need + 1)
-    leading = work.cut(leading.where("c > 1 and not sure").select("hub", "item", "node", "certain"), "leading")
-    x, y = (leading.select("hub", "item", F.col("node").alias(c), F.col("certain").alias(f"{c}_certain")) for c in ("a", "b"))
-    near = meets(x.join(y, ["hub", "item"]).where("a < b and not (a_certain and b_certain)").select("hub", "a", "b").distinct())
+    leading = items.join(count, ["hub", "item"]).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("k") - need(F.col("over")) + 1)
+    leading = leading.where("c > 1 and not sure").join(joined, "node").select("hub", "item", "node", "certain", "component", "slack", (F.col("k") - F.col("place") + 1).alias("left"))
+    leading = work.cut(leading, "leading")
+    x, y = (leading.select("hub", "item", F.col("node").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in ("certain", "component", "slack", "left")]) for c in ("a", "b"))
+    apart = (F.col("a") < F.col("b")) & ~(F.col("a_certain") & F.col("b_certain")) & (F.col("a_component") != F.col("b_component"))
+    # At the first item that two nodes share, all that they share lies from here on.
+    enough = F.least("a_left", "b_left") >= need(F.col("a_slack") + F.col("b_slack"))
+    near = meets(x.join(y, ["hub", "item"]).where(apart & enough).select("hub", "a", "b").distinct())
     own_side = lambda c: known.select("hub", F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("e").alias(f"{c}_e"))
     met = near.join(own_side("a"), ["hub", "a"]).join(own_side("b"), ["hub", "b"])
     differ = F.size("a_e") + F.size("b_e") - 2 * F.size(F.array_intersect("a_e", "b_e"))
