@@ -1,18 +1,23 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs come in two kinds. Lines of ``MIN_WORDS`` words or more are compared as sets of word shingles: MinHash
-bands, tuned for high recall at the wanted similarity, deal lines to keys; lines that collide are verified by their
-exact Jaccard similarity and joined to components.
-
-A passage may start and end anywhere in a line, so every run of ``MIN_RUN`` words that stood earlier goes, and with it
-any longer passage. Two passes find all of them. The first picks seeds by winnowing: of every ``MIN_RUN - SEED + 1``
-neighbouring ``SEED``-word shingles that with the least hash, so that texts which share ``MIN_RUN`` words share a seed
-there. The second takes the texts with seeds that repeat and compares, by their digests, all windows of ``MIN_RUN``
-words around those seeds. As a passage of similarity 0.8 or more over ``SEED``-word shingles has an unchanged run of
-``MIN_RUN`` words at least, every near copy is met as well; changed words between two removed runs go with them if the
-passage kept has the two runs in the same order and the similarity over both is high enough.
-
-In every class the occurrence with the smallest doc_id, then position, stays and the others are removals.
+A document is a row's doc_id and exact text. Three kinds of removals are found, each among what the ones before leave:
+
+1. ``text``: texts that are equal to that of a smaller doc_id go whole if they have ``MIN_RUN`` words or more.
+2. ``line``: paragraphs are lines of ``MIN_RUN`` words or more, compared as sets of word shingles. MinHash bands, tuned
+   for high recall at the wanted similarity, deal them to keys; lines that collide are verified by their exact Jaccard
+   similarity and joined to components. Bands are posted packed (see ``postings``), so only lines that share a band are
+   looked at again, and large groups meet by hubs and families (see ``linking``).
+3. ``passage``: a passage may start and end anywhere in a line, so every run of ``MIN_RUN`` words that stood earlier
+   goes. Two passes find all of them. The first picks seeds by winnowing: of every ``MIN_RUN - SEED + 1`` neighbouring
+   ``SEED``-word shingles that with the least hash, so that texts which share ``MIN_RUN`` words share a seed there. The
+   second posts the digests of those runs whose least shingle is a seed that repeats. As a passage of similarity 0.8 or
+   more over ``SEED``-word shingles has an unchanged run of ``MIN_RUN`` words at least, every near copy is met as well;
+   changed words between two removed runs go with them if the passage kept has the two runs in the same order and the
+   similarity over both is high enough.
+
+In every class the occurrence with the smallest doc_id, then text and position, stays and the others are removals. Runs
+that touch a removed line never keep a passage for others, and removed texts and lines are not looked at further, so a
+removal always rests on words that stay.
 
 Words are runs of bytes other than ASCII white space with A-Z folded. Edge cases: null or blank texts have no
 paragraphs and stay as they are; rows that repeat doc_id and text are one document, copies of a text under other ids
@@ -32,15 +37,26 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm import words as W
 from pressgauge.llm.linking import link
-from pressgauge.llm.scratch import cut, small_side
+from pressgauge.llm.postings import partitions, range_bits, ranges, shared, short
+from pressgauge.llm.scratch import Workspace, cut, small_side
 
-MIN_WORDS, MIN_RUN = 30, 20
+#: Words of the shortest paragraph and of the shortest run that is removed.
+MIN_RUN = 20
 #: Bands and rows: two lines of similarity 0.8 collide with probability 1 - (1 - 0.8**3)**20 = 0.9999994.
 BANDS, ROWS = 20, 3
 #: Words of a seed shingle.
 SEED = 5
+#: Copies of texts and other single numbers may be broadcast up to so many.
+BROADCAST_IDS = 2_000_000
+
+_ODD = np.random.default_rng(23).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_NO_ID = -(2**63)
 
-_SEEDS = np.random.default_rng(23).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def _slim(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row); ``row`` tells documents apart, also where doc_ids repeat or are null."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.withColumn("row", F.xxhash64("doc_id", "text"))
 
 
 class Text:
@@ -54,217 +70,334 @@ class Text:
         newline = np.flatnonzero((data == 10) | (data == 13))
         self.line = np.searchsorted(newline, self.start)
 
-    def text_ids(self) -> np.ndarray:
-        """A 32-bit digest of every row's words."""
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(self.h * np.uint64(3) + (np.arange(len(self.h)) - self.first[self.row]).astype(np.uint64)))))
-        return (W.mix(total[self.first[1:]] - total[self.first[:-1]]) >> np.uint64(33)).astype(np.int32)
-
-    def lines(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-plus-one word of every line with at least so many words."""
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last-plus-one word of every paragraph."""
         n = len(self.h)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         new = np.flatnonzero(np.concatenate(([True], (self.row[1:] != self.row[:-1]) | (self.line[1:] != self.line[:-1]))))
         stop = np.append(new[1:], n)
-        keep = stop - new >= least
+        keep = stop - new >= MIN_RUN
         return new[keep], stop[keep]
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the seeds and their hashes; equal runs of ``MIN_RUN`` words have an equal seed at the same place."""
+    def line_sets(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct shingles of all paragraphs one after another, where each begins, and their digests."""
+        a, b = self.lines()
+        if not len(a):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        size = b - a - k + 1
+        items = W.gather(W.shingles(self.h, k), a, size, np.arange(len(a)))
+        of = np.repeat(np.arange(len(a)), size)
+        order = np.lexsort((items, of))
+        items, of = items[order], of[order]
+        keep = np.concatenate(([True], (items[1:] != items[:-1]) | (of[1:] != of[:-1])))
+        items, of = items[keep], of[keep]
+        first = np.searchsorted(of, np.arange(len(a)))
+        return items, first, W.digests(items, first)
+
+    def bounds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, first byte and end byte in the row of the words from a to b - 1."""
+        row = self.row[a]
+        return row, (self.start[a] - self.base[row]).astype(np.int32), (self.end[b - 1] - self.base[row]).astype(np.int32)
+
+    def removed(self, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For every place between words how many words before it lie in the given byte spans of rows."""
+        inside = np.zeros(len(self.h) + 1, np.int64)
+        a = np.searchsorted(self.start, starts + self.base[rows])
+        b = np.searchsorted(self.start, ends + self.base[rows])
+        np.add.at(inside, a, 1)
+        np.add.at(inside, b, -1)
+        return np.concatenate(([0], np.cumsum(np.cumsum(inside)[:-1] > 0)))
+
+    def runs(self, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words, least shingle and removed words of all runs of ``MIN_RUN`` words in one row, but for removed runs."""
         g, w = W.shingles(self.h, SEED), MIN_RUN - SEED + 1
-        # Shingles over a row's end lose to all others; they are never in a window that lies in one row.
-        g[self.row[: len(g)] != self.row[SEED - 1 :][: len(g)]] = np.uint64(2**64 - 1)
-        m = len(g) - w + 1
-        if m <= 0:
-            return np.zeros(0, np.int64), g[:0]
+        m = max(0, len(g) - w + 1)
         least = g[:m].copy()
         for j in range(1, w):
             np.minimum(least, g[j : j + m], out=least)
-        # A shingle is picked if it is the least of a window that holds it and lies in its row.
-        last = self.row[MIN_RUN - 1 :][:m]
-        least = np.where(self.row[:m] == last, least, np.uint64(0))
-        most = np.zeros(len(g), np.uint64)
-        for j in range(w):
-            np.maximum(most[j : j + m], least, out=most[j : j + m])
-        at = np.flatnonzero(most == g)
-        return at, g[at]
-
-    def windows(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words and digests of all runs of ``MIN_RUN`` words that hold one of the seeds, each inside one row."""
-        m = max(0, len(self.h) - MIN_RUN + 1)
-        wanted = np.zeros(len(self.h) + 1, np.int64)
-        np.add.at(wanted, np.maximum(seeds - (MIN_RUN - SEED), 0), 1)
-        np.add.at(wanted, seeds + 1, -1)
-        at = np.flatnonzero((np.cumsum(wanted)[:m] > 0) & (self.row[:m] == self.row[MIN_RUN - 1 :][:m]))
+        gone = removed[MIN_RUN : MIN_RUN + m] - removed[:m]
+        at = np.flatnonzero((self.row[:m] == self.row[MIN_RUN - 1 :][:m]) & (gone < MIN_RUN))
+        return at, least[at], gone[at]
+
+    def digests(self, at: np.ndarray) -> np.ndarray:
         digest = np.zeros(len(at), np.uint64)
         for j in range(MIN_RUN):
             digest = W.mix(digest * np.uint64(0x9E3779B97F4A7C15) + self.h[at + j])
-        return at, digest
+        return digest
 
-    def sets(self, lines: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[np.ndarray]:
-        sh = W.shingles(self.h, k)
-        for a, b in zip(*(x.tolist() for x in lines)):
-            yield np.unique(sh[a : b - k + 1])
 
+def _bands(items: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """MinHash band keys (paragraph, band)."""
+    x = (items >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((len(first), BANDS), np.uint64)
+    for band in range(BANDS):
+        for r in range(ROWS):
+            least = np.minimum.reduceat(x * _ODD[band * ROWS + r], first)
+            out[:, band] = W.mix(out[:, band] * np.uint64(31) + least)
+    return W.mix(out + np.arange(BANDS, dtype=np.uint64))
 
-def _spans(text: Text, lines: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Row, first byte and end byte in the row, and words of each unit."""
-    a, b = lines
-    row = text.row[a] if len(a) else np.zeros(0, np.int64)
-    return [row, (text.start[a] - text.base[row]).astype(np.int32), (text.end[b - 1] - text.base[row]).astype(np.int32), (b - a).astype(np.int32)]
 
-
-def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Text]]:
+    """First row, number of rows and words of the chunks of a batch."""
+    for first, data, at in W.chunks(batch.column("text")):
+        yield first, len(at) - 1, Text(data, at)
 
 
-UNIT = "doc_id long, text_id int, start int, end int, n_words int, digest long"
+def copies(docs: DataFrame) -> DataFrame:
+    """(row, keep_doc_id) of the documents whose text a smaller doc_id has as well, null ids being the smallest."""
+    ids = _slim(docs).where("text is not null").select("doc_id", "row", F.xxhash64("text").alias("text_hash"))
+    # min() passes over nulls, the smallest struct does not.
+    least = ids.groupBy("text_hash").agg(F.min(F.struct("doc_id")).alias("keep"), F.max(F.struct("doc_id")).alias("last")).where(~F.col("keep").eqNullSafe(F.col("last")))
+    same = ids.join(least.drop("last"), "text_hash").where(~F.col("doc_id").eqNullSafe(F.col("keep.doc_id")))
+    return same.select("row", F.col("keep.doc_id").alias("keep_doc_id"), "text_hash").distinct()
 
 
-def line_units(docs: DataFrame, k: int) -> DataFrame:
-    """Lines with their shingle-set digest and MinHash bands."""
+def whole_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Removals of copied texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, at in W.chunks(batch.column("text")):
-                text = Text(data, at)
-                lines = text.lines(MIN_WORDS)
-                row, start, end, n = _spans(text, lines)
-                digests, bands = [], []
-                for u in text.sets(lines, k):
-                    digests.append(W.digest(u))
-                    least = W.mix(u[None, :] * _SEEDS[:, None]).min(axis=1).reshape(BANDS, ROWS)
-                    bands.append(W.mix((least * _SEEDS[:ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                ids = batch.column("doc_id").take(pa.array(row + first))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(text.text_ids()[row]), pa.array(start), pa.array(end), pa.array(n), pa.array(np.array(digests, np.uint64).view(np.int64)), W.ragged(bands, pa.int64())],
-                    names=["doc_id", "text_id", "start", "end", "n_words", "digest", "bands"],
-                )
+            for first, n, text in _texts(batch):
+                size = np.diff(text.first)
+                some = np.flatnonzero(size >= MIN_RUN)
+                _, start, end = text.bounds(text.first[some], text.first[some + 1])
+                took = batch.select(["doc_id", "row"]).take(pa.array(some + first))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(start), pa.array(end), pa.array(size[some].astype(np.int32))], names=["doc_id", "row", "start", "end", "n_words"])
 
-    return _slim(docs).mapInArrow(run, f"{UNIT}, bands array<long>")
+    rows = _slim(docs).join(small_side(gone.select("row"), limit=BROADCAST_IDS), "row", "left_semi").select("doc_id", "row", "text")
+    spans = rows.mapInArrow(run, "doc_id long, row long, start int, end int, n_words int").distinct()
+    return spans.join(gone, "row").select("doc_id", "row", "start", "end", "n_words", F.lit("text").alias("kind"), F.col("text_hash").alias("class_id"), "keep_doc_id")
 
 
-def seed_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, word, seed) of every seed; ``word`` is its place in the text."""
+def line_units(rows: DataFrame, k: int) -> DataFrame:
+    """(doc_id, row, start, end, n_words, digest) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, at in W.chunks(batch.column("text")):
-                text = Text(data, at)
-                word, seed = text.seeds()
-                row = text.row[word]
-                rows = pa.array(row + first)
-                place = (word - text.first[row]).astype(np.int32)
+            for first, _, text in _texts(batch):
+                a, b = text.lines()
+                row, start, end = text.bounds(a, b)
+                took = batch.select(["doc_id", "row"]).take(pa.array(row + first))
+                digest = text.line_sets(k)[2].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(place), pa.array(seed.view(np.int64))], names=["doc_id", "text_hash", "word", "seed"]
+                    [*took.columns, pa.array(start), pa.array(end), pa.array((b - a).astype(np.int32)), pa.array(digest)], names=["doc_id", "row", "start", "end", "n_words", "digest"]
                 )
 
-    return _slim(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, word int, seed long")
+    return rows.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, start int, end int, n_words int, digest long")
 
 
-def window_units(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """(doc_id, text_id, word, start, end, digest) of the runs of ``MIN_RUN`` words around the ``seeds`` of (doc_id, text_hash)."""
+def line_sets(rows: DataFrame, k: int) -> DataFrame:
+    """(node, items, bands) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, at in W.chunks(batch.column("text")):
-                text = Text(data, at)
-                some = batch.column("seeds").slice(first, len(at) - 1)
-                seeds = some.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                seeds += np.repeat(text.first[:-1], pc.list_value_length(some).to_numpy(zero_copy_only=False))
-                word, digest = text.windows(seeds)
-                row, start, end, _ = _spans(text, (word, word + MIN_RUN))
-                place = (word - text.first[row]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row + first)), pa.array(text.text_ids()[row]), pa.array(place), pa.array(start), pa.array(end), pa.array(digest.view(np.int64))],
-                    names=["doc_id", "text_id", "word", "start", "end", "digest"],
-                )
+            for _, _, text in _texts(batch):
+                items, first, digest = text.line_sets(k)
+                at = pa.array(np.append(first, len(items)).astype(np.int32))
+                bands = _bands(items, first) if len(first) else np.zeros((0, BANDS), np.uint64)
+                ends = pa.array(np.arange(0, len(first) * BANDS + 1, BANDS, dtype=np.int32))
+                lists = [pa.ListArray.from_arrays(x, pa.array(y.view(np.int64))) for x, y in ((at, items), (ends, bands.ravel()))]
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *lists], names=["node", "items", "bands"])
+
+    return rows.select("text").mapInArrow(run, "node long, items array<long>, bands array<long>")
+
+
+def near_lines(work: Workspace, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Removals among paragraphs."""
+
+    def units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _, _, text in _texts(batch):
+            items, first, digest = text.line_sets(k)
+            if len(first):
+                yield _bands(items, first).ravel(), np.repeat(digest, BANDS)
+
+    lines = work.cut(line_units(rows, k), "lines")
+    place = F.struct("doc_id", "row", "start")
+    nodes = work.cut(lines.groupBy("digest").agg(F.min(place).alias("first"), F.count_distinct("row", "start").alias("n")), "line-nodes")
+    near = work.cut(nodes.join(shared(rows.select("text"), units).select("owner"), nodes["digest"] == F.col("owner"), "left_semi"), "near-lines")
+    holders = small_side(near.select(F.col("first.row").alias("row")).distinct(), limit=BROADCAST_IDS)
+    sets = line_sets(rows.join(holders, "row", "left_semi"), k)
+    sets = sets.join(small_side(near.select(F.col("digest").alias("node")), limit=BROADCAST_IDS), "node", "left_semi")
+    sets = work.cut(sets.dropDuplicates(["node"]), "line-sets")
+    bands = sets.select(F.explode("bands").alias("key"), "node", F.size("items").alias("n"))
+    keys = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = work.cut(bands.join(keys, "key"), "line-members")
+
+    def fits(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+    labels = link(work, members, sets.select("node", "items"), percent, fits, lambda pairs: pairs)
+    named = nodes.join(labels, nodes["digest"] == labels["node"], "left").select("digest", "first", "n", F.coalesce("component", "digest").alias("class_id"))
+    kept = named.groupBy("class_id").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
+    classes = work.cut(named.join(kept.select("class_id", "keep"), "class_id").select("digest", "class_id", "keep"), "line-classes")
+    found = lines.join(classes, "digest").where(~place.eqNullSafe(F.col("keep")))
+    return found.select("doc_id", "row", "start", "end", "n_words", F.lit("line").alias("kind"), "class_id", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
 
-    lists = small_side(lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), limit=100_000)
-    rows = _slim(docs)
-    rows = rows.join(lists, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("doc_id", "text", "seeds")
-    return rows.mapInArrow(run, "doc_id long, text_id int, word int, start int, end int, digest long")
 
+def _span_arrays(batch: pa.RecordBatch, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a chunk, starts and ends of the spans in column ``cuts``."""
+    some = batch.column("cuts").slice(first, n)
+    size = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+    flat = some.flatten()
+    start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    return np.repeat(np.arange(n), size), start, end
 
-def line_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, items) of every long line."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, at in W.chunks(batch.column("text")):
-                text = Text(data, at)
-                got = list(text.sets(text.lines(MIN_WORDS), k))
-                yield pa.RecordBatch.from_arrays([pa.array([W.digest(u).view(np.int64) for u in got], pa.int64()), W.ragged([u.view(np.int64) for u in got], pa.int64())], names=["node", "items"])
-
-    return _slim(docs).select("text").mapInArrow(run, "node long, items array<long>")
-
-
-def _near_lines(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Removals among long lines."""
-    units = cut(line_units(docs, k), "lines")
-    place = F.struct("doc_id", "text_id", "start")
-    nodes = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    bands = units.select(F.explode("bands").alias("key"), F.col("digest").alias("node"), F.col("n_words").alias("n"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    # A set can stem from lines of different lengths; their largest bounds its size.
-    members = bands.join(shared, "key", "left_semi").groupBy("key", "node").agg(F.max("n").alias("n"))
-    members = cut(members, "line-members")
-
-    def any_pair(x: str, y: str) -> Column:
-        return F.lit(True)
-
-    def fetch(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        ids = small_side(wanted.join(nodes, "digest").select(F.col("first.doc_id").alias("wanted_id")).distinct(), pairs)
-        texts = _slim(docs)
-        return line_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"), k)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sets = fetch(pairs)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y")).cast("long")
-        return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
-
-    labels = link(members, ["n"], any_pair, verify, fetch, percent)
-    named = nodes.join(labels, nodes["digest"] == labels["node"], "left").select("digest", "first", "n", F.coalesce("component", "digest").alias("class_id"))
-    kept = named.groupBy("class_id").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    classes = cut(named.join(kept.select("class_id", "keep"), "class_id").select("digest", "class_id", "keep"), "line-classes")
-    found = units.join(classes, "digest").where(~place.eqNullSafe(F.col("keep")))
-    return found.select("doc_id", "text_id", "start", "end", "n_words", F.lit("line").alias("kind"), "class_id", F.col("keep.doc_id").alias("keep_doc_id")).distinct()
+def repeated_seeds(rows: DataFrame) -> DataFrame:
+    """(row, seeds array<binary>): the short forms of those seeds of a document that stand elsewhere or twice in it."""
+
+    def units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = batch.column("row").to_numpy().view(np.uint64)
+        for first, n, text in _texts(batch):
+            at, least, _ = text.runs(text.removed(*_span_arrays(batch, first, n)))
+            if not len(at):
+                continue
+            # Neighbouring runs have their least shingle in common as long as it is the same place.
+            g, w = W.shingles(text.h, SEED), MIN_RUN - SEED + 1
+            picked = np.concatenate(([True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)))
+            seed, row = least[picked], text.row[at[picked]]
+            owner = ids[first + row]
+            # Places of a seed in its document: a second owner stands for the second place.
+            is_seed = np.isin(g, seed)
+            place = np.flatnonzero(is_seed & (text.row[: len(g)] == text.row[SEED - 1 :][: len(g)]))
+            order = np.lexsort((g[place], text.row[place]))
+            p = place[order]
+            twice = p[1:][(g[p[1:]] == g[p[:-1]]) & (text.row[p[1:]] == text.row[p[:-1]])]
+            yield np.concatenate((seed, g[twice])), np.concatenate((owner, ids[first + text.row[twice]] ^ np.uint64(1)))
+
+    return shared(rows.select("row", "text", "cuts"), units, lists=True).select(F.col("owner").alias("row"), F.col("tokens").alias("seeds"))
+
+
+_PLACES = [("ids", np.int64), ("rows", np.int64), ("words", np.int32), ("starts", np.int32), ("ends", np.int32), ("touched", np.uint8)]
+
+
+def _table(columns: dict[str, np.ndarray], order: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: x[order] for c, x in columns.items()}
+
+
+def _ranked(digest: np.ndarray, places: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Distinct places in order of digests, untouched and early ones first, and for each the index of its digest's first."""
+    order = np.lexsort((places["words"], places["rows"], places["ids"], places["touched"], digest))
+    d, p = digest[order], _table(places, order)
+    if len(d):
+        keep = np.concatenate(([True], (d[1:] != d[:-1]) | (p["rows"][1:] != p["rows"][:-1]) | (p["words"][1:] != p["words"][:-1])))
+        d, p = d[keep], _table(p, np.flatnonzero(keep))
+    new = np.concatenate(([True], d[1:] != d[:-1])) if len(d) else np.zeros(0, bool)
+    return d, p, np.flatnonzero(new)[np.cumsum(new) - 1] if len(d) else np.zeros(0, np.int64)
 
 
-def _repeated_runs(docs: DataFrame, percent: int) -> DataFrame:
+HIT = "doc_id long, row long, word int, start int, end int, digest long, keep_id long, keep_row long, keep_word int, keep_end int, keeper int"
+
+
+def _hits(digest: np.ndarray, p: dict[str, np.ndarray], of: np.ndarray, keeper: np.ndarray) -> pa.RecordBatch:
+    """Places that are not the first of their digest, with that first. ``keeper``: 0 it stays, 1 and 2 it is a chunk's."""
+    again = np.flatnonzero(of != np.arange(len(of)))
+    first = of[again]
+    ids = [pa.array(p["ids"][x], mask=p["ids"][x] == _NO_ID) for x in (again, first)]
+    columns = [ids[0], *(pa.array(p[c][again]) for c in ("rows", "words", "starts", "ends")), pa.array(digest[again].view(np.int64))]
+    columns += [ids[1], *(pa.array(p[c][first]) for c in ("rows", "words", "ends")), pa.array(keeper[again])]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HIT.split(", ")])
+
+
+def run_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``HIT`` rows: runs of ``MIN_RUN`` words that stood earlier, and the run that keeps them.
+
+    Runs are posted packed by ranges of their digests. Within a chunk of texts equal runs are one posting; the others
+    follow it (``keeper`` 1, or 2 if it touches a removed line) and take over what becomes of it.
+    """
+    bits = range_bits(rows.sparkSession)
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.binary()), *[(c, pa.binary()) for c, _ in _PLACES], ("first", pa.binary())])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, row_ids = pc.fill_null(batch.column("doc_id"), _NO_ID).to_numpy(), batch.column("row").to_numpy()
+            for first, n, text in _texts(batch):
+                at, least, gone = text.runs(text.removed(*_span_arrays(batch, first, n)))
+                some = batch.column("seeds").slice(first, n)
+                packed = [b"".join(x) for x in some.to_pylist()]
+                wanted = np.frombuffer(b"".join(packed), np.uint32).astype(np.uint64)
+                wanted |= np.repeat(np.arange(n, dtype=np.uint64), [len(x) // 4 for x in packed]) << np.uint64(32)
+                have = short(least, bits).astype(np.uint64) | text.row[at].astype(np.uint64) << np.uint64(32)
+                keep = np.isin(have, wanted)
+                at, gone = at[keep], gone[keep]
+                if not len(at):
+                    continue
+                row, start, end = text.bounds(at, at + MIN_RUN)
+                places = dict(zip((c for c, _ in _PLACES), (ids[first + row], row_ids[first + row], (at - text.first[row]).astype(np.int32), start, end, (gone > 0).astype(np.uint8))))
+                d, p, of = _ranked(text.digests(at), places)
+                own = of == np.arange(len(of))
+                q, tops = _table(p, np.flatnonzero(own)), d[own]
+                key = short(tops, bits)
+                out = [(r, key[a:b].tobytes(), *[q[c][a:b].tobytes() for c, _ in _PLACES], None) for r, a, b in ranges(tops, bits)]
+                if not own.all():
+                    # Followers travel with the run they follow, whole groups together.
+                    many = np.flatnonzero(np.bincount(of, minlength=len(of))[of] > 1)
+                    back = np.searchsorted(many, of[many]).astype(np.int32)
+                    out.append((int(tops[0] >> np.uint64(64 - bits)), d[many].tobytes(), *[p[c][many].tobytes() for c, _ in _PLACES], back.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, parts = [], {c: [] for c, _ in _PLACES}
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["first"] is None:
+                    keys.append(np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["range"] << 32))
+                    for c, kind in _PLACES:
+                        parts[c].append(np.frombuffer(x[c], kind))
+                else:
+                    p = {c: np.frombuffer(x[c], kind) for c, kind in _PLACES}
+                    of = np.frombuffer(x["first"], np.int32)
+                    yield _hits(np.frombuffer(x["keys"], np.uint64), p, of, 1 + p["touched"][of].astype(np.int32))
+        if keys:
+            d, p, of = _ranked(np.concatenate(keys), {c: np.concatenate(v) for c, v in parts.items()})
+            # A first run that touches a removed line keeps nothing.
+            of = np.where(p["touched"][of] > 0, np.arange(len(of)), of)
+            yield _hits(d, p, of, np.zeros(len(of), np.int32))
+
+    lists = small_side(lists, F.aggregate("seeds", F.lit(0), lambda n, x: n + F.octet_length(x)), limit=BROADCAST_IDS)
+    some = rows.join(lists, "row").select("doc_id", "row", "text", "cuts", "seeds")
+    packed = some.mapInArrow(post, "range int, keys binary, " + ", ".join(f"{c} binary" for c, _ in _PLACES) + ", first binary")
+    return packed.repartition(partitions(rows.sparkSession), "range").mapInArrow(meet, HIT)
+
+
+def repeated_runs(work: Workspace, rows: DataFrame, percent: int) -> DataFrame:
     """Removals of passages that stood earlier word for word, and of changed words between two of them."""
-    seeds = cut(seed_units(docs), "seeds")
-    twice = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    lists = seeds.join(twice, "seed", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("word").alias("seeds"))
-    windows = cut(window_units(docs, cut(lists, "seed-lists")), "windows")
-    place = F.struct("doc_id", "text_id", "word", "end")
-    first = windows.groupBy("digest").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, "digest").where(~place.eqNullSafe(F.col("keep")))
-    # Windows over one text: neighbours that stand in the same way in the text that keeps them are one run.
-    # Rows that repeat doc_id and text give every window twice, which the same rule joins.
-    text = Window.partitionBy("doc_id", "text_id").orderBy("word")
-    again = again.withColumn("shift", F.col("keep.word") - F.col("word")).withColumn("from", F.struct("keep.doc_id", "keep.text_id"))
-    joined = F.lag("from").over(text).eqNullSafe(F.col("from")) & (F.lag("shift").over(text) == F.col("shift")) & (F.lag("word").over(text) >= F.col("word") - 1)
+    hits = work.cut(run_hits(rows, work.cut(repeated_seeds(rows), "seeds")), "hits")
+    final, followers = hits.where("keeper = 0"), hits.where("keeper > 0")
+    became = final.select(F.col("row").alias("keep_row"), F.col("word").alias("keep_word"), *[F.col(c).alias(f"_{c}") for c in ("keep_id", "keep_row", "keep_word", "keep_end")])
+    moved = followers.join(became, ["keep_row", "keep_word"], "left").where("_keep_row is not null or keeper = 1")
+    pick = lambda c: F.when(F.col("_keep_row").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    moved = moved.select("doc_id", "row", "word", "start", "end", "digest", *[pick(c) for c in ("keep_id", "keep_row", "keep_word", "keep_end")])
+    again = final.drop("keeper").unionByName(moved)
+    # Runs over one text: neighbours that stand in the same way in the text that keeps them are one passage, and so are
+    # neighbours that the text itself keeps, which shift by every period.
+    text = Window.partitionBy("row").orderBy("word")
+    again = again.withColumn("shift", F.col("keep_word") - F.col("word"))
+    alike = (F.lag("shift").over(text) == F.col("shift")) | (F.col("keep_row") == F.col("row"))
+    joined = (F.lag("keep_row").over(text) == F.col("keep_row")) & alike & (F.lag("word").over(text) >= F.col("word") - 1)
     again = again.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(text))
-    runs = again.groupBy("doc_id", "text_id", "run").agg(
+    runs = again.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"),
         F.min("word").alias("word"),
         (F.max("word") + MIN_RUN).alias("stop"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        F.min("shift").alias("shift"),
+        F.min_by("shift", "word").alias("shift"),
         F.min_by("digest", "word").alias("class_id"),
-        F.min_by("from", "word").alias("from"),
-        F.min("keep.end").alias("keep_end"),
+        F.first("keep_row").alias("keep_row"),
+        F.first("keep_id").alias("keep_doc_id"),
+        F.min_by("keep_end", "word").alias("keep_end"),
     )
-    own = F.col("from").eqNullSafe(F.struct("doc_id", "text_id"))
+    own = F.col("keep_row") == F.col("row")
     # A text that repeats itself within MIN_RUN words keeps its first run whole.
     over = F.when(own, F.greatest(F.lit(0), MIN_RUN + F.col("shift"))).otherwise(0)
     plain = runs.withColumn("n_words", (F.col("stop") - F.col("word") - over).cast("int")).withColumn("start", F.when(over > 0, F.col("keep_end")).otherwise(F.col("start")))
-    names = ["doc_id", "text_id", "start", "end", "n_words", F.lit("passage").alias("kind"), "class_id", F.col("from.doc_id").alias("keep_doc_id")]
-    before = {c: F.lag(c).over(Window.partitionBy("doc_id", "text_id").orderBy("word")) for c in ("word", "stop", "end", "shift", "from")}
-    pairs = runs.select("*", *[c.alias(f"p_{n}") for n, c in before.items()]).where(F.col("p_from").eqNullSafe(F.col("from")) & ~own & (F.col("word") > F.col("p_stop")) & (F.col("word") + F.col("shift") >= F.col("p_stop") + F.col("p_shift")))
+    names = ["doc_id", "row", "start", "end", "n_words", F.lit("passage").alias("kind"), "class_id", "keep_doc_id"]
+    before = {c: F.lag(c).over(Window.partitionBy("row").orderBy("word")) for c in ("word", "stop", "end", "shift", "keep_row")}
+    pairs = runs.select("*", *[c.alias(f"p_{n}") for n, c in before.items()])
+    pairs = pairs.where((F.col("p_keep_row") == F.col("keep_row")) & ~own & (F.col("word") > F.col("p_stop")) & (F.col("word") + F.col("shift") >= F.col("p_stop") + F.col("p_shift")))
     less = SEED - 1
     common = F.col("p_stop") - F.col("p_word") + F.col("stop") - F.col("word") - 2 * less
     both = 2 * (F.col("stop") - F.col("p_word") - less) + F.col("shift") - F.col("p_shift")
@@ -274,42 +407,50 @@ def _repeated_runs(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_id, start, end, n_words, kind, class_id, keep_doc_id): byte spans to remove, which may overlap."""
-    return _near_lines(docs, k, percent).unionByName(_repeated_runs(docs, percent))
+    """(doc_id, row, start, end, n_words, kind, class_id, keep_doc_id): byte spans to remove, which may overlap."""
+    work = Workspace(docs.sparkSession, "paragraphs")
+    gone = work.cut(copies(docs), "copies")
+    rows = _slim(docs).where("text is not null").join(small_side(gone.select("row"), limit=BROADCAST_IDS), "row", "left_anti")
+    lines = work.cut(whole_texts(docs, gone).unionByName(near_lines(work, rows, k, percent)), "lines-out")
+    cuts = lines.where("kind = 'line'").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    cuts = small_side(work.cut(cuts, "cuts"), F.size("cuts") * 8, limit=BROADCAST_IDS)
+    found = cut(lines.unionByName(repeated_runs(work, rows.join(cuts, "row", "left"), percent)), "removals")
+    work.close()
+    return found
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans cut out of their texts; documents of which no word is left are dropped."""
-    lists = spans.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("text_id", "start", "end")).alias("_cut"))
-    lists = cut(lists, "spans")
-    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    joined = docs.join(small_side(lists, limit=100_000), docs["doc_id"].cast("long").eqNullSafe(F.col("_cut_id")), "left").drop("_cut_id")
-    untouched = joined.where(F.col("_cut").isNull()).select(*[F.col(f"`{c}`") for c in names])
+    lists = cut(spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_cut")), "spans")
+    names = docs.columns
+    lists = small_side(lists, F.size("_cut") * 8, limit=BROADCAST_IDS)
+    # A struct keeps the columns of ``docs`` apart from those of the join, whatever their names.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("d"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_row"))
+    joined = keyed.join(lists, "_row", "left")
+    untouched = joined.where(F.col("_cut").isNull()).select("d.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, cuts = batch.column("text"), batch.column("_cut").to_pylist()
-            texts, keep = [], []
+            whole, cuts = dict(zip(names, batch.column("d").flatten())), batch.column("_cut").to_pylist()
+            column, texts, keep = whole["text"], [], []
             for first, data, at in W.chunks(column):
-                ids = Text(data, at).text_ids().tolist()
-                for i, (text_id, a, b) in enumerate(zip(ids, at.tolist(), at[1:].tolist())):
+                for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
                     left = np.ones(b - a, bool)
                     for c in cuts[first + i]:
-                        if c["text_id"] == text_id:
-                            left[c["start"] : c["end"]] = False
+                        left[c["start"] : c["end"]] = False
                     texts.append(data[a:b][left].tobytes().decode())
                     keep.append(left.all() or bool((~W.SPACE[data[a:b][left]]).any()))
             new = pa.array(texts, pa.string())
             changed = {"text": new}
             if "n_chars" in names:
                 changed["n_chars"] = pc.utf8_length(new)
-            out = pa.table({c: changed[c].cast(batch.schema.field(c).type) if c in changed else batch.column(c) for c in names}).filter(pa.array(keep, pa.bool_()))
+            out = pa.table({c: changed[c].cast(x.type) if c in changed else x for c, x in whole.items()}).filter(pa.array(keep, pa.bool_()))
             yield from out.to_batches()
 
-    touched = joined.where(F.col("_cut").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    touched = joined.where(F.col("_cut").isNotNull() & F.col("d.text").isNotNull()).select("d", "_cut").mapInArrow(run, docs.schema)
     return untouched.unionByName(touched)
 
 
 def dedup_passages(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without repeated lines and passages."""
+    """``docs`` without repeated texts, lines and passages."""
     return without(docs, removals(docs, k, percent))
