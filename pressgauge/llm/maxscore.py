@@ -16,7 +16,6 @@ a long.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,28 +57,29 @@ def _best(q: np.ndarray, impacts: np.ndarray, heads: tuple[np.ndarray, np.ndarra
     return alive, score
 
 
-def maxscore_top_k(rows: DataFrame, k: int, is_query: Column, scale: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (vec_id, embedding): the k largest inner products of floor(scale * x)."""
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    clean = rows.where(blocks.finite(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), is_query.alias("q"))
-    queries = clean.where("q").select("vec_id", "v").dropDuplicates(["vec_id"])
+def _index(ids: np.ndarray, vectors: np.ndarray, k: int, scale: int) -> blocks.Searcher:
+    """Postings of one shard, and the search in them."""
+    v = np.floor(vectors * scale)
+    width, most = v.shape[1], float(np.abs(v).max(initial=0)) * max(v.shape[1], 1)
+    n = min(HEAD, len(ids))
+    by_id = np.argsort(ids, kind="stable")
+    sorted_ids = ids[by_id]
+    postings: dict[type, np.ndarray] = {}
 
-    def cell(shard: pa.Table, block: pa.Table) -> pa.Table:
-        width = blocks.width(shard.column("v"), block.column("v"))
-        ids, v = shard.column("vec_id").to_numpy(), blocks.matrix(shard.column("v"), width)
-        query_ids, q = block.column("vec_id").to_numpy(), blocks.matrix(block.column("v"), width)
-        bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(width, 1)
+    def search(query_ids: np.ndarray, q: np.ndarray) -> blocks.Found:
+        q = np.floor(q * scale)
+        bound = most * float(np.abs(q).max(initial=0))
         if bound >= 2**53:
             raise OverflowError("scores need more than 53 bits")
         # Sums of whole numbers below 2**24 are exact in single precision too.
         kind = np.float32 if bound < 2**24 else np.float64
-        impacts, q = np.ascontiguousarray(v.T, kind), q.astype(kind)
+        if kind not in postings:
+            postings[kind] = np.ascontiguousarray(v.T, kind)
+        impacts, q = postings[kind], q.astype(kind)
         hi, lo = impacts.max(axis=1, initial=-np.inf), impacts.min(axis=1, initial=np.inf)
-        n = min(HEAD, len(ids))
         heads = (np.argpartition(-impacts, n - 1, axis=1)[:, :n], np.argpartition(impacts, n - 1, axis=1)[:, :n])
-        by_id = np.argsort(ids, kind="stable")
-        first, last = np.searchsorted(ids[by_id], query_ids), np.searchsorted(ids[by_id], query_ids, "right")
-        found = [[], [], []]
+        first, last = np.searchsorted(sorted_ids, query_ids), np.searchsorted(sorted_ids, query_ids, "right")
+        found: tuple[list, list, list] = ([], [], [])
         for i in range(len(q)):
             own = by_id[first[i] : last[i]]
             if width == 0:
@@ -89,9 +89,16 @@ def maxscore_top_k(rows: DataFrame, k: int, is_query: Column, scale: int = 256)
             keep = np.lexsort((ids[at], -score))[:k]
             for column, x in zip(found, (np.full(len(keep), query_ids[i]), ids[at[keep]], score[keep].astype(np.int64))):
                 column.append(x)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found))))
+        return tuple(map(np.concatenate, found))
+
+    return search
 
-    found = blocks.search(clean.select("vec_id", "v"), queries, cell, "query_id long, vec_id long, score long")
+
+def maxscore_top_k(rows: DataFrame, k: int, is_query: Column, scale: int = 256) -> DataFrame:
+    """(query_id, rank, vec_id, score) from (vec_id, embedding): the k largest inner products of floor(scale * x)."""
+    clean = rows.where(blocks.finite(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), is_query.alias("q"))
+    queries = clean.where("q").select("vec_id", "v").dropDuplicates(["vec_id"])
+    found = blocks.search(clean.select("vec_id", "v"), queries, lambda ids, vectors: _index(ids, vectors, k, scale), "long")
     return blocks.merged(found, k)
 
 
