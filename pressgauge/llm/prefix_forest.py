@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Every tree hashes a vector to a long string of bits, the sides of random planes. A shard of the index keeps each
-tree's strings in a sorted array. A query descends every tree to its longest matching prefix, then all trees ascend
-together, one bit at a time, until the rows under the prefixes, counted per tree, reach the wanted number of
-candidates. Rows under a prefix lie side by side in the sorted array; queries that stopped at the same prefix are
-scored against them with one matrix product. Scores are inner products of the original vectors in double precision.
+Every tree hashes a vector to a long string of bits: first the corner of a randomly turned cross-polytope that is
+nearest to it, then the sides of random planes. A shard of the index keeps each tree's strings in a sorted array. A
+query descends every tree to its longest matching prefix, then all trees ascend together, one bit at a time, until the
+rows under the prefixes, counted per tree, reach the wanted number of candidates. Rows under a prefix lie side by side
+in the sorted array; queries that stopped at the same prefix are scored against them with one matrix product. Scores are
+inner products of the original vectors in double precision.
 
-The planes come from a seed and need no sample; every row is indexed and no bucket is capped: a prefix that very many
-rows share (copies of one vector) only ends the ascent earlier, and all rows under it are scored.
+The turns and planes come from a seed and need no sample; every row is indexed and no bucket is capped: a prefix that
+very many rows share (copies of one vector) only ends the ascent earlier, and all rows under it are scored.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; a
 missing component counts as 0; a query id that repeats is one query; its own rows are no candidates; if a shard has
@@ -18,92 +19,102 @@ read.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import blocks
 
-TREES, BITS = 16, 48
-#: Candidates wanted per query as a share of the shard's rows, rows found by several trees counted for each.
-WANTED = 1.5
-
-
-def planes(width: int, trees: int, bits: int, seed: int) -> np.ndarray:
-    """One matrix of ``bits`` normals per tree, orthogonal as far as the width allows."""
-    rng = np.random.default_rng(seed)
-    out = np.empty((trees, width, bits))
-    for t in range(trees):
-        for k in range(0, bits, width):
-            n = min(width, bits - k)
-            out[t, :, k : k + n] = np.linalg.qr(rng.standard_normal((width, width)))[0][:, :n]
-    return out
-
-
-def strings(vectors: np.ndarray, normals: np.ndarray) -> np.ndarray:
-    """Hash string of every vector in one tree, as an integer whose first bit is the highest."""
-    sides = (vectors @ normals > 0).astype(np.int64)
-    return sides @ (np.int64(1) << np.arange(normals.shape[1] - 1, -1, -1, dtype=np.int64))
-
-
-def _close(q: np.ndarray, v: np.ndarray, codes: list, wanted: float, k: int, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of candidates not below the k-th best score of their query in some tree."""
-    bits, trees = BITS, []
-    count = np.zeros((len(q), bits + 1), np.int64)
-    for mine, theirs in codes:
-        order = np.argsort(theirs, kind="stable")
-        at = theirs[order]
-        trees.append((order, at))
-        for level in range(bits + 1):
-            shift = bits - level
-            low = (mine >> shift) << shift
-            count[:, level] += np.searchsorted(at, low + (np.int64(1) << shift)) - np.searchsorted(at, low)
-    # Counts fall as prefixes grow: the deepest level with enough candidates, else the root.
-    level = np.maximum((count >= wanted).sum(axis=1) - 1, 0)
-    out_q, out_r = [], []
-    for (mine, _), (order, at) in zip(codes, trees):
-        prefix = (mine >> (bits - level)) << (bits - level)
-        groups, member = np.unique(np.stack((level, prefix)), axis=1, return_inverse=True)
-        member = np.ravel(member)
-        for g in range(groups.shape[1]):
-            a, b = np.searchsorted(at, [groups[1, g], groups[1, g] + (np.int64(1) << np.int64(bits - groups[0, g]))])
-            who, rows = np.flatnonzero(member == g), order[a:b]
-            if not len(rows):
-                continue
-            score = q[who] @ v[rows].T
-            score[own[who][:, None] == ids[rows][None, :]] = -np.inf
-            if len(rows) > k:
-                bar = np.partition(score, -k, axis=1)[:, -k]
-                near = score >= np.where(np.isfinite(bar), bar - 1e-9 * (1 + np.abs(bar)), -np.finfo(float).max)[:, None]
-            else:
-                near = score > -np.inf
-            i, j = np.nonzero(near)
+TREES, BITS = 48, 48
+#: Candidates wanted per query in a shard: a share of its rows and a number; rows found by several trees count for each.
+WANTED, AT_LEAST = 0.3, 400
+#: Corners of a cross-polytope are taken in at most so many dimensions.
+CORNERS = 64
+
+
+class Forest:
+    """The trees of one shard."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, wanted: float, seed: int, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.wanted = wanted * len(ids) + AT_LEAST
+        rng, width = np.random.default_rng(seed), vectors.shape[1]
+        self.turns = [(np.linalg.qr(rng.standard_normal((width, width)))[0][:, :CORNERS], rng.standard_normal((width, BITS))) for _ in range(trees)] if width else []
+        self.trees = []
+        for turn in self.turns:
+            strings = self._strings(vectors, *turn)
+            order = np.argsort(strings, kind="stable").astype(np.int32)
+            self.trees.append((order, strings[order]))
+
+    @staticmethod
+    def _strings(vectors: np.ndarray, turn: np.ndarray, planes: np.ndarray) -> np.ndarray:
+        """Hash string of every vector, as an integer whose first bit is the highest."""
+        turned = vectors @ turn
+        axis = np.abs(turned).argmax(axis=1)
+        corner = 2 * axis + (turned[np.arange(len(axis)), axis] > 0)
+        rest = BITS - (2 * turn.shape[1] - 1).bit_length()
+        sides = (vectors @ planes[:, :rest] > 0).astype(np.int64)
+        return (corner.astype(np.int64) << rest) | sides @ (np.int64(1) << np.arange(rest - 1, -1, -1, dtype=np.int64))
+
+    def levels(self, strings: list[np.ndarray]) -> np.ndarray:
+        """Length of the prefixes at which the ascent of each query ends: the longest with enough candidates, else none.
+
+        Counts grow on the way up, so the end of the ascent is found by halving the way that is left.
+        """
+        low, high = np.zeros(len(strings[0]), np.int64), np.full(len(strings[0]), BITS + 1)
+        while (high - low > 1).any():
+            level = (low + high) // 2
+            shift, count = BITS - level, np.zeros(len(level), np.int64)
+            for mine, (_, sorted_) in zip(strings, self.trees):
+                first = (mine >> shift) << shift
+                count += np.searchsorted(sorted_, first + (np.int64(1) << shift)) - np.searchsorted(sorted_, first)
+            enough = count >= self.wanted
+            low, high = np.where(enough, level, low), np.where(enough, high, level)
+        return low
+
+    def candidates(self, q: np.ndarray):
+        """(queries, rows) that lie under a common prefix in some tree, query by prefix."""
+        if not self.turns:
+            yield np.arange(len(q)), np.arange(len(self.ids))
+            return
+        strings = [self._strings(q, *turn) for turn in self.turns]
+        level = self.levels(strings)
+        for mine, (order, sorted_) in zip(strings, self.trees):
+            prefix = (mine >> (BITS - level)) << (BITS - level)
+            _, first, member = np.unique(level * np.int64(-1) * (np.int64(1) << 49) + prefix, return_index=True, return_inverse=True)
+            by = np.argsort(member, kind="stable")
+            low = prefix[first]
+            a, b = np.searchsorted(sorted_, low), np.searchsorted(sorted_, low + (np.int64(1) << (BITS - level[first])))
+            end = np.cumsum(np.bincount(member, minlength=len(first)))
+            for g, to in enumerate(end.tolist()):
+                if b[g] > a[g]:
+                    yield by[end[g - 1] if g else 0 : to], order[a[g] : b[g]]
+
+    def __call__(self, query_ids: np.ndarray, q: np.ndarray) -> blocks.Found:
+        """The k best candidates of every query by exact scores."""
+        k, out_q, out_r = self.k, [], []
+        bar = np.full(len(q), -np.inf)
+        for who, rows in self.candidates(q):
+            score = q[who] @ self.vectors[rows].T
+            score[query_ids[who][:, None] == self.ids[rows][None, :]] = -np.inf
+            if len(rows) >= k:
+                bar[who] = np.maximum(bar[who], np.partition(score, -k, axis=1)[:, -k])
+            # Scores near the k-th best found so far are kept; they are computed again below in one way for all.
+            i, j = np.nonzero((score > -np.inf) & (score >= (bar[who] - 1e-9 * (1 + np.abs(np.nan_to_num(bar[who], neginf=0.0))))[:, None]))
             out_q.append(who[i])
             out_r.append(rows[j])
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.concatenate(out_q).astype(np.int64) * len(v) + np.concatenate(out_r))
-    return both // len(v), both % len(v)
+        both = np.unique(np.concatenate(out_q).astype(np.int64) * len(self.ids) + np.concatenate(out_r)) if out_q else np.zeros(0, np.int64)
+        i, j = both // len(self.ids), both % len(self.ids)
+        score = np.einsum("ij,ij->i", q[i], self.vectors[j])
+        keep = blocks.top(i, self.ids[j], score, k)
+        return query_ids[i[keep]], self.ids[j[keep]], score[keep]
 
 
 def forest_top_k(rows: DataFrame, k: int, is_query: Column, trees: int = TREES, wanted: float = WANTED, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) from (vec_id, embedding)."""
     nonzero = F.exists("embedding", lambda x: x != 0)
     clean = rows.where(blocks.finite(F.col("embedding")) & nonzero & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), is_query.alias("q")
     )
     queries = clean.where("q").select("vec_id", "v").dropDuplicates(["vec_id"])
-
-    def cell(shard: pa.Table, block: pa.Table) -> pa.Table:
-        width = blocks.width(shard.column("v"), block.column("v"))
-        ids, v = shard.column("vec_id").to_numpy(), blocks.matrix(shard.column("v"), width)
-        query_ids, q = block.column("vec_id").to_numpy(), blocks.matrix(block.column("v"), width)
-        normals = planes(width, trees, BITS, seed)
-        codes = [(strings(q, p), strings(v, p)) for p in normals]
-        i, j = _close(q, v, codes, wanted * len(v), k, query_ids, ids)
-        score = np.einsum("ij,ij->i", q[i], v[j])
-        keep = blocks.top(i, ids[j], score, k)
-        return pa.table({"query_id": query_ids[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]})
-
-    found = blocks.search(clean.select("vec_id", "v"), queries, cell, "query_id long, vec_id long, score double")
+    found = blocks.search(clean.select("vec_id", "v"), queries, lambda ids, vectors: Forest(ids, vectors, trees, wanted, seed, k), "double")
     return blocks.merged(found, k)
