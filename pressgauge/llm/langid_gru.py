@@ -1,14 +1,14 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads word parts (A-Z folded, cut at ASCII punctuation) with a space on both sides, byte by byte in both directions, and labels every position with
-probabilities of the languages; a document's evidence is the sum over all positions of its whole text. It is trained
-in numpy by backpropagation through time on a bounded, hash-chosen sample of labelled documents (``DOCS_PER_LANG``
-documents of each language, one window of ``WINDOW`` characters from each). Prediction covers every byte; a word that
-occurs more than once in a chunk is run once and weighted by its count.
+The network reads texts in windows of ``SPAN`` bytes (A-Z folded), byte by byte in both directions across words, and
+labels every position with probabilities of the languages. A document's probabilities are the mean over all positions of
+its whole text that hold a letter (an ASCII letter or a byte beyond ASCII). It is trained in numpy by backpropagation
+through time on a bounded, hash-chosen sample of labelled documents (about ``DOCS_PER_LANG`` documents of each language,
+one stretch of ``STRETCH`` characters from each).
 
 Edge cases: null, blank or letterless text is ``und`` with score 0, as is everything if no labelled row can be learned
-from; null languages are not learned; a word of more than ``SPAN`` bytes is read in spans; rows that repeat a doc_id,
-and null doc_ids, keep a row each; an empty table gives no rows. Only doc_id, text and (for learning) lang are read.
+from; null languages are not learned; rows that repeat a doc_id, and null doc_ids, keep a row each; an empty table gives
+no rows. Only doc_id, text and (for learning) lang are read.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm import words as W
 
-DOCS_PER_LANG, WINDOW = 400, 2_000
-HIDDEN, SPAN, STEPS, BATCH = 12, 30, 700, 256
+DOCS_PER_LANG, STRETCH = 400, 2_000
+HIDDEN, SPAN, STEPS, BATCH = 12, 64, 300, 128
+#: Windows that run through the network together.
+AT_ONCE = 2_048
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -63,13 +65,13 @@ class ByteGru:
             states[t] = state
         return states, saved
 
-    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
         """(time, row, language) for byte sequences (row, time)."""
         forward, _ = self._run(x.T, "f", False)
         backward, _ = self._run(x.T[::-1], "b", False)
         logits = forward @ self.p["o"][:HIDDEN] + backward[::-1] @ self.p["o"][HIDDEN:] + self.p["c"]
-        logits -= logits.max(axis=2, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        e = np.exp(logits - logits.max(axis=2, keepdims=True))
+        return e / e.sum(axis=2, keepdims=True)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions and its gradients, by backpropagation through time."""
@@ -108,18 +110,15 @@ class ByteGru:
             grad[f"u{side}"], grad[f"x{side}"] = du, dx
         return loss, grad
 
-    def train(self, samples: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = STEPS, rate: float = 0.02, seed: int = 1) -> list[float]:
-        """Adam over batches of equally long sequences; ``samples`` maps a length to (sequences, language indices)."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.03, seed: int = 1) -> list[float]:
+        """Adam over batches of windows ``x`` of languages ``y``, every language drawn equally often."""
         rng = np.random.default_rng(seed)
-        lengths = sorted(samples)
-        share = np.array([len(samples[n][1]) * n for n in lengths], float)
-        share /= share.sum()
+        by = [np.flatnonzero(y == i) for i in range(len(self.languages))]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses = []
         for step in range(1, steps + 1):
-            x, y = samples[lengths[rng.choice(len(lengths), p=share)]]
-            some = rng.integers(0, len(y), min(BATCH, len(y)))
+            some = np.array([rng.choice(by[i]) for i in rng.integers(0, len(by), BATCH)])
             loss, grad = self.gradients(x[some], y[some])
             losses.append(loss)
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -131,84 +130,81 @@ class ByteGru:
         return losses
 
 
-def _sequences(parts: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Spaced spans of the words by length: (bytes, word index)."""
-    spans: dict[int, tuple[list[bytes], list[int]]] = {}
-    for i, word in enumerate(parts):
-        for k in range(0, len(word), SPAN):
-            span = b" " + word[k : k + SPAN] + b" "
-            x = spans.setdefault(len(span), ([], []))
-            x[0].append(span)
-            x[1].append(i)
-    return {n: (np.frombuffer(b"".join(a), np.uint8).reshape(-1, n), np.array(b)) for n, (a, b) in spans.items()}
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_LETTER[128:] = True
+
+
+def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (window, byte) of the folded texts that lie between the offsets, filled up with spaces, and their rows."""
+    size = np.diff(at)
+    n = -(-size // SPAN)
+    row = np.repeat(np.arange(len(size)), n)
+    start = at[row] + SPAN * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+    place = start[:, None] + np.arange(SPAN)
+    x = _FOLD[data[np.minimum(place, len(data) - 1)]] if len(data) else np.zeros((0, SPAN), np.uint8)
+    x[place >= at[row + 1][:, None]] = 32
+    return x, row
 
 
 def learn(docs: DataFrame, usable: Column) -> ByteGru | None:
     """Train on the sample of labelled documents for which ``usable`` holds; None if there is none."""
-    from pyspark.sql import Window
-
-    key = F.xxhash64(F.col("doc_id"), F.lit(17))
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(17))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
-    picked = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), key.alias("k"))
-    # The bound per language is kept by a partial top-k before the window (a limit per group), so no task holds a language.
-    best = Window.partitionBy("lang").orderBy("k", "doc_id")
-    picked = picked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= DOCS_PER_LANG).select("lang", "doc_id")
-    at = F.pmod(key, F.greatest(F.length("text") - WINDOW, F.lit(1)))
-    rows = labelled.join(F.broadcast(picked.withColumnRenamed("lang", "_lang").withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc"))
-    rows = rows.where(F.col("lang") == F.col("_lang")).select("lang", F.substring(F.col("text"), (at + 1).cast("int"), F.lit(WINDOW)).alias("t")).collect()
-    if not rows:
-        return None
-    rows = sorted((r.lang, r.t) for r in rows)
-    languages = sorted({lang for lang, _ in rows})
-    parts, labels = [], []
-    for lang, text in rows:
-        data = np.frombuffer(text.encode(), np.uint8)
-        data, start, end, _ = W.folded_parts(data, np.array([0, len(data)]))
-        raw, a, b = data.tobytes(), start.tolist(), end.tolist()
-        parts += [raw[i:j] for i, j in zip(a, b)]
-        labels += [languages.index(lang)] * len(a)
-    label = np.array(labels)
-    # Every language weighs the same: words are drawn with replacement to one size per language.
-    rng = np.random.default_rng(9)
-    size = min(20_000, max(np.bincount(label, minlength=len(languages)))) if len(label) else 0
-    drawn = np.concatenate([rng.choice(np.flatnonzero(label == i), size) for i in range(len(languages)) if (label == i).any()]) if size else np.zeros(0, int)
-    if not len(drawn):
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), key.alias("k"))
+    # A row is drawn if its key is low enough, so no group of rows is gathered; a few more than wanted are expected.
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    drawn = labelled.join(counts, "lang").where(F.pmod("k", F.lit(1 << 30)) < F.lit((1 << 30) * 1.3 * DOCS_PER_LANG) / F.col("n"))
+    at = F.pmod("k", F.greatest(F.length("text") - STRETCH, F.lit(1)))
+    rows = drawn.select("lang", "k", F.substring("text", (at + 1).cast("int"), F.lit(STRETCH)).alias("t")).dropDuplicates(["lang", "k"]).collect()
+    languages, taken, xs, ys = sorted({r.lang for r in rows}), {}, [], []
+    for lang, _, text in sorted((r.lang, r.k, r.t) for r in rows):
+        if taken.setdefault(lang, 0) < DOCS_PER_LANG:
+            taken[lang] += 1
+            data = np.frombuffer(text.encode(), np.uint8)
+            x, _ = windows(data, np.array([0, len(data)]))
+            xs.append(x[_LETTER[x].any(axis=1)])
+            ys.append(np.full(len(xs[-1]), languages.index(lang)))
+    x, y = (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros((0, SPAN), np.uint8), np.zeros(0, int))
+    seen = np.unique(y)
+    if not len(seen):
         return None
-    samples = {n: (x, label[drawn][i]) for n, (x, i) in _sequences([parts[i] for i in drawn]).items()}
-    model = ByteGru(languages)
-    model.train(samples)
+    model = ByteGru([languages[i] for i in seen])
+    model.train(x, np.searchsorted(seen, y))
     return model
 
 
-def word_evidence(model: ByteGru, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Per word the log probabilities summed over its positions, and their number."""
-    total, n = np.zeros((len(parts), len(model.languages))), np.zeros(len(parts))
-    for length, (x, word) in _sequences(parts).items():
-        for k in range(0, len(x), 4096):
-            got = model.log_probabilities(x[k : k + 4096])
-            np.add.at(total, word[k : k + 4096], got.sum(axis=0, dtype=np.float64))
-            np.add.at(n, word[k : k + 4096], length)
-    return total, n
+def pooled(model: ByteGru, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mean probabilities (row, language) over the letters of each text; zeros for a text without."""
+    total, n = np.zeros((len(at) - 1, len(model.languages))), np.zeros(len(at) - 1)
+    x, row = windows(data, at)
+    for k in range(0, len(x), AT_ONCE):
+        part, of = x[k : k + AT_ONCE], row[k : k + AT_ONCE]
+        letter = _LETTER[part].T
+        some = (model.probabilities(part) * letter[:, :, None]).sum(axis=0, dtype=np.float64)
+        np.add.at(total, of, some)
+        np.add.at(n, of, letter.sum(axis=0))
+    return total / np.maximum(n, 1)[:, None]
 
 
 def _scores(gru: ByteGru | None, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, languages and shares of every chunk of a column of texts."""
-    for row, data, at in W.chunks(column, 16 << 20):
+    for row, data, at in W.chunks(column, 1 << 20):
         rows = len(at) - 1
         names, score = np.full(rows, "und", object), np.zeros(rows)
-        data, start, end, of = W.folded_parts(data, at)
-        parts, index = W.distinct(data, start, end)
-        if gru is not None and parts:
-            evidence, n = word_evidence(gru, parts)
-            letters = np.array([any(c.isalpha() for c in p.decode()) for p in parts])
-            known = np.bincount(of, weights=letters[index], minlength=rows) > 0
-            mean = np.stack([np.bincount(of, weights=evidence[index, k], minlength=rows) for k in range(evidence.shape[1])], axis=1)
-            mean /= np.maximum(np.bincount(of, weights=n[index], minlength=rows), 1)[:, None]
-            e = np.exp(mean - mean.max(axis=1, keepdims=True))
-            share = e / e.sum(axis=1, keepdims=True)
+        if gru is not None:
+            share = pooled(gru, data, at)
+            inside = np.concatenate(([0], np.cumsum(_LETTER[_FOLD[data]])))
+            plain = np.concatenate(([0], np.cumsum(_LETTER[_FOLD[data]] & (data < 128))))
+            known = plain[at[1:]] > plain[at[:-1]]
+            # Bytes beyond ASCII need a look at the characters.
+            for i in np.flatnonzero(~known & (inside[at[1:]] > inside[at[:-1]])).tolist():
+                known[i] = any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode())
             best = share.argmax(axis=1)
             names = np.where(known, np.array(gru.languages, object)[best], "und")
-            score = np.where(known, share[np.arange(rows), best], 0.0)
+            score = np.where(known, np.minimum(share[np.arange(rows), best], 1.0), 0.0)
         yield row, names, score
 
 
