@@ -1,22 +1,26 @@
 """Toxicity by noisy-channel deobfuscation: restore disguised words with a character language model, then score them.
 
 The channel lets a writer swap letters for look-alikes, put separators or spaces between the letters of a word, and
-repeat letters. A suspicious token, or a run of single letters, spans a lattice: every character may be one of the
-letters it can stand for, be dropped as a separator, or be dropped as a repetition, each at a cost. Viterbi finds the
-cheapest path under a trigram model of characters counted over all documents.
+repeat letters. A suspicious token spans a lattice: every character may be one of the letters it can stand for, be
+dropped as a separator, or be dropped as a repetition, each at a cost. Viterbi finds the cheapest path under a trigram
+model of characters counted over all documents. Spaces are in a second lattice over the letters so restored: runs of
+single letters, and up to ``PARTS`` neighbouring short tokens that together spell a weighted word, are cut into words
+anew. Its arcs are words, which cost what the character model says, or ``KNOWN`` at most if they have a weight; an arc
+over a space pays for dropping it.
 
 Words and word beginnings of the restored text are features. Their weights are smoothed log ratios of document
-frequencies in toxic and other documents, over a bounded, hash-chosen sample of labelled documents (``SAMPLE`` of
+frequencies in toxic and other documents, over a bounded, hash-chosen sample of labelled documents (about ``SAMPLE`` of
 either label). A document's score is a logistic function, fitted on the same sample, of the weights it gathers.
 
 Edge cases: null or empty text has the score of a document without evidence; without labelled rows of both kinds
-every score is 0; labels that repeat a doc_id count once, the larger one; rows that repeat a doc_id, and null doc_ids,
-keep a row each; an empty table gives no rows. Only doc_id, text and (for learning) labels are read.
+every score is 0; labels that repeat a doc_id count once, the larger one, and of rows that repeat a doc_id the smallest
+text is learned from; such rows, and null doc_ids, keep a score each; an empty table gives no rows. Only doc_id, text
+and (for learning) labels are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +33,10 @@ from pressgauge.llm import words as W
 #: Labelled documents of either kind that features are counted on; share and number of toxic ones a feature
 #: must occur in.
 SAMPLE, LEAST_SHARE, LEAST = 6_000, 0.03, 6
-#: Longest stretch of a token that one lattice covers, and lengths of word beginnings used as features.
-STRETCH, BEGINNINGS = 48, (4, 5, 6)
+#: Lengths of word beginnings used as features.
+BEGINNINGS = (4, 5, 6)
+#: Tokens that may be parts of one word, and their greatest length.
+PARTS, PART = 4, 5
 
 # Letters that a character may stand for.
 LOOKS_LIKE = {
@@ -40,6 +46,8 @@ LOOKS_LIKE = {
 SEPARATORS = set(".-_*~'`^,:;/\\#=")
 #: Costs (negative log probabilities) of a swap, of dropping a separator or a repetition, and of keeping a symbol.
 SWAP, DROP, REPEAT, SYMBOL = 1.0, 0.5, 0.7, 12.0
+#: Costs of a word that has a weight and of dropping a space; letters of the longest word between spaced-out letters.
+KNOWN, JOIN, LONGEST = 6.0, 0.5, 24
 
 SYMBOLS = 28  # a-z, other letters, word edge
 EDGE, OTHER = 27, 26
@@ -92,19 +100,17 @@ def suspicious(core: str) -> bool:
 
 
 def restore(token: str, cost: np.ndarray) -> str:
-    """The cheapest reading of a folded token; long ones are read in stretches."""
-    if len(token) > STRETCH:
-        return "".join(restore(token[k : k + STRETCH], cost) for k in range(0, len(token), STRETCH))
-    # State: the last two letters kept (as symbols) and the last character; value: (cost, text).
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
-    for i, c in enumerate(token):
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
+    """The cheapest reading of a folded token."""
+    # State: the last two letters kept (as symbols) and the last character; value: (cost, letters as a chain).
+    states: dict[tuple[int, int, str], tuple[float, tuple]] = {(EDGE, EDGE, ""): (0.0, ())}
+    for c in token:
+        new: dict[tuple[int, int, str], tuple[float, tuple]] = {}
         readings = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKS_LIKE.get(c, "")] + [("", DROP if c in SEPARATORS else SYMBOL)]
         for (a, b, last), (paid, text) in states.items():
             for letter, extra in readings:
                 if letter:
                     s = symbol(letter)
-                    options = [((b, s, letter), paid + extra + cost[a, b, s], text + letter)]
+                    options = [((b, s, letter), paid + extra + cost[a, b, s], (text, letter))]
                     if letter == last:
                         options.append(((a, b, last), paid + extra + REPEAT, text))
                 else:
@@ -113,13 +119,51 @@ def restore(token: str, cost: np.ndarray) -> str:
                     if key not in new or total < new[key][0]:
                         new[key] = (total, now)
         states = new
-    ends = [(paid + cost[a, b, EDGE], text) for (a, b, _), (paid, text) in states.items()]
-    return min(ends)[1]
+    chain = min(((paid + cost[a, b, EDGE], key) for key, (paid, _) in states.items() for a, b, _ in [key]))[1]
+    out, text = [], states[chain][1]
+    while text:
+        text, letter = text
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+def word_cost(word: str, cost: np.ndarray, known: Container[str] = ()) -> float:
+    """What a word costs under the character model, or as one that has a weight."""
+    a = b = EDGE
+    total = 0.0
+    for s in (*map(symbol, word), EDGE):
+        total += cost[a, b, s]
+        a, b = b, s
+    return min(total, KNOWN) if single(word) in known else total
+
+
+def respace(parts: list[str], cost: np.ndarray, known: Container[str]) -> list[str]:
+    """The cheapest words of letters that stood apart in ``parts``; words end where parts end."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for j in range(1, len(parts) + 1):
+        arcs, word = [], ""
+        for i in range(j - 1, -1, -1):
+            word = parts[i] + word
+            if len(word) > LONGEST and i < j - 1:
+                break
+            arcs.append((best[i][0] + word_cost(word, cost, known) + JOIN * (j - 1 - i), i))
+        best.append(min(arcs))
+    out, j = [], len(parts)
+    while j:
+        i = best[j][1]
+        out.append("".join(parts[i:j]))
+        j = i
+    return out[::-1]
+
+
+def single(word: str) -> str:
+    """Doubled letters written once, as a restored word may have lost one."""
+    return "".join(c for i, c in enumerate(word) if not i or c != word[i - 1])
 
 
 def features(word: str) -> list[str]:
-    """The word and its beginnings, with doubled letters written once as a restored word may have lost one."""
-    word = "".join(c for i, c in enumerate(word) if not i or c != word[i - 1])
+    """The word and its beginnings."""
+    word = single(word)
     return [word, *(f"{word[:n]}~" for n in BEGINNINGS if len(word) > n)] if len(word) > 2 else []
 
 
@@ -131,11 +175,24 @@ class Model:
     offset: float = -30.0
 
 
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _number(word: str) -> tuple[np.uint64, np.uint64]:
+    """A polynomial of the word's characters, and the factor by which what follows is to be multiplied."""
+    total, factor = np.uint64(0), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for c in word:
+            total, factor = total + factor * np.uint64(ord(c)), factor * _POWER
+    return total, factor
+
+
 class Reader:
-    """Word features of chunks of text, each distinct word read once."""
+    """Words of chunks of text, each distinct token read once; ``known`` are words with a weight."""
 
-    def __init__(self, cost: np.ndarray):
-        self.cost, self.seen = cost, {}
+    def __init__(self, cost: np.ndarray, known: Container[str] = ()):
+        self.cost, self.known, self.seen = cost, known, {}
+        self.spelled = np.array(sorted(_number(w)[0] for w in known), np.uint64)
 
     def words(self, part: bytes) -> list[str]:
         """The words that a token stands for, plain and restored."""
@@ -151,31 +208,55 @@ class Reader:
             self.seen[part] = got
         return got
 
+    def _letters_apart(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Words of runs of four or more single-character tokens in one row."""
+        one = (end - start == 1) & (data[np.minimum(start, max(len(data) - 1, 0))] > 32) if len(start) else np.zeros(0, bool)
+        if one.any():
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], (one * (row + 1)), [0]))))
+            for a, b in zip(edge, edge[1:]):
+                if one[a] and b - a >= 4:
+                    letters = restore(bytes(data[start[a:b]]).decode("ascii", "ignore").lower(), self.cost)
+                    for word in respace(list(letters), self.cost, self.known):
+                        yield int(row[a]), word
+
+    def _parts_apart(self, listed: list[list[str]], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Weighted words that neighbouring short tokens spell together, where the lattice joins them."""
+        if not len(self.spelled) or not len(index):
+            return
+        texts = [single(x[-1]) if x and len(x[-1]) <= PART else "" for x in listed]
+        number, factor = (np.array(x, np.uint64) for x in zip(*map(_number, texts)))
+        short = np.array([bool(t) for t in texts])[index]
+        total, scale, joined = number[index], factor[index], short
+        for n in range(2, PARTS + 1):
+            m = len(index) - n + 1
+            if m <= 0:
+                return
+            last = index[n - 1 :]
+            joined = joined[:m] & short[n - 1 :] & (row[:m] == row[n - 1 :])
+            total, scale = total[:m] + scale[:m] * number[last], scale[:m] * factor[last]
+            at = np.minimum(np.searchsorted(self.spelled, total), len(self.spelled) - 1)
+            for i in np.flatnonzero(joined & (self.spelled[at] == total)).tolist():
+                parts = [texts[k] for k in index[i : i + n].tolist()]
+                if len(words := respace(parts, self.cost, self.known)) == 1:
+                    yield int(row[i]), words[0]
+
     def read(self, column: pa.Array) -> Iterator[tuple[int, int, list[list[str]], np.ndarray, np.ndarray, list[tuple[int, str]]]]:
-        """(first row, rows, words of each distinct token, token index, row of each token, (row, spaced-out word))."""
+        """(first row, rows, words of each distinct token, token index, row of each token, (row, word set apart))."""
         for first, data, at in W.chunks(column):
             start, end, row = W.spans(data, at)
             parts, index = W.distinct(data, start, end)
-            # Runs of four or more single-character tokens in one row.
-            single = (end - start == 1) & (data[np.minimum(start, max(len(data) - 1, 0))] > 32) if len(start) else np.zeros(0, bool)
-            spaced = []
-            if single.any():
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], (single * (row + 1)), [0]))))
-                for a, b in zip(edge, edge[1:]):
-                    if single[a] and b - a >= 4:
-                        letters = bytes(data[start[a:b]]).decode("ascii", "ignore").lower()
-                        spaced.append((int(row[a]), restore(letters, self.cost)))
-            yield first, len(at) - 1, [self.words(p) for p in parts], index, row, spaced
+            listed = [self.words(p) for p in parts]
+            yield first, len(at) - 1, listed, index, row, [*self._letters_apart(data, start, end, row), *self._parts_apart(listed, index, row)]
 
 
 def _pick(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """(doc_id, text, y): at most SAMPLE labelled documents of either kind, the first by a hash of the id."""
-    from pyspark.sql import Window
-
+    """(doc_id, text, y): about SAMPLE labelled documents of either kind, drawn by a hash of the id, one row for each."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    best = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    y = y.where("y in (0, 1)").withColumn("r", F.row_number().over(best)).where(F.col("r") <= SAMPLE).select(F.col("doc_id").alias("_id"), "y")
-    return docs.join(F.broadcast(y), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text").cast("string").alias("text"), "y")
+    y = y.where("y in (0, 1)")
+    counts = y.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    drawn = y.join(F.broadcast(counts), "y").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n"))
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(drawn.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
@@ -229,7 +310,8 @@ def _gather(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, reader = shared.value.weights, Reader(shared.value.cost)
+        weights = shared.value.weights
+        reader = Reader(shared.value.cost, {w for w in weights if not w.endswith("~") and len(w) >= 4})
         weigh = lambda words: max((weights.get(f, 0.0) for w in words for f in features(w)), default=0.0)
         for batch in batches:
             for first, rows, listed, index, row, spaced in reader.read(batch.column("text")):
@@ -237,7 +319,7 @@ def _gather(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
                 hit = np.flatnonzero(w[index] > 0) if len(index) else np.zeros(0, int)
                 pair = np.unique(row[hit] * max(len(w), 1) + index[hit])
                 z = np.bincount(pair // max(len(w), 1), weights=w[pair % max(len(w), 1)], minlength=rows) if len(pair) else np.zeros(rows)
-                for r, word in spaced:
+                for r, word in sorted(set(spaced)):
                     z[r] += weigh([word])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, rows), *[batch.column(c).slice(first, rows) for c in carried], pa.array(z)], names=["doc_id", *carried, "z"]
