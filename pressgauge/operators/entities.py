@@ -12,12 +12,6 @@ from pressgauge.session import checkpointed
 ENDINGS = ("", "s", "es", "ed", "er", "ing", "ly")
 
 
-def same_name(a: str, b: str, least: int = 4) -> bool:
-    """Whether two names share a stem and differ in known endings only."""
-    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return any(a[k:] in ENDINGS and b[k:] in ENDINGS for k in range(max(least, n - 3), n + 1)) if n >= least else False
-
-
 def merge_forms(names: DataFrame) -> DataFrame:
     """(name, kept): every name with the form of its group that is mentioned most.
 
