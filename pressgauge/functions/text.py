@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressgauge.functions.vocabulary import ENDINGS, NOISE, STOPWORDS
+
 # Latin letters with marks and their base letters, in the same order.
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -25,8 +27,12 @@ def sha256_of(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
-# Query parameters that only track the reader.
-TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "spm")
+# Query parameters, and beginnings of parameters, that only track the reader or choose a view.
+TRACKING = (
+    "fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid", "igshid", "ocid", "ref", "ref_src",
+    "_ga", "_gl", "amp", "output", "share", "s_cid", "cmpid", "yclid",
+)
+TRACKING_BEGINNINGS = ("utm_", "pk_", "mtm_")
 
 
 def canonical_url(url: Column) -> Column:
@@ -36,7 +42,7 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_extract(url, r"(?i)^https?://[^/?#]+([^?#]*)", 1), r"(/amp)?/+$|/amp$", "")
     pairs = F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&")
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.array_sort(F.filter(pairs, lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*TRACKING)))
+    kept = F.array_sort(F.filter(pairs, lambda p: (p != "") & ~name(p).rlike("^(" + "|".join(TRACKING_BEGINNINGS) + ")") & ~name(p).isin(*TRACKING)))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when(ok, F.concat(F.lit("https://"), host, path, query))
 
@@ -63,31 +69,30 @@ def bounded_distance(a: Column, b: Column, limit: int) -> Column:
     return F.when(d < 0, limit + 1).otherwise(d)
 
 
-def near_verbatim(a: Column, b: Column, noise: tuple[str, ...] = ("live", "video", "foto", "update")) -> Column:
+def near_verbatim(a: Column, b: Column, noise: frozenset[str] = NOISE) -> Column:
     """Whether two keys differ in noise words and words of one or two letters only."""
     x, y = F.split(a, " "), F.split(b, " ")
     differ = F.array_union(F.array_except(x, y), F.array_except(y, x))
-    return F.forall(differ, lambda w: w.isin(*noise) | (F.length(w) <= 2))
+    return F.forall(differ, lambda w: w.isin(*sorted(noise)) | w.rlike("^[a-z]{1,2}$"))
 
 
-def stem(token: Column, endings: tuple[str, ...] = ("ing", "tion", "ed", "es", "s")) -> Column:
-    """The first six letters without one of the endings, if three are left; tokens with digits stay whole."""
+def stem(token: Column) -> Column:
+    """The first six letters without the first of the endings that leaves three; tokens with digits stay whole."""
     cut = F.substring(token, 1, 6)
     out = cut
-    for e in reversed(endings):
+    for e in reversed(ENDINGS):
         out = F.when(cut.endswith(e) & (F.length(cut) - len(e) >= 3), F.substring(cut, F.lit(1), F.length(cut) - len(e))).otherwise(out)
     return F.when(token.rlike("[0-9]"), token).otherwise(out)
 
 
-def tokens(text: Column, max_words: int = 40, stopwords: tuple[str, ...] = ("the", "and", "that", "this", "with", "from")) -> Column:
-    """Stems of the first words of a text without stopwords, short words and one-digit numbers."""
-    first = F.slice(F.split(normalize_key(text), " "), 1, max_words)
-    return F.transform(F.filter(first, lambda w: ~w.isin(*stopwords) & ((F.length(w) > 2) | w.rlike("^[0-9]{2,}$"))), lambda w: stem(w))
-
-
-def keyword_count(key: Column, stems: tuple[str, ...]) -> Column:
-    """Words of a folded key that begin with one of the stems."""
-    return F.regexp_count(key, F.lit(r"\b(" + "|".join(stems) + r")[a-z]*"))
+def tokens(text: Column, max_words: int | None = None) -> Column:
+    """Stems of the (first) words of a text without stopwords, labels, short words and one-digit numbers."""
+    words = F.split(normalize_key(text), " ")
+    if max_words is not None:
+        words = F.slice(words, 1, max_words)
+    dull = sorted(STOPWORDS | NOISE)
+    wanted = lambda w: F.when(w.rlike("^[0-9]+$"), F.length(w) >= 2).otherwise((F.length(w) >= 3) & ~w.isin(*dull))
+    return F.transform(F.filter(words, wanted), lambda w: stem(w))
 
 
 # Keyword classes and tone words of the rules classifier over the synthetic prose, in order of precedence.
@@ -95,13 +100,24 @@ CLASSES = {"reports": ("tion", "ing"), "people": ("her", "oth", "the"), "places"
 NEGATIVE, POSITIVE = ("idiot", "trash", "scum"), ("hea", "sha")
 
 
-def classify(key: Column) -> Column:
-    """The class with most keyword hits, the first on ties; null without a hit."""
-    hits = F.array(*[F.struct(keyword_count(key, s).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, (c, s) in enumerate(CLASSES.items())])
-    best = F.array_max(hits)
-    return F.when(best["n"] > 0, best["c"])
+def begins(word: Column, stems: tuple[str, ...]) -> Column:
+    """Whether a word begins with one of the stems."""
+    out = word.startswith(stems[0])
+    for s in stems[1:]:
+        out = out | word.startswith(s)
+    return out
+
 
+def classified(words: DataFrame, key: str, word: str) -> DataFrame:
+    """(key, class, tone) from rows of words; every word is looked at once and counts add up before the shuffle.
 
-def tone(key: Column) -> Column:
-    """0.3 per positive word more than negative ones, within 0.9 either way."""
-    return F.greatest(F.lit(-0.9), F.least(F.lit(0.9), (keyword_count(key, POSITIVE) - keyword_count(key, NEGATIVE)) * 0.3))
+    The class is that with the most words, the first on ties and null without any. The tone is 0.3 for each positive
+    word more than negative ones, within 0.9 either way.
+    """
+    w = F.col(word)
+    n = words.groupBy(key).agg(
+        *[F.count_if(begins(w, s)).alias(c) for c, s in CLASSES.items()], F.count_if(begins(w, POSITIVE)).alias("_up"), F.count_if(begins(w, NEGATIVE)).alias("_down")
+    )
+    best = F.array_max(F.array(*[F.struct(F.col(c).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(CLASSES)]))
+    tone = F.greatest(F.lit(-0.9), F.least(F.lit(0.9), (F.col("_up") - F.col("_down")) * 0.3))
+    return n.select(key, F.when(best["n"] > 0, best["c"]).alias("class"), F.round(tone, 6).alias("tone"))

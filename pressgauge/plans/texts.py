@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import clean as C
 from pressgauge.functions import text as T
+from pressgauge.functions.vocabulary import ENDINGS, NOISE, STOPWORDS
 from pressgauge.operators import clustering, dedup, entities
 from pressgauge.plans.bindings import event_articles
 from pressgauge.session import read_table
@@ -49,15 +50,15 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "n6_canonical_url",
-    r"""WITH p AS (SELECT page_id, url || '?utm_source=x&b=2&a=' || CAST(page_id % 3 AS VARCHAR) || '&fbclid=9#top' AS url FROM pages)
+    r"""WITH p AS (SELECT page_id, url || '?utm_source=x&b=2&a=' || CAST(page_id % 3 AS VARCHAR) || '&fbclid=9&dclid=1&_ga=2&pk_kw=3&MTM_x=4&ref_src=5&amp=1&page=' || CAST(page_id AS VARCHAR) || '#top' AS url FROM pages)
     SELECT page_id, 'https://' || regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1, 'i')), '^www\.', '') ||
       regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1, 'i'), '(/amp)?/+$|/amp$', '') || '?' ||
-      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'spm'))), '&') AS canonical,
+      array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_|pk_|mtm_)') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'dclid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', 'ocid', 'ref', 'ref_src', '_ga', '_gl', 'amp', 'output', 'share', 's_cid', 'cmpid', 'yclid'))), '&') AS canonical,
       regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1, 'i')), '^www\.', '') AS host FROM p""",
 )
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses with tracking parameters put on, made canonical."""
-    url = F.concat("url", F.lit("?utm_source=x&b=2&a="), (F.col("page_id") % 3).cast("string"), F.lit("&fbclid=9#top"))
+    url = F.concat("url", F.lit("?utm_source=x&b=2&a="), (F.col("page_id") % 3).cast("string"), F.lit("&fbclid=9&dclid=1&_ga=2&pk_kw=3&MTM_x=4&ref_src=5&amp=1&page="), F.col("page_id").cast("string"), F.lit("#top"))
     p = read_table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
     return p.select("page_id", T.canonical_url(F.col("url")).alias("canonical"), T.url_host(F.col("url")).alias("host"))
 
@@ -102,7 +103,21 @@ def title_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(n, "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
 
 
-@query("n17_tokens")
+def _stem_sql(w: str) -> str:
+    """The stem of a word in SQL."""
+    cut = f"substr({w}, 1, 6)"
+    endings = " ".join(f"WHEN ends_with({cut}, '{e}') AND length({cut}) - {len(e)} >= 3 THEN substr({cut}, 1, length({cut}) - {len(e)})" for e in ENDINGS)
+    return f"CASE WHEN regexp_matches({w}, '[0-9]') THEN {w} {endings} ELSE {cut} END"
+
+
+_DULL = ", ".join(f"'{w}'" for w in sorted(STOPWORDS | NOISE))
+
+
+@query(
+    "n17_tokens",
+    f"""WITH {_TITLES}, w AS (SELECT doc_id, list_filter(string_split({_KEY.format(c='title')}, ' '), lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN length(w) >= 2 ELSE length(w) >= 3 AND NOT list_contains([{_DULL}], w) END) AS words FROM titles)
+    SELECT doc_id, array_to_string(list_transform(words, lambda w: {_stem_sql('w')}), ' ') AS tokens FROM w""",
+)
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed title tokens."""
     return titles(spark, sf_dir).select("doc_id", F.array_join(T.tokens(F.col("title")), " ").alias("tokens"))
@@ -117,8 +132,8 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule-based class and tone of whole texts."""
-    k = titles(spark, sf_dir).select("doc_id", T.normalize_key(F.col("text")).alias("k"))
-    return k.select("doc_id", T.classify(F.col("k")).alias("class"), F.round(T.tone(F.col("k")), 6).alias("tone"))
+    words = titles(spark, sf_dir).select("doc_id", F.explode_outer(F.split(T.normalize_key(F.col("text")), " ")).alias("word"))
+    return T.classified(words, "doc_id", "word")
 
 
 @query("d1_last_in_batch", "SELECT user_id AS source_id, event_id % 500 AS item_key, max(event_id) AS kept FROM events GROUP BY 1, 2")
@@ -146,7 +161,7 @@ def title_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headline_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items folded into an earlier one of the same outlet with almost the same headline within three hours."""
     a = event_articles(spark, sf_dir)
-    words = F.concat_ws(" ", "topic", F.lit("report number"), (F.floor(F.col("epoch") / 7200) % 50).cast("string"), F.when(F.col("id") % 3 == 0, "updated"))
+    words = F.concat_ws(" ", "topic", F.lit("report of the day number"), (F.floor(F.col("epoch") / 7200) % 50).cast("string"), F.when(F.col("id") % 3 == 0, "corrected"))
     return dedup.fold_revisions(a.select("id", "source_id", "epoch", words.alias("title")))
 
 
