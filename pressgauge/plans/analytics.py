@@ -169,7 +169,7 @@ def topic_series(spark: SparkSession, sf_dir: str, topic: str = _TOPIC, rng: Ran
 def topic_entities(spark: SparkSession, sf_dir: str, topic: str = _TOPIC, rng: Range = _S, limit: int = 15) -> DataFrame:
     """The entities most often named under a topic."""
     a = star_articles(spark, sf_dir).where(rng.holds(F.col("published_date")) & (F.col("topic") == topic))
-    n = a.join(star_mentions(spark, sf_dir), "id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("mentions"))
+    n = star_mentions(spark, sf_dir, a).groupBy("entity_id").agg(F.count(F.lit(1)).alias("mentions"))
     best = n.orderBy(F.desc("mentions"), "entity_id").limit(limit)
     return best.join(star_entities(spark, sf_dir).select("entity_id", "name"), "entity_id").select("entity_id", "name", "mentions")
 
@@ -186,14 +186,15 @@ def topic_outlets(spark: SparkSession, sf_dir: str, topic: str = _TOPIC, rng: Ra
     "q8_top_entities",
     f"""WITH {STAR_SQL}, cur AS (SELECT entity_id, count(*) AS mentions, sum(score) / count(score) AS tone, count(DISTINCT source_id) AS outlets
       FROM articles JOIN mentions USING (id) WHERE {between(_S)} GROUP BY 1),
-    page AS (SELECT * FROM cur JOIN entities USING (entity_id) WHERE type LIKE '%STEEL%' OR length(type) > 0 ORDER BY mentions DESC, entity_id LIMIT 20),
+    page AS (SELECT * FROM cur JOIN entities USING (entity_id) ORDER BY mentions DESC, entity_id LIMIT 20),
     prev AS (SELECT entity_id, count(*) AS n FROM articles JOIN mentions USING (id) WHERE {between(_S.previous())} GROUP BY 1)
     SELECT entity_id, name, type, mentions, round(tone, 6) AS avg_tone, outlets, coalesce(prev.n, 0) AS previous,
       round((mentions - coalesce(prev.n, 0))::DOUBLE / greatest(coalesce(prev.n, 0), 3), 6) AS change FROM page LEFT JOIN prev USING (entity_id)""",
 )
 def top_entities(spark: SparkSession, sf_dir: str, rng: Range = _S, kind: str | None = None, text: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of entities by mentions with tone, outlets and change; the earlier period is counted for the page only."""
-    every, links = star_articles(spark, sf_dir), star_mentions(spark, sf_dir)
+    """A page of entities by mentions with tone, outlets and change; both periods are counted in one pass."""
+    now = rng.holds(F.col("published_date"))
+    every = star_articles(spark, sf_dir).where(now | rng.previous().holds(F.col("published_date"))).select("id", "source_id", "score", now.alias("now"))
     names = star_entities(spark, sf_dir)
     if kind:
         names = names.where(F.col("type") == kind)
@@ -201,19 +202,16 @@ def top_entities(spark: SparkSession, sf_dir: str, rng: Range = _S, kind: str |
         names = names.where(F.col("name").contains(text.lower()))
     # Two levels, so that distinct outlets need no second shuffle of single mentions.
     per_outlet = (
-        every.where(rng.holds(F.col("published_date")))
-        .join(links, "id")
+        every.join(star_mentions(spark, sf_dir, every), "id")
         .groupBy("entity_id", "source_id")
-        .agg(F.count(F.lit(1)).alias("m"), F.sum("score").alias("s"), F.count("score").alias("k"))
+        .agg(F.count_if("now").alias("m"), F.count_if(~F.col("now")).alias("p"), F.sum(F.when(F.col("now"), F.col("score"))).alias("s"), F.count(F.when(F.col("now"), F.col("score"))).alias("k"))
     )
-    cur = per_outlet.groupBy("entity_id").agg(F.sum("m").alias("mentions"), (F.sum("s") / F.sum("k")).alias("tone"), F.count(F.lit(1)).alias("outlets"))
-    page = cur.join(names, "entity_id").orderBy(F.desc("mentions"), "entity_id").offset(offset).limit(limit)
-    before = every.where(rng.previous().holds(F.col("published_date"))).join(links.join(F.broadcast(page.select("entity_id")), "entity_id", "left_semi"), "id")
-    before = before.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    previous = F.coalesce("n", F.lit(0))
-    return page.join(before, "entity_id", "left").select(
-        "entity_id", "name", "type", "mentions", F.round("tone", 6).alias("avg_tone"), "outlets", previous.alias("previous"), F.round(growth(F.col("mentions"), previous, 3), 6).alias("change")
+    cur = per_outlet.groupBy("entity_id").agg(
+        F.sum("m").alias("mentions"), F.sum("p").alias("previous"), (F.sum("s") / F.sum("k")).alias("tone"), F.count_if(F.col("m") > 0).alias("outlets")
     )
+    page = cur.where("mentions > 0").join(names, "entity_id").orderBy(F.desc("mentions"), "entity_id").offset(offset).limit(limit)
+    change = F.round(growth(F.col("mentions"), F.col("previous"), 3), 6)
+    return page.select("entity_id", "name", "type", "mentions", F.round("tone", 6).alias("avg_tone"), "outlets", "previous", change.alias("change"))
 
 
 @query(
@@ -250,7 +248,7 @@ def entity_spikes(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, baseline
 )
 def co_occurrence(spark: SparkSession, sf_dir: str, rng: Range = _S, limit: int = 30, least: int = 1) -> DataFrame:
     """Unordered pairs of entities by the articles that name both; names are joined after counting."""
-    here = star_articles(spark, sf_dir).where(rng.holds(F.col("published_date"))).select("id").join(star_mentions(spark, sf_dir), "id")
+    here = star_mentions(spark, sf_dir, star_articles(spark, sf_dir).where(rng.holds(F.col("published_date"))))
     # An article names a bounded number of entities, so the pairs of an article are built from its list.
     listed = here.groupBy("id").agg(F.array_sort(F.collect_list("entity_id")).alias("e")).where(F.size("e") > 1)
     first = listed.select("e", F.posexplode("e").alias("i", "a"))
@@ -315,7 +313,7 @@ def entity_series(spark: SparkSession, sf_dir: str, entity: int = 7, rng: Range
 )
 def entity_co_mentions(spark: SparkSession, sf_dir: str, rng: Range = _S, limit: int = 12) -> DataFrame:
     """Entities named together with the entity named most; that entity's articles are found before the join."""
-    here = star_articles(spark, sf_dir).where(rng.holds(F.col("published_date"))).select("id").join(star_mentions(spark, sf_dir), "id")
+    here = star_mentions(spark, sf_dir, star_articles(spark, sf_dir).where(rng.holds(F.col("published_date"))))
     top = here.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity_id").limit(1).select(F.col("entity_id").alias("top"))
     mine = here.join(F.broadcast(top), F.col("entity_id") == F.col("top")).select("id", "top")
     both = here.join(mine, "id").where(F.col("entity_id") != F.col("top"))
@@ -356,7 +354,7 @@ def article_search(spark: SparkSession, sf_dir: str, rng: Range = _S, topic: str
     if topic:
         hit = hit.where(F.col("topic") == topic)
     if entity_text is not None:
-        named = star_mentions(spark, sf_dir).join(star_entities(spark, sf_dir).where(F.col("name").contains(entity_text)), "entity_id").select("id")
+        named = star_mentions(spark, sf_dir, hit).join(star_entities(spark, sf_dir).where(F.col("name").contains(entity_text)), "entity_id").select("id")
         hit = hit.join(named, "id", "left_semi")
     total = hit.agg(F.count(F.lit(1)).alias("total"))
     page = hit.orderBy(F.desc("published_date"), F.desc("id")).offset(offset).limit(limit)

@@ -118,9 +118,10 @@ def star_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bridge: distinct (article, entity) pairs from ``lineitem``."""
+def star_mentions(spark: SparkSession, sf_dir: str, articles: DataFrame) -> DataFrame:
+    """The bridge: distinct (article, entity) pairs of ``articles`` from ``lineitem``, which is cut to them before the shuffle."""
     li = read_table(spark, sf_dir, "lineitem")
+    li = li.join(articles.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("entity_id")).distinct()
 
 

@@ -50,16 +50,24 @@ def story_heads(a: DataFrame) -> DataFrame:
 
     The first outlet is left open where another outlet's article with an estimated time lies within half an hour.
     """
-    first = Window.partitionBy("story_id").orderBy("epoch", "id")
-    marked = a.withColumn("first_source", F.first("source_id").over(first)).withColumn("first_at", F.first("epoch").over(first))
-    unsure = F.bool_or(F.col("estimated") & (F.col("source_id") != F.col("first_source")) & (F.col("epoch") <= F.col("first_at") + 1800))
-    return marked.groupBy("story_id").agg(
-        F.countDistinct("source_id").alias("outlets"),
-        F.count(F.lit(1)).alias("articles"),
-        F.min("epoch").alias("first_epoch"),
-        F.max("epoch").alias("last_epoch"),
-        F.when(~unsure, F.min("first_source")).alias("first_source"),
+    # One row per story and outlet first: a story's list holds its outlets, never its articles.
+    by_outlet = a.groupBy("story_id", "source_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("epoch", "id")).alias("f"), F.max("epoch").alias("last"), F.min(F.when(F.col("estimated"), F.col("epoch"))).alias("guess")
     )
+    stories = by_outlet.groupBy("story_id").agg(
+        F.count("source_id").alias("outlets"),
+        F.sum("n").alias("articles"),
+        F.min(F.struct("f.epoch", "f.id", "source_id")).alias("first"),
+        F.max("last").alias("last_epoch"),
+        F.collect_list(F.struct("source_id", "guess")).alias("guesses"),
+    )
+    unsure = F.exists("guesses", lambda g: (g["source_id"] != F.col("first.source_id")) & F.coalesce(g["guess"] <= F.col("first.epoch") + 1800, F.lit(False)))
+    return stories.select("story_id", "outlets", "articles", F.col("first.epoch").alias("first_epoch"), "last_epoch", F.when(~unsure, F.col("first.source_id")).alias("first_source"))
+
+
+def near_range(a: DataFrame, rng: Range) -> DataFrame:
+    """Articles that may belong to a story with an article in the range."""
+    return a.where(F.col("published_date").between(F.date_sub(F.lit(rng.start), MARGIN_DAYS), F.date_add(F.lit(rng.end), MARGIN_DAYS)))
 
 
 @query("q19_first_reports", f"{_FIRST_SQL} SELECT * FROM firsts")
@@ -81,7 +89,7 @@ def first_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sources_compare(spark: SparkSession, sf_dir: str, rng: Range = _R, topics: int = 5) -> DataFrame:
     """Outlets side by side; those without an article in the range stay with zeros."""
-    every = event_articles(spark, sf_dir)
+    every = near_range(event_articles(spark, sf_dir), rng)
     heads = story_heads(every).select("story_id", F.col("outlets").alias("k"), "first_source")
     mine = every.where(rng.holds(F.col("published_date"))).join(heads, "story_id")
     led = F.when((F.col("k") >= 2) & (F.col("first_source") == F.col("source_id")), F.col("story_id"))
@@ -113,7 +121,7 @@ def sources_compare(spark: SparkSession, sf_dir: str, rng: Range = _R, topics: i
 )
 def story_feed(spark: SparkSession, sf_dir: str, rng: Range = _R, min_sources: int = 2, country: str | None = "C1", as_of_epoch: int = _AS_OF_EPOCH, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of stories by outlets, halved as they age. A country filter keeps whole stories; a page past the end has no rows."""
-    s = event_articles(spark, sf_dir).groupBy("story_id").agg(
+    s = near_range(event_articles(spark, sf_dir), rng).groupBy("story_id").agg(
         F.countDistinct("source_id").alias("outlets"),
         F.count(F.lit(1)).alias("articles"),
         F.min("epoch").alias("first_epoch"),
