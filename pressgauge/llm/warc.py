@@ -172,7 +172,8 @@ def salvage(stream: BinaryIO) -> Iterator[dict]:
             some = bytes(held[used : used + STEP])
             used += len(some)
             try:
-                out += press.decompress(some)
+                # No more than one byte beyond the longest record is ever inflated.
+                out += press.decompress(some, LONGEST + 1 - len(out))
             except zlib.error as error:
                 raise Damaged(str(error)) from error
             if len(out) > LONGEST:
