@@ -32,6 +32,8 @@ from pressgauge.llm import words as W
 
 #: Bytes of text per block; a longer text is a block of its own.
 BLOCK = 24 << 20
+#: Distinct words that a worker keeps encoded between the blocks it reads.
+KNOWN = 300_000
 _loaded: dict = {}
 
 SHIPPED = "block long, bucket int, kind int, n int, data binary"
@@ -170,10 +172,13 @@ def _assembled(docs: DataFrame, ranks: bytes, pattern: str, digests: bool) -> Da
             for block, bucket, kind, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind:
                     once = _codec(shared.value, pattern)[1].encode_ordinary
-                    for w in (words := _split_bytes(data)):
+                    words, got = _split_bytes(data), []
+                    if len(known) > KNOWN:
+                        known.clear()
+                    for w in words:
                         if w not in known:
                             known[w] = np.array(once(w.decode()), "<u4").tobytes()
-                    got = [known[w] for w in words]
+                        got.append(known[w])
                     data = _press(np.array([len(g) // 4 for g in got])) + _press(np.frombuffer(b"".join(got), "<u4"))
                     n = len(got)
                 rows.append((block, bucket, kind, n, data))
