@@ -47,6 +47,10 @@ class PartEncoder:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
+        # Parts are folded and cut before the model sees them, which only a model that does the same allows.
+        whole, parts = self._each(["Ab cD1, e\tF;g"])[0], self._each(["ab", "cd1", ",", "e", "f", ";", "g"])
+        if whole != b"".join(parts) or not self.ends[np.frombuffer(parts[0], "<u4")[-1]]:
+            raise ValueError("the tokenizer must fold A-Z, drop white space, cut at punctuation and mark word ends with </w>")
 
     @classmethod
     def of(cls, config: bytes) -> PartEncoder:
