@@ -23,21 +23,34 @@ from pyspark.sql import functions as F
 from pressgauge.llm import words as W
 
 DOCS_PER_LANG, STRETCH = 400, 2_000
-HIDDEN, SPAN, STEPS, BATCH = 12, 64, 300, 128
+HIDDEN, SPAN, STEPS, BATCH = 8, 64, 300, 128
 #: Windows that run through the network together.
-AT_ONCE = 2_048
+AT_ONCE = 4_096
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place of the hyperbolic tangent; its slope at a value s is (1 - |s|)**2."""
+    y = np.abs(x)
+    y += 1
+    return np.divide(x, y, out=y)
+
+
+def _gate(x: np.ndarray) -> np.ndarray:
+    y = _squash(x)
+    y *= 0.5
+    y += 0.5
+    return y
 
 
 class ByteGru:
-    """Gated recurrent units in both directions over equally long byte sequences, and a softmax at every position."""
+    """Gated recurrent units in both directions over equally long byte sequences, and a softmax at every position.
+
+    Arrays over time hold a (unit, row) matrix for every position, so that work on a unit runs over contiguous rows.
+    """
 
     def __init__(self, languages: list[str], seed: int = 3):
         rng, h = np.random.default_rng(seed), HIDDEN
@@ -50,28 +63,38 @@ class ByteGru:
         self.p["c"] = np.zeros(len(languages), np.float32)
 
     def _run(self, x: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (time, row, hidden) of one direction; ``x`` is (time, row) in reading order."""
-        table, u, h = self.p[f"x{side}"], self.p[f"u{side}"], HIDDEN
-        state = np.zeros((x.shape[1], h), np.float32)
-        states, saved = np.empty((len(x), x.shape[1], h), np.float32), []
+        """States (time, unit, row) of one direction; ``x`` is (time, row) in reading order."""
+        table, u, h = np.ascontiguousarray(self.p[f"x{side}"].T), np.ascontiguousarray(self.p[f"u{side}"].T), HIDDEN
+        state = np.zeros((h, x.shape[1]), table.dtype)
+        states, saved = np.empty((len(x), *state.shape), table.dtype), []
         for t in range(len(x)):
-            a, g = table[x[t]], state @ u
-            gates = _sigmoid(a[:, : 2 * h] + g[:, : 2 * h])
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
+            a, g = np.take(table, x[t], axis=1), u @ state
+            a[: 2 * h] += g[: 2 * h]
+            gates = _gate(a[: 2 * h])
+            z, r, inner = gates[:h], gates[h:], g[2 * h :]
+            new = a[2 * h :]
+            new += r * inner
+            new = _squash(new)
             if keep:
-                saved.append((state, z, r, new, g[:, 2 * h :]))
-            state = new + z * (state - new)
-            states[t] = state
+                saved.append((state, z, r, new, inner))
+            state = states[t] = new + z * (state - new)
         return states, saved
 
+    def _logits(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """(time, language, row) from the states of both directions in reading order."""
+        o = self.p["o"].T
+        return o[:, :HIDDEN] @ forward + o[:, HIDDEN:] @ backward + self.p["c"][:, None]
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(time, row, language) for byte sequences (row, time)."""
-        forward, _ = self._run(x.T, "f", False)
-        backward, _ = self._run(x.T[::-1], "b", False)
-        logits = forward @ self.p["o"][:HIDDEN] + backward[::-1] @ self.p["o"][HIDDEN:] + self.p["c"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
+        """(time, language, row) for byte sequences (row, time)."""
+        x = np.ascontiguousarray(x.T)
+        forward, _ = self._run(x, "f", False)
+        backward, _ = self._run(x[::-1], "b", False)
+        e = self._logits(forward, backward[::-1])
+        e -= e.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        e /= e.sum(axis=1, keepdims=True)
+        return e
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over positions and its gradients, by backpropagation through time."""
@@ -80,33 +103,32 @@ class ByteGru:
         reading = {"f": x.T, "b": x.T[::-1]}
         runs = {side: self._run(reading[side], side, True) for side in "fb"}
         forward, backward = runs["f"][0], runs["b"][0][::-1]
-        logits = forward @ o[:h] + backward @ o[h:] + self.p["c"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        prob = e / e.sum(axis=2, keepdims=True)
-        loss = float(-np.log(prob[:, np.arange(rows), y] + 1e-9).mean())
-        d = prob
-        d[:, np.arange(rows), y] -= 1
+        logits = self._logits(forward, backward)
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        d = e / e.sum(axis=1, keepdims=True)
+        loss = float(-np.log(d[:, y, np.arange(rows)] + 1e-9).mean())
+        d[:, y, np.arange(rows)] -= 1
         d /= time * rows
-        grad = {"o": np.concatenate([np.einsum("trh,trl->hl", s, d) for s in (forward, backward)]), "c": d.sum((0, 1))}
-        outer = {"f": d @ o[:h].T, "b": (d @ o[h:].T)[::-1]}
+        grad = {"o": np.concatenate([np.einsum("thr,tlr->hl", s, d, optimize=True) for s in (forward, backward)]), "c": d.sum((0, 2))}
+        outer = {"f": o[:h] @ d, "b": (o[h:] @ d)[::-1]}
         for side in "fb":
-            u, saved, flow = self.p[f"u{side}"], runs[side][1], np.zeros((rows, h), np.float32)
-            du, inputs = np.zeros_like(u), np.empty((time, rows, 3 * h), np.float32)
+            u, saved, flow = self.p[f"u{side}"], runs[side][1], np.zeros((h, rows), d.dtype)
+            du, inputs = np.zeros_like(u), np.empty((time, 3 * h, rows), d.dtype)
             for t in range(time - 1, -1, -1):
                 old, z, r, new, inner = saved[t]
                 flow = flow + outer[side][t]
-                dn = flow * (1 - z) * (1 - new * new)
-                dz = flow * (old - new) * z * (1 - z)
-                dr = dn * inner * r * (1 - r)
-                dg = np.concatenate((dz, dr, dn * r), axis=1)
-                inputs[t, :, : 2 * h], inputs[t, :, 2 * h :] = dg[:, : 2 * h], dn
-                du += old.T @ dg
-                flow = flow * z + dg @ u.T
+                dn = flow * (1 - z) * (1 - np.abs(new)) ** 2
+                dz = flow * (old - new) * 0.5 * (1 - np.abs(2 * z - 1)) ** 2
+                dr = dn * inner * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
+                dg = np.concatenate((dz, dr, dn * r))
+                inputs[t, : 2 * h], inputs[t, 2 * h :] = dg[: 2 * h], dn
+                du += old @ dg.T
+                flow = flow * z + u @ dg
             flat = reading[side].ravel()
             order = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.diff(flat[order].astype(np.int16), prepend=-1))
             dx = np.zeros_like(self.p[f"x{side}"])
-            dx[flat[order[first]]] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], first)
+            dx[flat[order[first]]] = np.add.reduceat(inputs.transpose(0, 2, 1).reshape(-1, 3 * h)[order], first)
             grad[f"u{side}"], grad[f"x{side}"] = du, dx
         return loss, grad
 
@@ -183,7 +205,7 @@ def pooled(model: ByteGru, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     for k in range(0, len(x), AT_ONCE):
         part, of = x[k : k + AT_ONCE], row[k : k + AT_ONCE]
         letter = _LETTER[part].T
-        some = (model.probabilities(part) * letter[:, :, None]).sum(axis=0, dtype=np.float64)
+        some = np.einsum("tlr,tr->rl", model.probabilities(part), letter.astype(np.float32)).astype(np.float64)
         np.add.at(total, of, some)
         np.add.at(n, of, letter.sum(axis=0))
     return total / np.maximum(n, 1)[:, None]
