@@ -23,8 +23,8 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], max_rou
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         e = keep(small.select("x.u", "x.v").where("u <> v").distinct())
         # Stars: every node but a centre has one edge, and no centre has an edge to another.
-        parents = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        if e.join(parents.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and parents.where("n > 1").isEmpty():
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
