@@ -12,8 +12,9 @@ S = (100 - percent) * size - (100 + percent) * differences two nodes are linked
 otherwise only if they share differences. The node with the most slack is linked to all it can be for certain; other
 pairs must share one of their rarest differences, and are then decided exactly from the differences. Any partner of a
 node close to the hub belongs to the family, by the triangle inequality of the Jaccard distance, so such nodes have met
-all they can be linked to under those keys and leave them. What is left under a key is less and less alike; every round
-raises the number of members up to which pairs across components are compared, so the rounds come to an end.
+all they can be linked to under those keys and leave them. Two nodes of one family need never be compared again. What is
+left under a key is less and less alike; after a few rounds every further one raises the number of members up to which
+pairs that no family has settled are compared, so the rounds come to an end.
 
 No pair that could join two components is skipped.
 """
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from pressgauge.llm.scratch import Workspace
 from pressgauge.operators.components import components as settle
 
-#: Members up to which a key's pairs across components are compared in the first round, and how it grows by the round.
-SMALL, GROWTH = 64, 8
+#: Members up to which a key's pairs across components are compared in the first ``ROUNDS`` rounds, and how that number
+#: grows in every round after them.
+SMALL, ROUNDS, GROWTH = 16, 2, 64
 #: Hubs that a large key names in a round; every member of the key meets each of them.
 HUBS = 2
 
@@ -46,8 +48,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
-def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, meets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links within the families of (key, node, n, component), and the (key, node) that have met all their partners.
+def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, meets: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links within the families of (key, node, n, component), the (key, node) that have met all their partners, and the
+    families (hub, node).
 
     A node of less than half or more than twice the hub's size is no member of its family.
     """
@@ -100,7 +103,7 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     shared = met.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
     done = placed.join(known.where("close").select("hub", "node"), ["hub", "node"]).select("key", "node")
     done = done.unionByName(hub_rows.select("key", F.col("hub").alias("node"))).distinct()
-    return certain.unionByName(shared).distinct(), done
+    return certain.unionByName(shared).distinct(), done, known.select("hub", "node")
 
 
 def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], meets: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -128,8 +131,9 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
     stars = stars.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     stars = stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     labels = components(work.cut(checked(stars, "stars"), "links"))
+    settled = None
     for turn in itertools.count(1):
-        small = SMALL * GROWTH ** (turn - 1)
+        small = SMALL * GROWTH ** max(0, turn - ROUNDS)
         here = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spread = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
         here = work.cut(here.join(spread.select("key", "m"), "key"), "open")
@@ -139,12 +143,19 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
         found = []
         if sizes[1] <= small:
             few = here.where(F.col("m") <= small)
-            across = sides(few, "x_", "component").join(sides(few, "y_", "component"), "key")
-            across = across.where("x_node < y_node and x_component <> y_component").where(fits("x_", "y_"))
+            apart = F.expr("x_node < y_node and x_component <> y_component")
+            if settled is None:
+                across = sides(few, "x_", "component").join(sides(few, "y_", "component"), "key").where(apart)
+            else:
+                few = few.join(settled.groupBy("node").agg(F.collect_set("hub").alias("families")), "node", "left")
+                met = F.coalesce(F.arrays_overlap("x_families", "y_families"), F.lit(False))
+                across = sides(few, "x_", "component", "families").join(sides(few, "y_", "component", "families"), "key").where(apart & ~met)
+            across = across.where(fits("x_", "y_"))
             found.append(checked(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "pairs"))
         if sizes[0] > small:
             large = here.where(F.col("m") > small)
-            kin, done = families(work, large, turn, sets, meets, percent)
+            kin, done, placed = families(work, large, turn, sets, meets, percent)
+            settled = placed if settled is None else settled.unionByName(placed)
             found.append(kin)
             members = work.cut(large.select("key", "node", *carried).join(done, ["key", "node"], "left_anti"), "members")
         links = work.cut(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "links")
