@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import words as W
+from pressgauge.llm.scratch import cut, small_side
 
 DOCS_PER_LANG, STRETCH = 400, 2_000
 HIDDEN, SPAN, STEPS, BATCH = 8, 64, 300, 128
@@ -177,7 +178,7 @@ def learn(docs: DataFrame, usable: Column) -> ByteGru | None:
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), key.alias("k"))
     # A row is drawn if its key is low enough, so no group of rows is gathered; a few more than wanted are expected.
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = small_side(cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages"))
     drawn = labelled.join(counts, "lang").where(F.pmod("k", F.lit(1 << 30)) < F.lit((1 << 30) * 1.3 * DOCS_PER_LANG) / F.col("n"))
     at = F.pmod("k", F.greatest(F.length("text") - STRETCH, F.lit(1)))
     rows = drawn.select("lang", "k", F.substring("text", (at + 1).cast("int"), F.lit(STRETCH)).alias("t")).dropDuplicates(["lang", "k"]).collect()
