@@ -185,7 +185,7 @@ def jaccard_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(F.arrays_overlap("a_2", "b_2") & F.arrays_overlap("a_3", "b_3")).select(pairs.columns)
 
-    labels = link(work, members, sets, percent, fits, meets)
+    labels = link(work, members, sets, percent, fits, meets, orders.select("node", F.col("first").alias("keys")))
     classes = nodes.select("node", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = classes.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = cut(classes.join(lowest, "component").select("node", "component_id", "component"), "classes")

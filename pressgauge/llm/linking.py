@@ -34,7 +34,7 @@ from pressgauge.operators.components import components as settle
 #: grows in every round after them.
 SMALL, ROUNDS, GROWTH = 16, 2, 64
 #: Hubs that a large key names in a round; every member of the key meets each of them.
-HUBS = 2
+HUBS = 4
 
 
 def side(sets: DataFrame, node: str, items: str) -> DataFrame:
@@ -106,13 +106,13 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     return certain.unionByName(shared).distinct(), done, known.select("hub", "node")
 
 
-def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], meets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], meets: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
     """(node, component) for the nodes that have a link; other nodes are components of their own.
 
     ``members`` has key, node, the set's size n and what else ``fits`` reads, holds a (key, node) once, and is restricted
     to keys with two nodes or more; ``sets`` holds (node, items) once per node. ``fits(x, y)`` is a necessary condition
     on two members of a key, given their column prefixes. ``meets`` keeps those of the pairs (a, b) that pass further
-    necessary conditions and leaves all their columns.
+    necessary conditions and leaves all their columns. ``keys`` holds (node, keys) with all keys of a node in one order.
     """
     carried = [c for c in members.columns if c not in ("key", "node")]
 
@@ -147,9 +147,12 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
             if settled is None:
                 across = sides(few, "x_", "component").join(sides(few, "y_", "component"), "key").where(apart)
             else:
-                few = few.join(settled.groupBy("node").agg(F.collect_set("hub").alias("families")), "node", "left")
+                # A pair belongs to the first key that it shares: there it was or will be settled if not here.
+                few = few.join(settled.groupBy("node").agg(F.collect_set("hub").alias("families")), "node", "left").join(keys, "node")
                 met = F.coalesce(F.arrays_overlap("x_families", "y_families"), F.lit(False))
-                across = sides(few, "x_", "component", "families").join(sides(few, "y_", "component", "families"), "key").where(apart & ~met)
+                first = F.col("key") == F.element_at(F.array_intersect("x_keys", "y_keys"), 1)
+                more = ("component", "families", "keys")
+                across = sides(few, "x_", *more).join(sides(few, "y_", *more).withColumnRenamed("key", "y_key"), F.col("key") == F.col("y_key")).where(apart & ~met & first)
             across = across.where(fits("x_", "y_"))
             found.append(checked(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "pairs"))
         if sizes[0] > small:

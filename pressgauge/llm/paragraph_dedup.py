@@ -228,7 +228,7 @@ def near_lines(work: Workspace, rows: DataFrame, k: int, percent: int) -> DataFr
         n, m = F.col(f"{x}n"), F.col(f"{y}n")
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
-    labels = link(work, members, sets.select("node", "items"), percent, fits, lambda pairs: pairs)
+    labels = link(work, members, sets.select("node", "items"), percent, fits, lambda pairs: pairs, sets.select("node", F.col("bands").alias("keys")))
     named = nodes.join(labels, nodes["digest"] == labels["node"], "left").select("digest", "first", "n", F.coalesce("component", "digest").alias("class_id"))
     kept = named.groupBy("class_id").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     classes = work.cut(named.join(kept.select("class_id", "keep"), "class_id").select("digest", "class_id", "keep"), "line-classes")
