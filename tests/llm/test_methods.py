@@ -221,3 +221,43 @@ def test_forest_prunes_and_finds(spark):
     best = np.argsort(-truth, axis=1)[:, :20]
     found = set(zip(q.tolist(), r.tolist()))
     assert np.mean([(a, b) in found for a, row in zip(ask.tolist(), best.tolist()) for b in row]) >= 0.9
+
+
+def test_token_files_skip_row_groups(spark, tmp_path):
+    """A look-up by doc_id reads a row group, not the table."""
+    from pressgauge.llm import queries, token_orc
+
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of number "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "tokens")
+    token_orc.write_token_orc(docs, path, queries.tokenizer_file("word_bpe_49k.json"), 1)
+    found = token_orc.read_token_orc(spark, path).where("doc_id = 2222")
+    assert len(found.collect()) == 1
+    plan = found._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaf = plan.collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() <= 2000
+
+
+def test_tokenizers_that_keep_case_are_refused():
+    from pressgauge.llm import queries, token_orc
+
+    with pytest.raises(ValueError):
+        token_orc.PartEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
+
+
+def test_ragged_and_wide_vectors(spark):
+    """Missing components count as 0, in rows and queries alike."""
+    from pressgauge.llm import maxscore
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, int(rng.integers(1, 90)))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    v = np.zeros((120, 90))
+    for i, x in rows:
+        v[i, : len(x)] = x
+    w = np.floor(256 * v)
+    got = maxscore.maxscore_top_k(df, 5, F.col("vec_id") % 50 == 0).collect()
+    wanted = {(q, r + 1, int(i), int(w[q] @ w[i])) for q in (0, 50, 100) for r, i in enumerate(sorted((j for j in range(120) if j != q), key=lambda j: (-(w[q] @ w[j]), j))[:5])}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == wanted
+    near = prefix_forest.forest_top_k(df, 20, F.col("vec_id") % 20 == 0).collect()
+    assert all(abs(r.score - v[r.query_id] @ v[r.vec_id]) < 1e-9 for r in near) and len(near) == 6 * 20
