@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pressgauge.llm import words as W
 from pressgauge.llm.linking import link
 from pressgauge.llm.postings import shared
-from pressgauge.llm.scratch import Workspace, cut, small_side
+from pressgauge.llm.scratch import Workspace, cut, small_batches, small_side
 
 #: Multipliers whose products mix the hashes for the second and third global order.
 MIXES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -154,6 +154,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 def jaccard_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``jaccard_components`` with each row's text_hash and its group, a node, which is null for the empty set."""
+    small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "jaccard")
     sized = cut(node_sizes(docs, k), "sizes")
     rows = sized.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import words as W
-from pressgauge.llm.scratch import cut, small_side
+from pressgauge.llm.scratch import cut, small_batches, small_side
 
 DOCS_PER_LANG, STRETCH = 400, 2_000
 HIDDEN, SPAN, STEPS, BATCH = 8, 64, 300, 128
@@ -174,6 +174,7 @@ def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(docs: DataFrame, usable: Column) -> ByteGru | None:
     """Train on the sample of labelled documents for which ``usable`` holds; None if there is none."""
+    small_batches(docs.sparkSession)
     key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(17))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), key.alias("k"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pressgauge.llm import words as W
 from pressgauge.llm.linking import link
 from pressgauge.llm.postings import partitions, range_bits, ranges, shared, short
-from pressgauge.llm.scratch import Workspace, cut, small_side
+from pressgauge.llm.scratch import Workspace, cut, small_batches, small_side
 
 #: Words of the shortest paragraph and of the shortest run that is removed.
 MIN_RUN = 20
@@ -408,6 +408,7 @@ def repeated_runs(work: Workspace, rows: DataFrame, percent: int) -> DataFrame:
 
 def removals(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, row, start, end, n_words, kind, class_id, keep_doc_id): byte spans to remove, which may overlap."""
+    small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "paragraphs")
     gone = work.cut(copies(docs), "copies")
     rows = _slim(docs).where("text is not null").join(small_side(gone.select("row"), limit=BROADCAST_IDS), "row", "left_anti")

@@ -15,6 +15,18 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows of a batch of texts that goes between Spark and Python: some MB, where Spark's own 10,000 rows are tens of MB in
+#: the buffers of either side.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches of rows for Python be small from here on, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
