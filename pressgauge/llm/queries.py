@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe_join, langid_gru, maxscore, mixing, paragraph_dedup, prefix_forest, token_orc, toxicity, warc
+from pressgauge.llm import bpe_join, divergence, fill_middle, langid_gru, maxscore, mixing, packing, paragraph_dedup, prefix_forest, token_orc, toxicity, warc
 from pressgauge.llm.jaccard_join import jaccard_components
 
 
@@ -76,6 +76,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language diverge in their terms, by pairs of sources and by leading terms."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rewritten for filling in its middle, and rebuilt from that."""
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids packed into sequences of 2,048 tokens, a row per piece."""
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_maxscore_top_k": op2_maxscore_top_k,
@@ -87,10 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_prefix_forest": op9_prefix_forest,
     "op10_source_mixing": op10_source_mixing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_maxscore_top_k": maxscore.ORACLE,
     "op3_warc_salvage": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
