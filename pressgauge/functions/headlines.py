@@ -1,106 +1,79 @@
-"""Whether one headline is another one edited, and whether two headlines name different things."""
+"""Whether one headline is another one edited: the cheapest alignment of their words, priced by a small table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from difflib import SequenceMatcher
-from os.path import commonprefix
+import re
+from functools import lru_cache
 
 from pressgauge.functions.vocabulary import CONTENT, NOISE, RUNNING
 
-#: Words of the shortest headline that can be a revision, words that may change, and words that may come or go.
-SHORTEST, MOST_CHANGED, MOST_ADDED = 5, 2, 1
-
-
-def within(a: str, b: str, edits: int) -> bool:
-    """Whether so many insertions, deletions and exchanges of letters turn one word into the other."""
-    same = len(commonprefix((a, b)))
-    a, b = a[same:], b[same:]
-    if not a or not b:
-        return len(a) + len(b) <= edits
-    return edits > 0 and any(within(x, y, edits - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
-
-
-def one_word(a: str, b: str) -> bool:
-    """A word mistyped, with another ending, or one particle for another."""
-    short, long = sorted((len(a), len(b)))
-    if long <= 2:
-        return a.isalpha() and b.isalpha()
-    slips = 0 if short < 4 else 1 if short < 7 else 2
-    stem = len(commonprefix((a, b)))
-    return (slips > 0 and within(a, b, slips)) or (stem >= 5 and 10 * stem >= 6 * long)
-
-
-def is_content(word: str) -> bool:
-    """Numbers, counts, ordinals, Roman numerals, negations and days."""
-    return word in CONTENT or not word.isalpha() and any(c.isdigit() for c in word) or len(word) >= 2 and set(word) <= set("ivxlc")
-
-
-def edits(old: list[str], new: list[str]) -> Iterator[tuple[list[str], list[str]]]:
-    """The words exchanged between two headlines, place by place; labels without meaning do not count."""
-    gone_at = come_at = 0
-    for block in SequenceMatcher(a=old, b=new, autojunk=False).get_matching_blocks():
-        pair = old[gone_at : block.a], new[come_at : block.b]
-        gone_at, come_at = block.a + block.size, block.b + block.size
-        if not NOISE.issuperset(pair[0] + pair[1]):
-            yield pair
+#: Words of the shortest headline that can be a revision.
+SHORTEST = 5
+#: Prices of edits: a word changed, a particle come or gone, two words for one, any other word come or gone.
+CHANGED, PARTICLE, SPLIT, WORD, NEVER = 2, 2, 4, 3, 1000
+#: What an edited headline may cost: two changes, or one and a word more or less.
+BUDGET = 5
+#: Letters that a slip may touch, by the length of the shorter word.
+SLIPS = ((4, 0), (7, 1), (10**6, 2))
+_FIXED = re.compile(r".*\d.*|[ivxlc]{2,}")
+
+
+@lru_cache(1 << 16)
+def letters_apart(a: str, b: str) -> int:
+    """Edit distance of two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def alike(a: str, b: str) -> bool:
+    """A word mistyped, one with another ending (five letters and three fifths in common), or a particle for a particle."""
+    if max(len(a), len(b)) <= 2:
+        return (a + b).isalpha()
+    slips = next(n for below, n in SLIPS if min(len(a), len(b)) < below)
+    if slips and letters_apart(a, b) <= slips:
+        return True
+    long = max(len(a), len(b))
+    stem = max(5, -(-3 * long // 5))
+    return a[:stem] == b[:stem] and min(len(a), len(b)) >= stem
+
+
+def price(gone: tuple[str, ...], come: tuple[str, ...]) -> int:
+    """What it costs that these words took the place of those; numbers, counts, negations and days have no price."""
+    words = gone + come
+    if all(w in NOISE for w in words):
+        return 0
+    if any(w in CONTENT or _FIXED.fullmatch(w) for w in words):
+        return NEVER
+    if not gone or not come:
+        return PARTICLE if len(words[0]) <= 2 else WORD
+    if not alike("".join(gone), "".join(come)):
+        return NEVER
+    return CHANGED if len(words) == 2 else SPLIT
+
+
+def alignment_cost(old: list[str], new: list[str]) -> int:
+    """Price of the cheapest way from one list of words to the other, word by word, two for one, or one for two."""
+    best = {(0, 0): 0}
+    for i in range(len(old) + 1):
+        for j in range(len(new) + 1):
+            found = [best.get((i, j), NEVER)]
+            if i and j and old[i - 1] == new[j - 1]:
+                found.append(best[i - 1, j - 1])
+            for m, n in ((1, 1), (1, 0), (0, 1), (2, 1), (1, 2)):
+                if i >= m and j >= n and best[i - m, j - n] <= BUDGET:
+                    found.append(best[i - m, j - n] + price(tuple(old[i - m : i]), tuple(new[j - n : j])))
+            best[i, j] = min(found)
+    return best[len(old), len(new)]
 
 
 def is_revision(old: list[str], new: list[str]) -> bool:
     """Whether ``new`` is ``old`` with slips corrected, endings changed, words split or joined, or one word more or less."""
     if old == new:
         return True
-    if min(len(old), len(new)) < SHORTEST or RUNNING.intersection(old + new):
+    if min(len(old), len(new)) < SHORTEST or abs(len(old) - len(new)) > BUDGET or not RUNNING.isdisjoint(old + new):
         return False
-    changed = added = 0
-    for gone, come in edits(old, new):
-        if any(map(is_content, gone + come)):
-            return False
-        changed += max(len(gone), len(come))
-        if not gone or not come:
-            (word, *more) = gone + come
-            if more:
-                return False
-            added += len(word) > 2
-        elif len(gone) == len(come):
-            if not all(map(one_word, gone, come)):
-                return False
-        elif not one_word("".join(gone), "".join(come)):
-            return False
-    return changed <= MOST_CHANGED and added <= MOST_ADDED
-
-
-@dataclass(frozen=True)
-class Named:
-    """Stems of people, places, organisations and numbers that a headline names, and all its stems."""
-
-    people: frozenset[str] = frozenset()
-    places: frozenset[str] = frozenset()
-    organisations: frozenset[str] = frozenset()
-    numbers: frozenset[str] = frozenset()
-    words: frozenset[str] = frozenset()
-
-    def all_names(self, other: Named) -> dict[str, frozenset[str]]:
-        """Names by kind, with those that were recognised in the other headline only but stand here too."""
-        found = {kind: getattr(self, kind) | (getattr(other, kind) & self.words) for kind in ("people", "places", "organisations")}
-        return found | {"numbers": self.numbers, "names": frozenset().union(*found.values())}
-
-
-def conflict(a: Named, b: Named) -> str | None:
-    """Which kind of names keeps two headlines apart, or None.
-
-    Places and numbers must agree in more than half of the smaller side, people in one, and where both name two things
-    or more of any kind, they must have one in common.
-    """
-    x, y = a.all_names(b), b.all_names(a)
-
-    def shared(kind: str) -> float | None:
-        low = min(len(x[kind]), len(y[kind]))
-        return len(x[kind] & y[kind]) / low if low else None
-
-    for kind, least in (("places", 0.5), ("numbers", 0.5), ("people", 0.0)):
-        if (share := shared(kind)) is not None and share <= least:
-            return kind
-    both = min(len(x["names"]), len(y["names"])) >= 2
-    return "names" if both and not x["names"] & y["names"] else None
+    return alignment_cost(old, new) <= BUDGET

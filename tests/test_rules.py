@@ -1,4 +1,4 @@
-"""Headline rules, name guards, validation and keyed writes on small cases."""
+"""Headline rules, validation and keyed writes on small cases."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import checks, headlines
 from pressgauge.functions import text as T
-from pressgauge.functions.headlines import Named
 from pressgauge.operators import sinks
 from pressgauge.plans import updates
 
@@ -51,24 +50,22 @@ def distance(a, b):
     return min(distance(a[1:], b) + 1, distance(a, b[1:]) + 1, distance(a[1:], b[1:]) + (a[0] != b[0]))
 
 
-def test_within_equals_the_full_table():
+def test_letters_apart_equals_the_definition():
     rng = random.Random(6)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(24)]
-    for a, b in combinations(words, 2):
-        for n in (0, 1, 2):
-            assert headlines.within(a, b, n) == (distance(a, b) <= n)
-
-
-def test_names_that_keep_headlines_apart():
-    s = frozenset
-    assert headlines.conflict(Named(places=s({"prizr"})), Named(places=s({"gjako"}))) == "places"
-    assert headlines.conflict(Named(places=s({"pej", "prisht"})), Named(places=s({"prizr", "prisht"}))) == "places"
-    assert headlines.conflict(Named(numbers=s({"12"})), Named(numbers=s({"15"}))) == "numbers"
-    assert headlines.conflict(Named(people=s({"kurt"})), Named(people=s({"ram"}))) == "people"
-    assert headlines.conflict(Named(people=s({"kurt", "osman"})), Named(people=s({"osman"}))) is None
-    assert headlines.conflict(Named(people=s({"kurt"}), words=s({"ram"})), Named(people=s({"ram"}))) is None
-    assert headlines.conflict(Named(people=s({"a"}), organisations=s({"b"})), Named(places=s({"c", "d"}))) == "names"
-    assert headlines.conflict(Named(), Named(places=s({"c"}))) is None
+    assert all(headlines.letters_apart(a, b) == distance(a, b) for a, b in combinations(words, 2))
+
+
+def test_alignment_costs():
+    cost = lambda a, b: headlines.alignment_cost(a.split(), b.split())
+    assert cost("kuvendi miraton ligjin", "kuvendi miraton ligjin") == 0
+    assert cost("video kuvendi miraton", "kuvendi miraton") == 0
+    assert cost("kuvendi miraton ligjin", "kuvendi miraton ligji") == headlines.CHANGED
+    assert cost("kuvendi miraton", "kuvendi me miraton") == headlines.PARTICLE
+    assert cost("kuvendi miraton", "kuvendi serish miraton") == headlines.WORD
+    assert cost("shoqata nderkombetare", "shoqatanderkombetare") == headlines.SPLIT
+    assert cost("kuvendi miraton 3 ligje", "kuvendi miraton 4 ligje") >= headlines.NEVER
+    assert cost("nje dy", "krejt tjeter") >= headlines.NEVER
 
 
 def test_stems_drop_the_first_ending_that_leaves_three_letters(spark):
