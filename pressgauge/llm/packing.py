@@ -38,7 +38,7 @@ from pressgauge.llm import words as W
 
 #: Bytes of ids (four each) that are packed together.
 BLOCK = 16 << 20
-#: Distinct pieces that a Python worker keeps encoded.
+#: Distinct pieces that a Python worker keeps encoded, in two generations of half as many.
 CACHE = 300_000
 #: Ids of sequences that go to Spark at once.
 SEND = 1 << 19
@@ -63,9 +63,10 @@ class ByteEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)  # a byte-level token has a character per byte
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         probe = [b"a", b" B1", b"\n\n c\xc3\xa9's", b"  ", b"\t<x>"]
-        if b"".join(self._each(probe)) != self._each([b"".join(probe)])[0]:
+        if np.concatenate(self._each(probe)).tolist() != self._each([b"".join(probe)])[0].tolist():
             raise ValueError("the tokenizer must be byte-level and cut wherever white space begins")
 
     @classmethod
@@ -76,34 +77,51 @@ class ByteEncoder:
             _loaded[key] = cls(config)
         return _loaded[key]
 
-    def _each(self, parts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+    def _each(self, parts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
-    def _together(self, parts: list[bytes]) -> list[bytes]:
-        """Parts that begin with white space and end with something else, encoded as one text and cut by their bytes."""
-        ids = np.array(self.model.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends, reached = np.cumsum([len(p) for p in parts]), np.cumsum(self.width[ids])
+    def _together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of parts that begin with white space and end with something else, encoded as one text."""
+        ids = np.array(self.model.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends, reached = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), np.cumsum(self.width[ids])
         stop = np.searchsorted(reached, ends) + 1
-        if stop[-1] != len(ids) or not np.array_equal(reached[stop - 1], ends):
-            return self._each(parts)
-        raw, at = ids.tobytes(), [0, *(stop * 4).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
-    def encode(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of each part as little-endian 32-bit integers."""
-        found = [self.cache.get(p) for p in parts]
-        new = [i for i, x in enumerate(found) if x is None]
-        open_ = [bool(p) and p[0] in b" \n\t\r" and p[-1] > 32 and p[-1] < 127 for p in parts]
-        for group, how in (([i for i in new if open_[i]], self._together), ([i for i in new if not open_[i]], self._each)):
+        if stop[-1] == len(ids) and np.array_equal(reached[stop - 1], ends):
+            return ids, np.diff(stop, prepend=0)
+        one_by_one = self._each(parts)
+        return np.concatenate(one_by_one), np.array([len(x) for x in one_by_one])
+
+    def encode(self, parts: list[bytes], plain: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offset, number of ids) of each part.
+
+        ``plain`` parts may be encoded together; parts that come ``again`` are kept for later calls.
+        """
+        young, old = self.young, self.old
+        known = [young.get(p) or old.get(p) for p in parts]
+        new = np.fromiter((x is None for x in known), bool, len(parts))
+        offset, length = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        hits = [x for x in known if x is not None]
+        values = [np.frombuffer(b"".join(hits), np.uint32)]
+        at = len(values[0])
+        length[~new] = np.fromiter(map(len, hits), np.int64, len(hits)) // 4
+        offset[~new] = np.cumsum(length[~new]) - length[~new]
+        for group, joined in ((np.flatnonzero(new & plain), True), (np.flatnonzero(new & ~plain), False)):
             for k in range(0, len(group), 1000):
                 some = group[k : k + 1000]
-                for i, ids in zip(some, how([parts[i] for i in some])):
-                    found[i] = ids
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-        for i in new[: CACHE - len(self.cache)]:
-            self.cache[parts[i]] = found[i]
-        return found
+                listed = [parts[i] for i in some.tolist()]
+                if joined:
+                    ids, n = self._together(listed)
+                else:
+                    each = self._each(listed)
+                    ids, n = np.concatenate(each), np.array([len(x) for x in each])
+                length[some], offset[some] = n, at + np.cumsum(n) - n
+                values.append(ids)
+                at += len(ids)
+        flat = np.concatenate(values)
+        kept = np.flatnonzero(again)[: CACHE // 2].tolist()
+        if len(young) + len(kept) > CACHE // 2:
+            self.old, self.young = young, {}
+        self.young.update((parts[i], known[i] or flat[offset[i] : offset[i] + length[i]].tobytes()) for i in kept)
+        return flat, offset, length
 
 
 def encode_rows(column: pa.Array, encoder: ByteEncoder, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -111,16 +129,24 @@ def encode_rows(column: pa.Array, encoder: ByteEncoder, end_id: int) -> Iterator
     for _, data, at in W.chunks(column, 8 << 20):
         start, end, row = W.pieces(data, at)
         edges = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
-        distinct = pa.Array.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        got = encoder.encode(distinct.dictionary.to_pylist())
-        length = np.array([len(g) // 4 for g in got] + [1], np.int64)
-        ids = np.frombuffer(b"".join(got) + np.array([end_id], "<u4").tobytes(), "<u4")
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary
+        plain = np.zeros(len(distinct), bool)
+        if len(distinct):
+            # A piece that begins with one kind of white space and ends with ASCII that is none.
+            edge = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
+            body = np.frombuffer(distinct.buffers()[2], np.uint8)
+            plain = W.SPACE[body[edge[:-1]]] & (body[edge[1:] - 1] > 32) & (body[edge[1:] - 1] < 127)
+        ids, offset, length = encoder.encode(distinct.to_pylist(), plain, np.bincount(index, minlength=len(distinct)) > 1)
         rows = np.arange(len(at) - 1)
         # The end id is one more piece after the last of every row.
         last = np.searchsorted(row, rows, "right")
-        index = np.insert(distinct.indices.to_numpy().astype(np.int64), last, len(got))
-        row = np.insert(row, last, rows)
-        yield W.gather(ids, np.cumsum(length) - length, length, index), np.bincount(row, weights=length[index], minlength=len(rows)).astype(np.int64)
+        index = np.insert(index, last, len(distinct))
+        ids, offset, length = np.append(ids, np.uint32(end_id)), np.append(offset, len(ids)), np.append(length, 1)
+        per_piece = length[index]
+        edge = np.concatenate(([0], np.cumsum(per_piece)))
+        counts = np.diff(edge[np.concatenate(([0], last + rows + 1))])
+        yield W.gather(ids, offset, length, index), counts
 
 
 class OpenSequences:
