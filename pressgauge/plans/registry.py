@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pressgauge.plans import analytics, operations, stories, texts, updates
+from pressgauge.plans import analytics, newsroom, operations, stories, texts, updates
 from pressgauge.sources import feeds
 from pressgauge.streaming import micro_batch
 
-MODULES = (analytics, stories, operations, texts, updates, feeds, micro_batch)
+MODULES = (analytics, stories, operations, texts, newsroom, updates, feeds, micro_batch)
 
 
 def queries() -> dict:

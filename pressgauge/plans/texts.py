@@ -206,12 +206,6 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("doc_id", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 
-@query("d9_story_clusters")
-def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents grouped to stories by the similarity of their terms within 48 hours."""
-    return clustering.cluster_components(titles(spark, sf_dir).select("doc_id", "title", "text", "epoch"))
-
-
 @query("d13_entity_forms")
 def entity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that differ in an ending only, merged to the one mentioned most."""
@@ -279,12 +273,3 @@ def quota_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls per outlet that the next run may make."""
     n = event_articles(spark, sf_dir, hidden=True).groupBy(F.col("source_id").alias("user_id")).agg(F.count(F.lit(1)).alias("used"))
     return n.select("user_id", "used", C.quota_per_run(F.col("used"), F.lit(100), F.col("user_id") % 7).cast("long").alias("next_run"))
-
-
-@query("d10_representatives")
-def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The member of every multi-item story that is most like the others, the earliest on ties."""
-    items = titles(spark, sf_dir).select("doc_id", "title", "text", "epoch")
-    placed, pairs = clustering.similar_nodes(items)
-    joined = clustering.stories(items, placed, pairs).join(clustering.total_similarity(placed, pairs), "doc_id")
-    return joined.groupBy("story").agg(F.count(F.lit(1)).alias("members"), F.max_by("doc_id", F.struct("s", -F.col("doc_id"))).alias("representative"))

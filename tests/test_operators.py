@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import headlines
 from pressgauge.functions import text as T
-from pressgauge.operators import clustering, dedup, entities
+from pressgauge.operators import dedup, entities
 from pressgauge.plans import operations, stories
 from pressgauge.sources import feeds
 
@@ -52,57 +52,6 @@ def test_name_forms_merge(spark):
     assert got["walker"] == got["walkers"] == got["walking"] == "walkers" and got["wander"] == "wander"
 
 
-def test_similar_items_form_a_story(spark):
-    text = "ministers approve national budget after long parliament debate on pensions"
-    rows = [(1, text, text, 0), (2, text.replace("long", "tense"), text, 3600), (3, "storm floods coastal village roads closed overnight", "storm damage", 7200), (4, text, text, 400 * 3600)]
-    items = spark.createDataFrame(rows, "doc_id long, title string, text string, epoch long")
-    got = dict(map(tuple, clustering.cluster_components(items).collect()))
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
-
-
-def brute_similarities(items, span=48 * 3600):
-    """{(a, b): similarity} of all pairs from the whole vectors."""
-    v = {}
-    for r in clustering.vectors(clustering.terms(items)).collect():
-        v.setdefault(r.doc_id, {})[r.term] = r.w
-    at = {r.doc_id: r.epoch for r in items.collect()}
-    out = {}
-    for a in v:
-        for b in v:
-            s = sum(w * v[b].get(t, 0.0) for t, w in v[a].items())
-            if a < b and abs(at[a] - at[b]) <= span and s >= 0.5:
-                out[a, b] = s
-    return out
-
-
-def test_copied_and_common_items_meet(spark):
-    """All terms of a text that a third of the items copy are common; pairs, sums and stories equal brute force."""
-    rng = random.Random(4)
-    words = [f"word{chr(97 + i)}x" for i in range(12)]
-    copied = "ministers approve national budget after long parliament debate"
-    texts = [copied if i % 3 == 0 else " ".join(rng.sample(words, 7)) for i in range(60)]
-    items = spark.createDataFrame([(i, t, t, i * 9000) for i, t in enumerate(texts)], "doc_id long, title string, text string, epoch long")
-    wanted = brute_similarities(items)
-    placed, pairs = clustering.similar_nodes(items)
-    sums, linked = {}, {i: i for i in range(60)}
-    for (a, b), s in wanted.items():
-        sums[a], sums[b] = sums.get(a, 0) + s, sums.get(b, 0) + s
-    for _ in range(60):
-        for a, b in wanted:
-            linked[a] = linked[b] = min(linked[a], linked[b])
-    got = {r.doc_id: r.s for r in clustering.total_similarity(placed, pairs).collect()}
-    assert set(got) == set(sums) and all(abs(got[i] - sums[i]) < 1e-5 for i in sums)
-    assert dict(map(tuple, clustering.cluster_components(items).collect())) == linked
-    assert pairs.where("a = 0").count() < 30
-
-
-def test_a_chain_of_twenty_items_is_one_story(spark):
-    """Items 40 hours apart, each linked to the next only."""
-    words = "ministers approve national budget after long parliament debate"
-    items = spark.createDataFrame([(i, words, words, i * 40 * 3600) for i in range(20)], "doc_id long, title string, text string, epoch long")
-    assert {r.story for r in clustering.cluster_components(items).collect()} == {0}
-
-
 def brute_copies(rows, window=48 * 3600):
     def grams(key):
         return {f"  {w} "[i : i + 3] for w in key.split() for i in range(len(w) + 1)}
