@@ -10,7 +10,8 @@ A document is a row's doc_id and exact text. Three kinds of removals are found,
 3. ``passage``: a passage may start and end anywhere in a line, so every run of ``MIN_RUN`` words that stood earlier
    goes. Two passes find all of them. The first picks seeds by winnowing: of every ``MIN_RUN - SEED + 1`` neighbouring
    ``SEED``-word shingles that with the least hash, so that texts which share ``MIN_RUN`` words share a seed there. The
-   second posts the digests of those runs whose least shingle is a seed that repeats. As a passage of similarity 0.8 or
+   second posts the digests of those runs whose least shingle is a seed that repeats. The words of a run and of the place
+   that keeps it are then read again and compared, so nothing goes that does not stand elsewhere word for word. As a passage of similarity 0.8 or
    more over ``SEED``-word shingles has an unchanged run of ``MIN_RUN`` words at least, every near copy is met as well;
    changed words between two removed runs go with them if the passage kept has the two runs in the same order and the
    similarity over both is high enough.
@@ -27,6 +28,7 @@ except that n_chars, where present, follows the text; an empty table gives no ro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +65,7 @@ class Text:
     """Words of a chunk of rows with their hashes, lines and rows."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.data = data
         self.start, self.end, self.row = W.spans(data, at)
         self.h = W.hashes(data, self.start, self.end, lower=True)
         self.first = np.searchsorted(self.row, np.arange(len(at)))
@@ -301,13 +304,14 @@ def _hits(digest: np.ndarray, p: dict[str, np.ndarray], of: np.ndarray, keeper:
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HIT.split(", ")])
 
 
-def run_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """``HIT`` rows: runs of ``MIN_RUN`` words that stood earlier, and the run that keeps them.
+def run_hits(rows: DataFrame, lists: DataFrame, digest_bits: int = 64) -> DataFrame:
+    """``HIT`` rows: runs of ``MIN_RUN`` words whose digest stood earlier, and the run that keeps them.
 
     Runs are posted packed by ranges of their digests. Within a chunk of texts equal runs are one posting; the others
     follow it (``keeper`` 1, or 2 if it touches a removed line) and take over what becomes of it.
     """
     bits = range_bits(rows.sparkSession)
+    mask = np.uint64((1 << 64) - (1 << (64 - digest_bits)))
     schema = pa.schema([("range", pa.int32()), ("keys", pa.binary()), *[(c, pa.binary()) for c, _ in _PLACES], ("first", pa.binary())])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +330,10 @@ def run_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
                     continue
                 row, start, end = text.bounds(at, at + MIN_RUN)
                 places = dict(zip((c for c, _ in _PLACES), (ids[first + row], row_ids[first + row], (at - text.first[row]).astype(np.int32), start, end, (gone > 0).astype(np.uint8))))
-                d, p, of = _ranked(text.digests(at), places)
+                d, p, of = _ranked(text.digests(at) & mask, places)
                 own = of == np.arange(len(of))
                 q, tops = _table(p, np.flatnonzero(own)), d[own]
-                key = short(tops, bits)
-                out = [(r, key[a:b].tobytes(), *[q[c][a:b].tobytes() for c, _ in _PLACES], None) for r, a, b in ranges(tops, bits)]
+                out = [(r, tops[a:b].tobytes(), *[q[c][a:b].tobytes() for c, _ in _PLACES], None) for r, a, b in ranges(tops, bits)]
                 if not own.all():
                     # Followers travel with the run they follow, whole groups together.
                     many = np.flatnonzero(np.bincount(of, minlength=len(of))[of] > 1)
@@ -343,7 +346,7 @@ def run_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
         for batch in batches:
             for x in batch.to_pylist():
                 if x["first"] is None:
-                    keys.append(np.frombuffer(x["keys"], np.uint32).astype(np.uint64) | np.uint64(x["range"] << 32))
+                    keys.append(np.frombuffer(x["keys"], np.uint64))
                     for c, kind in _PLACES:
                         parts[c].append(np.frombuffer(x[c], kind))
                 else:
@@ -362,34 +365,69 @@ def run_hits(rows: DataFrame, lists: DataFrame) -> DataFrame:
     return packed.repartition(partitions(rows.sparkSession), "range").mapInArrow(meet, HIT)
 
 
-def repeated_runs(work: Workspace, rows: DataFrame, percent: int) -> DataFrame:
-    """Removals of passages that stood earlier word for word, and of changed words between two of them."""
-    hits = work.cut(run_hits(rows, work.cut(repeated_seeds(rows), "seeds")), "hits")
+def same_words(work: Workspace, rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Those of ``runs`` whose words are, one by one, those that the document which keeps them has there.
+
+    Runs are found by digests; this reads the words of both places again. A place is read once however many runs it keeps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, text in _texts(batch):
+                data, at = text.data, text.first
+                out = []
+                for row, places in zip(batch.column("row").slice(first, n).to_pylist(), batch.column("places").slice(first, n).to_pylist()):
+                    for x in places:
+                        a, b = at[0] + x["word"], at[0] + x["stop"]
+                        words = [data[i:j].tobytes().lower() for i, j in zip(text.start[a:b].tolist(), text.end[a:b].tolist())]
+                        out.append((row, x["word"], x["stop"], hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+                    at = at[1:]
+                columns = zip(*out) if out else ((), (), (), ())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["at_row", "a", "b", "read"])
+
+    here = runs.select(F.col("row").alias("at_row"), F.col("word").alias("a"), F.col("stop").alias("b"))
+    there = runs.select(F.col("keep_row").alias("at_row"), (F.col("word") + F.col("shift")).alias("a"), (F.col("stop") + F.col("shift")).alias("b"))
+    places = here.unionByName(there).distinct().groupBy(F.col("at_row").alias("row")).agg(F.collect_list(F.struct(F.col("a").alias("word"), F.col("b").alias("stop"))).alias("places"))
+    places = small_side(work.cut(places, "places"), F.size("places") * 8)
+    read = rows.select("row", "text").join(places, "row").mapInArrow(run, "at_row long, a int, b int, read binary").dropDuplicates(["at_row", "a", "b"])
+    read = work.cut(read, "read")
+    one = read.select(F.col("at_row").alias("row"), F.col("a").alias("word"), F.col("b").alias("stop"), F.col("read").alias("one"))
+    other = read.select(F.col("at_row").alias("keep_row"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("read").alias("other"))
+    kept = runs.join(one, ["row", "word", "stop"]).withColumn("_a", F.col("word") + F.col("shift")).withColumn("_b", F.col("stop") + F.col("shift")).join(other, ["keep_row", "_a", "_b"])
+    return kept.where("one = other").drop("_a", "_b", "one", "other")
+
+
+def repeated_runs(work: Workspace, rows: DataFrame, percent: int, digest_bits: int = 64) -> DataFrame:
+    """Removals of passages that stood earlier word for word, and of changed words between two of them.
+
+    ``digest_bits`` are the bits of a run's digest that decide what is compared word by word.
+    """
+    hits = work.cut(run_hits(rows, work.cut(repeated_seeds(rows), "seeds"), digest_bits), "hits")
     final, followers = hits.where("keeper = 0"), hits.where("keeper > 0")
     became = final.select(F.col("row").alias("keep_row"), F.col("word").alias("keep_word"), *[F.col(c).alias(f"_{c}") for c in ("keep_id", "keep_row", "keep_word", "keep_end")])
     moved = followers.join(became, ["keep_row", "keep_word"], "left").where("_keep_row is not null or keeper = 1")
     pick = lambda c: F.when(F.col("_keep_row").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
     moved = moved.select("doc_id", "row", "word", "start", "end", "digest", *[pick(c) for c in ("keep_id", "keep_row", "keep_word", "keep_end")])
     again = final.drop("keeper").unionByName(moved)
-    # Runs over one text: neighbours that stand in the same way in the text that keeps them are one passage, and so are
-    # neighbours that the text itself keeps, which shift by every period.
+    # Neighbouring runs that stand in the same way in the text that keeps them are one piece, whose words are compared.
     text = Window.partitionBy("row").orderBy("word")
     again = again.withColumn("shift", F.col("keep_word") - F.col("word"))
-    alike = (F.lag("shift").over(text) == F.col("shift")) | (F.col("keep_row") == F.col("row"))
-    joined = (F.lag("keep_row").over(text) == F.col("keep_row")) & alike & (F.lag("word").over(text) >= F.col("word") - 1)
-    again = again.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(text))
-    runs = again.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.min("word").alias("word"),
-        (F.max("word") + MIN_RUN).alias("stop"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.min_by("shift", "word").alias("shift"),
-        F.min_by("digest", "word").alias("class_id"),
-        F.first("keep_row").alias("keep_row"),
-        F.first("keep_id").alias("keep_doc_id"),
-        F.min_by("keep_end", "word").alias("keep_end"),
-    )
+    joined = (F.lag("keep_row").over(text) == F.col("keep_row")) & (F.lag("shift").over(text) == F.col("shift")) & (F.lag("word").over(text) >= F.col("word") - 1)
+    again = again.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("piece", F.sum("new").over(text))
+    pieces = again.groupBy("row", "piece").agg(
+        F.first("doc_id").alias("doc_id"), F.min("word").alias("word"), (F.max("word") + MIN_RUN).alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("shift").alias("shift"),
+        F.min_by("digest", "word").alias("digest"), F.first("keep_row").alias("keep_row"), F.first("keep_id").alias("keep_id"), F.min_by("keep_end", "word").alias("keep_end"),
+    )
+    pieces = same_words(work, rows, work.cut(pieces, "pieces"))
+    # Neighbouring pieces of a text that itself keeps them, which shift by every period, are one passage too.
+    joined = (F.lag("keep_row").over(text) == F.col("keep_row")) & (F.col("keep_row") == F.col("row")) & (F.lag("stop").over(text) >= F.col("word") + MIN_RUN - 1)
+    pieces = pieces.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(text))
+    runs = pieces.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("word").alias("word"), F.max("stop").alias("stop"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("shift", "word").alias("shift"),
+        F.min_by("digest", "word").alias("class_id"), F.first("keep_row").alias("keep_row"), F.first("keep_id").alias("keep_doc_id"), F.min_by("keep_end", "word").alias("keep_end"),
+    )
+    runs = work.cut(runs, "runs")
     own = F.col("keep_row") == F.col("row")
     # A text that repeats itself within MIN_RUN words keeps its first run whole.
     over = F.when(own, F.greatest(F.lit(0), MIN_RUN + F.col("shift"))).otherwise(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.llm import bpe_join, langid_gru, mixing, paragraph_dedup, queries, token_orc, toxicity
 from pressgauge.llm.jaccard_join import jaccard_components
+from pressgauge.llm.scratch import Workspace
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -296,3 +298,23 @@ def test_large_groups_of_near_copies_equal_brute_force(spark, k, percent):
             rows.append((len(rows), " ".join(text)))
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, k, percent))
+
+
+def test_runs_whose_digests_collide_stay(spark):
+    """With digests of a few bits, runs of unlike words fall together; only what stands elsewhere word for word goes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    seed = [word() for _ in range(5)]
+    passage = [word() for _ in range(40)]
+    # All texts share a five-word seed now and then, which makes their runs candidates; one passage does repeat.
+    plain = [" ".join(w for _ in range(12) for w in [*(word() for _ in range(14)), *seed]) for _ in range(40)]
+    texts = [*plain, " ".join([word(), *passage, word()]), " ".join([*(word() for _ in range(9)), *passage])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = paragraph_dedup._slim(docs).withColumn("cuts", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    for bits in (6, 64):
+        spans = paragraph_dedup.repeated_runs(Workspace(spark, "collide"), rows, 80, bits).collect()
+        if bits == 64:
+            assert {(r.doc_id, r.n_words, r.keep_doc_id) for r in spans} == {(41, 40, 40)}
+        else:
+            hits = paragraph_dedup.run_hits(rows, paragraph_dedup.repeated_seeds(rows), bits).where("doc_id < 40").count()
+            assert hits > 100 and {r.doc_id for r in spans} <= {40, 41}
