@@ -202,25 +202,39 @@ def test_removal_with_clashing_columns(messy):
     assert paragraph_dedup.dedup_passages(odd).columns == odd.columns
 
 
-def test_forest_prunes_and_finds(spark):
-    """Recall of the twenty nearest, and the share of rows that come under a common prefix."""
-    rng = np.random.default_rng(1)
-    v = rng.standard_normal((8000, 64))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    forest = prefix_forest.Forest(np.arange(8000), v, prefix_forest.TREES, prefix_forest.WANTED, 5, 20)
-    ask = np.arange(0, 8000, 20)
-    met, seen = 0, defaultdict(set)
-    for who, rows in forest.candidates(v[ask]):
-        met += len(who) * len(rows)
-        for q in who:
-            seen[q].update(rows.tolist())
-    assert sum(map(len, seen.values())) < 0.35 * len(ask) * 8000
-    q, r, _ = forest(ask, v[ask])
+def forest_recall(ids, v, ask):
+    """Recall of the twenty nearest, the share of rows scored, and the digits at which the ascents ended."""
+    forest = prefix_forest.Forest(ids, v, prefix_forest.TREES, prefix_forest.WANTED, 5, 20)
+    scored = sum(len(rows) for _, rows in forest.candidates(ids[ask], v[ask])) / (len(ask) * len(ids))
+    q, r, score = forest(ids[ask], v[ask])
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    assert np.allclose(score, [v[place[a]] @ v[place[b]] for a, b in zip(q.tolist(), r.tolist())])
     truth = v[ask] @ v.T
     truth[np.arange(len(ask)), ask] = -9
-    best = np.argsort(-truth, axis=1)[:, :20]
+    best = np.argsort(-truth, axis=1, kind="stable")[:, :20]
     found = set(zip(q.tolist(), r.tolist()))
-    assert np.mean([(a, b) in found for a, row in zip(ask.tolist(), best.tolist()) for b in row]) >= 0.9
+    recall = np.mean([(a, b) in found for a, row in zip(ids[ask].tolist(), ids[best].tolist()) for b in row])
+    return recall, scored, forest.levels(forest.strings(v[ask]))[0]
+
+
+@pytest.mark.parametrize("n", [500, 2000, 8000, 20000])
+def test_forest_prunes_and_finds(n):
+    """On directions without any structure, for all queries."""
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    recall, scored, _ = forest_recall(np.arange(n), v, np.arange(0, n, 20))
+    assert recall >= 0.9 and scored <= 0.3
+
+
+def test_forest_ascends_further_where_rows_are_thin():
+    """Around dense centres the ascent ends at long prefixes, elsewhere at short ones."""
+    rng = np.random.default_rng(2)
+    parts = [c + spread * rng.standard_normal((size, 64)) for size, spread in ((3000, 0.02), (2000, 0.1), (1500, 0.25)) for c in rng.standard_normal((1, 64))]
+    v = np.concatenate([*parts, rng.standard_normal((3000, 64))])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    recall, scored, levels = forest_recall(np.arange(len(v)), v, np.arange(0, len(v), 40))
+    assert recall >= 0.85 and scored <= 0.3 and len(set(levels.tolist())) >= 3
 
 
 def test_token_files_skip_row_groups(spark, tmp_path):
