@@ -4,13 +4,13 @@ The channel lets a writer swap letters for look-alikes, put separators or spaces
 repeat letters. A suspicious token spans a lattice: every character may be one of the letters it can stand for, be
 dropped as a separator, or be dropped as a repetition, each at a cost. Viterbi finds the cheapest path under a trigram
 model of characters counted over all documents. Spaces are in a second lattice over the letters so restored: runs of
-single letters, and up to ``PARTS`` neighbouring short tokens that together spell a weighted word, are cut into words
-anew. Its arcs are words, which cost what the character model says, or ``KNOWN`` at most if they have a weight; an arc
-over a space pays for dropping it.
+single letters, marks around them left out, and any number of neighbouring tokens that together spell a weighted word are
+cut into words anew. Its arcs are words, which cost what the character model says, or ``KNOWN`` at most if they have a
+weight; an arc over a space pays for dropping it.
 
 Words and word beginnings of the restored text are features. Their weights are smoothed log ratios of document
 frequencies in toxic and other documents, over a bounded, hash-chosen sample of labelled documents (about ``SAMPLE`` of
-either label). A document's score is a logistic function, fitted on the same sample, of the weights it gathers.
+either label, equal texts once). A document's score is a logistic function, fitted on the same sample, of the weights it gathers.
 
 Edge cases: null or empty text has the score of a document without evidence; without labelled rows of both kinds
 every score is 0; labels that repeat a doc_id count once, the larger one, and of rows that repeat a doc_id the smallest
@@ -35,8 +35,10 @@ from pressgauge.llm import words as W
 SAMPLE, LEAST_SHARE, LEAST = 6_000, 0.03, 6
 #: Lengths of word beginnings used as features.
 BEGINNINGS = (4, 5, 6)
-#: Tokens that may be parts of one word, and their greatest length.
-PARTS, PART = 4, 5
+#: Single letters in a row that are read as words spelled out.
+SPELLED = 4
+#: Marks around a token that are not part of it.
+MARKS = ".,;:!?\"'()[]{}<>*%&#$~-_|/\\=+"
 
 # Letters that a character may stand for.
 LOOKS_LIKE = {
@@ -192,13 +194,14 @@ class Reader:
 
     def __init__(self, cost: np.ndarray, known: Container[str] = ()):
         self.cost, self.known, self.seen = cost, known, {}
-        self.spelled = np.array(sorted(_number(w)[0] for w in known), np.uint64)
+        self.spelled = np.unique(np.array([_number(w)[0] for w in known], np.uint64))
+        self.begun = np.unique(np.array([_number(w[:n])[0] for w in known for n in range(1, len(w) + 1)], np.uint64))
 
     def words(self, part: bytes) -> list[str]:
         """The words that a token stands for, plain and restored."""
         got = self.seen.get(part)
         if got is None:
-            core = part.decode().lower().strip(".,;:!?\"'()[]{}<>*%&#$~-_|/\\=+")
+            core = part.decode().lower().strip(MARKS)
             whole = part.decode().lower().strip(".,;:?\"'()[]{}<>%&#~-_/\\=")
             got = [core] if core else []
             if whole and suspicious(whole):
@@ -208,34 +211,42 @@ class Reader:
             self.seen[part] = got
         return got
 
-    def _letters_apart(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
-        """Words of runs of four or more single-character tokens in one row."""
-        one = (end - start == 1) & (data[np.minimum(start, max(len(data) - 1, 0))] > 32) if len(start) else np.zeros(0, bool)
+    def _letters_apart(self, parts: list[bytes], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Words of runs of ``SPELLED`` or more tokens in one row that are a single character but for marks around it."""
+        alone = []
+        for part in parts:
+            token = part.decode().lower() if len(part) <= 16 else ""
+            alone.append(token if len(token) == 1 else token.strip(MARKS))
+        one = np.array([len(x) == 1 for x in alone], bool)[index] if len(index) else np.zeros(0, bool)
         if one.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], (one * (row + 1)), [0]))))
             for a, b in zip(edge, edge[1:]):
-                if one[a] and b - a >= 4:
-                    letters = restore(bytes(data[start[a:b]]).decode("ascii", "ignore").lower(), self.cost)
+                if one[a] and b - a >= SPELLED:
+                    letters = restore("".join(alone[k] for k in index[a:b].tolist()), self.cost)
                     for word in respace(list(letters), self.cost, self.known):
                         yield int(row[a]), word
 
     def _parts_apart(self, listed: list[list[str]], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
-        """Weighted words that neighbouring short tokens spell together, where the lattice joins them."""
+        """Weighted words that neighbouring tokens spell together, where the lattice joins them.
+
+        Tokens are followed as long as they begin a weighted word, so their number has no bound but the word's letters.
+        """
         if not len(self.spelled) or not len(index):
             return
-        texts = [single(x[-1]) if x and len(x[-1]) <= PART else "" for x in listed]
+        texts = [single(x[-1]) if x else "" for x in listed]
         number, factor = (np.array(x, np.uint64) for x in zip(*map(_number, texts)))
-        short = np.array([bool(t) for t in texts])[index]
-        total, scale, joined = number[index], factor[index], short
-        for n in range(2, PARTS + 1):
-            m = len(index) - n + 1
-            if m <= 0:
-                return
-            last = index[n - 1 :]
-            joined = joined[:m] & short[n - 1 :] & (row[:m] == row[n - 1 :])
-            total, scale = total[:m] + scale[:m] * number[last], scale[:m] * factor[last]
-            at = np.minimum(np.searchsorted(self.spelled, total), len(self.spelled) - 1)
-            for i in np.flatnonzero(joined & (self.spelled[at] == total)).tolist():
+        among = lambda x, of: of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+        usable = np.array([bool(t) for t in texts])[index]
+        at = np.flatnonzero(usable & among(number[index], self.begun))
+        total, scale, n = number[index[at]], factor[index[at]], 1
+        while len(at):
+            inside = at + n < len(index)
+            at, total, scale = at[inside], total[inside], scale[inside]
+            last = at + n
+            total, scale = total + scale * number[index[last]], scale * factor[index[last]]
+            goes_on = usable[last] & (row[at] == row[last]) & among(total, self.begun)
+            at, total, scale, n = at[goes_on], total[goes_on], scale[goes_on], n + 1
+            for i in at[among(total, self.spelled)].tolist():
                 parts = [texts[k] for k in index[i : i + n].tolist()]
                 if len(words := respace(parts, self.cost, self.known)) == 1:
                     yield int(row[i]), words[0]
@@ -246,7 +257,7 @@ class Reader:
             start, end, row = W.spans(data, at)
             parts, index = W.distinct(data, start, end)
             listed = [self.words(p) for p in parts]
-            yield first, len(at) - 1, listed, index, row, [*self._letters_apart(data, start, end, row), *self._parts_apart(listed, index, row)]
+            yield first, len(at) - 1, listed, index, row, [*self._letters_apart(parts, index, row), *self._parts_apart(listed, index, row)]
 
 
 def _pick(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
@@ -256,7 +267,9 @@ def _pick(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     counts = y.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     drawn = y.join(F.broadcast(counts), "y").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n"))
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(drawn.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    picked = texts.join(F.broadcast(drawn.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    # A text counts once, however many of the documents drawn have it.
+    return picked.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:

@@ -134,8 +134,22 @@ def toxic_model(spark):
     return toxicity.learn(docs, labels, F.lit(True))
 
 
+def test_words_in_any_number_of_parts():
+    """Every way of cutting a weighted word into parts is seen, with marks around letters and letters beyond ASCII."""
+    import pyarrow as pa
+
+    counts = np.ones(toxicity.SYMBOLS**3)
+    reader = toxicity.Reader(toxicity.character_costs(counts), {"worthles", "zonar", "bastard"})
+    told = lambda text: {w for *_, spaced in reader.read(pa.array([text])) for _, w in spaced}
+    for parts in ("wo r th le s", "w orthle s", "ba s t a rd", "bast ard", "b a st ard"):
+        assert "".join(parts.split()) in told(f"they say {parts} again"), parts
+    assert "zonar" in told("un z o n a r! si") and "bastard" in told("« b a s t a r d » ,")
+    assert told("they say bast again ard and wo") == set() and told("b a") == set()
+    assert "á" in "".join(told("z o n á r"))
+
+
 def test_spaced_out_words_are_toxic(spark, toxic_model):
-    spaced = ["he is l o s e r", "y o u l o s e r i d i o t t r a s h", "s u c h a l o s e r", "you lo ser and id iot and tra sh", "l o s e r " + "x" * 5000]
+    spaced = ["he is l o s e r", "you l o s e r!", "(i d i o t.) he is", "*l* *o* *s* *e* *r*", "such an i di o t you are", "you t ra s h", "l 0 s 3 r, t r @ s h!", "y o u l o s e r i d i o t t r a s h", "s u c h a l o s e r", "you lo ser and id iot and tra sh", "l o s e r " + "x" * 5000]
     clean = ["he is here", "a b c d e f g", "the or an in of to", "lo and ser", prose(31, 200)]
     rows = [(i, t) for i, t in enumerate(spaced + clean)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -230,7 +244,7 @@ def test_forest_prunes_and_finds(n):
 def test_forest_ascends_further_where_rows_are_thin():
     """Around dense centres the ascent ends at long prefixes, elsewhere at short ones."""
     rng = np.random.default_rng(2)
-    parts = [c + spread * rng.standard_normal((size, 64)) for size, spread in ((3000, 0.02), (2000, 0.1), (1500, 0.25)) for c in rng.standard_normal((1, 64))]
+    parts = [c + spread * rng.standard_normal((size, 64)) for size, spread in ((2000, 0.1), (2000, 0.3), (2000, 0.6)) for c in rng.standard_normal((1, 64))]
     v = np.concatenate([*parts, rng.standard_normal((3000, 64))])
     v /= np.linalg.norm(v, axis=1)[:, None]
     recall, scored, levels = forest_recall(np.arange(len(v)), v, np.arange(0, len(v), 40))
