@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import clean as C
 from pressgauge.functions import text as T
 from pressgauge.functions.vocabulary import ENDINGS, NOISE, STOPWORDS
-from pressgauge.operators import clustering, dedup, entities
+from pressgauge.operators import clustering, dedup
 from pressgauge.plans.bindings import event_articles
 from pressgauge.session import read_table
 
@@ -206,14 +206,6 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("doc_id", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 
-@query("d13_entity_forms")
-def entity_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that differ in an ending only, merged to the one mentioned most."""
-    words = titles(spark, sf_dir).select(F.explode(F.split(T.normalize_key(F.col("title")), " ")).alias("name")).where(F.length("name") >= 5)
-    names = words.groupBy("name").agg(F.count(F.lit(1)).alias("mentions"))
-    return entities.merge_forms(names)
-
-
 @query("n19_document_terms")
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF weights of titles and beginnings of texts."""

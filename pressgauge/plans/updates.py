@@ -130,13 +130,6 @@ def orphan_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.orphans(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id")), links, "entity_id")
 
 
-@query("d16_case_variants", "SELECT lower(p_name) AS key, min(p_partkey) AS entity_id, count(*) AS variants FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part) GROUP BY 1")
-def case_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that differ in case only, joined to the smallest id."""
-    p = read_table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
-    return p.groupBy(F.lower("name").alias("key")).agg(F.min("p_partkey").alias("entity_id"), F.count(F.lit(1)).alias("variants"))
-
-
 _URLS = """urls AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'ftp://a.example/x' WHEN 1 THEN 'http://user:pw@a.example/' WHEN 2 THEN 'https://localhost/x' WHEN 3 THEN 'http://192.168.0.7/feed'
   WHEN 4 THEN 'https:///nohost' WHEN 5 THEN 'http://news.internal/a' WHEN 6 THEN 'http://8.8.8.8/feed' ELSE url END AS url FROM pages)"""
 
