@@ -35,12 +35,7 @@ _CHECKS = (
     ("duplicate_rate", "duplicate_of_id IS NOT NULL", True, 0.95, None),
     ("estimated_dates", "estimated", True, 0.20, None),
     ("enrichment_backlog", "status = 'failed' AND age > 6 * 3600", False, 200, 1000),
-    ("rule_based_share", "id % 6 = 0", True, 0.5, 0.9),
     ("enrichment_consistency", "status = 'succeeded' AND score IS NULL", False, 0, 0),
-    ("story_backlog", "status = 'succeeded' AND id % 9 = 0 AND age > 2 * 3600", False, 50, 500),
-    ("ungrounded_entities", "entity_id % 11 = 0", True, 0.15, None),
-    ("low_confidence", "id % 6 <> 0 AND id % 10 < 3", True, 0.30, None),
-    ("foreign_domains", "source_id % 17 = 3", True, 0.05, None),
 )
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pressgauge.plans import analytics, names, newsroom, operations, stories, texts, updates
+from pressgauge.plans import analytics, checks, names, newsroom, operations, stories, texts, updates
 from pressgauge.sources import feeds
 from pressgauge.streaming import micro_batch
 
-MODULES = (analytics, stories, operations, texts, names, newsroom, updates, feeds, micro_batch)
+MODULES = (analytics, stories, operations, texts, names, newsroom, updates, checks, feeds, micro_batch)
 
 
 def queries() -> dict:

@@ -63,26 +63,6 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", T.canonical_url(F.col("url")).alias("canonical"), T.url_host(F.col("url")).alias("host"))
 
 
-@query("n12_edit_distance", f"WITH {_TITLES}, k AS (SELECT doc_id, left({_KEY.format(c='title')}, 60) AS k FROM titles) SELECT a.doc_id, levenshtein(a.k, b.k) AS distance FROM k a JOIN k b ON b.doc_id = a.doc_id + 1")
-def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance between the beginnings of neighbouring titles' keys."""
-    t = titles(spark, sf_dir).select("doc_id", F.substring(T.normalize_key(F.col("title")), 1, 60).alias("t"))
-    n = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return t.join(n, "doc_id").select("doc_id", F.levenshtein("t", "u").alias("distance"))
-
-
-@query(
-    "n13_trigram_similarity",
-    f"""WITH {_TITLES}, k AS (SELECT doc_id, list_distinct(flatten(list_transform(list_filter(string_split({_KEY.format(c='left(title, 80)')}, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM titles)
-    SELECT a.doc_id, round(coalesce(len(list_intersect(a.g, b.g))::DOUBLE / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) AS similarity FROM k a JOIN k b ON b.doc_id = a.doc_id + 7""",
-)
-def trigram_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigram similarity of titles seven items apart."""
-    k = titles(spark, sf_dir).select("doc_id", T.trigrams(T.normalize_key(F.substring("title", 1, 80))).alias("g"))
-    n = k.select((F.col("doc_id") - 7).alias("doc_id"), F.col("g").alias("h"))
-    return k.join(n, "doc_id").select("doc_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("similarity"))
-
-
 @query("n12_title_distance")
 def title_distances(spark: SparkSession, sf_dir: str, limit: int = 2) -> DataFrame:
     """Edit distance between neighbouring whole titles' keys, ``limit + 1`` where it exceeds the limit."""
@@ -132,8 +112,7 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyword_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule-based class and tone of whole texts."""
-    words = titles(spark, sf_dir).select("doc_id", F.explode_outer(F.split(T.normalize_key(F.col("text")), " ")).alias("word"))
-    return T.classified(words, "doc_id", "word")
+    return T.classified(titles(spark, sf_dir).select("doc_id", T.normalize_key(F.col("text")).alias("key")), "doc_id", "key")
 
 
 @query("d1_last_in_batch", "SELECT user_id AS source_id, event_id % 500 AS item_key, max(event_id) AS kept FROM events GROUP BY 1, 2")
@@ -197,12 +176,12 @@ def enrichment_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d7_validation",
-    f"""WITH {_TITLES} SELECT doc_id, CASE WHEN title = '' THEN 'rejected' WHEN length(title) < 15 THEN 'rejected' WHEN doc_id % 97 = 0 THEN 'rejected' ELSE 'accepted' END AS status,
-      CASE WHEN title = '' THEN 'missing_title' WHEN length(title) < 15 THEN 'title_too_short' WHEN doc_id % 97 = 0 THEN 'missing_url' END AS reason FROM titles""",
+    f"""WITH {_TITLES} SELECT doc_id, CASE WHEN title = '' THEN 'rejected' WHEN length(title) < 15 THEN 'rejected' ELSE 'accepted' END AS status,
+      CASE WHEN title = '' THEN 'missing_title' WHEN length(title) < 15 THEN 'title_too_short' END AS reason FROM titles""",
 )
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One terminal state with its reason for every item, the first rule that fails deciding."""
-    reason = F.when(F.col("title") == "", "missing_title").when(F.length("title") < 15, "title_too_short").when(F.col("doc_id") % 97 == 0, "missing_url")
+    reason = F.when(F.col("title") == "", "missing_title").when(F.length("title") < 15, "title_too_short")
     return titles(spark, sf_dir).select("doc_id", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 

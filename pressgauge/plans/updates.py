@@ -320,13 +320,6 @@ def registry_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join(issues, ",").alias("issues"))
 
 
-@query("x3_busy_short_feeds", "SELECT user_id, count(*) AS fetches, max(event_id % 40) AS longest FROM events GROUP BY 1 HAVING count(*) > 0 AND max(event_id % 40) < 40 AND count(*) FILTER (WHERE event_type = 'view') > 10")
-def busy_short_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlets whose short feed was full at more than ten fetches."""
-    n = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("fetches"), F.max(F.col("event_id") % 40).alias("longest"), F.count_if(F.col("event_type") == "view").alias("full"))
-    return n.where("fetches > 0 and longest < 40 and full > 10").select("user_id", "fetches", "longest")
-
-
 @query(
     "t13_sent_alerts",
     """WITH RECURSIVE a AS (SELECT DISTINCT event_type AS key, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events WHERE event_type = 'error'),
@@ -345,37 +338,6 @@ def sent_alerts(spark: SparkSession, sf_dir: str, quiet: int = 6) -> DataFrame:
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("sent"))
 
 
-def run_checks(spark: SparkSession, checks: dict, *args) -> DataFrame:
-    """(check, status, detail) of every check; one that raises is a failed row and stops none of the others.
-
-    A check is a function that returns (status, detail); each runs its own aggregation and gives one row.
-    """
-    rows = []
-    for name, check in checks.items():
-        try:
-            status, detail = check(spark, *args)
-        except Exception as error:
-            status, detail = "fail", f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
-        rows.append((name, status, detail))
-    return spark.createDataFrame(rows, "check string, status string, detail string")
-
-
-@query(
-    "dq17_isolated_checks",
-    "SELECT * FROM (VALUES ('articles', 'pass', (SELECT CAST(count(*) AS VARCHAR) FROM events)), ('crash', 'fail', 'ValueError: broken'), ('outlets', 'pass', (SELECT CAST(count(DISTINCT user_id) AS VARCHAR) FROM events))) AS t(\"check\", status, detail)",
-)
-def isolated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run of checks of which one crashes."""
-    e = read_table(spark, sf_dir, "events")
-
-    def crash(_):
-        raise ValueError("broken")
-
-    return run_checks(
-        spark, {"articles": lambda _: ("pass", str(e.count())), "crash": crash, "outlets": lambda _: ("pass", str(e.select("user_id").distinct().count()))}
-    )
-
-
 @query(
     "d7_validated_items",
     r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, url FROM pages)
