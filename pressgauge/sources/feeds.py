@@ -73,16 +73,67 @@ def parse_feed(body: bytes) -> tuple[list[dict], bool]:
     return entries, broken
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Feed files as rows of the fixed entry schema; a file is read by one task and its entries leave one by one."""
+def parse_bodies(bodies: DataFrame) -> DataFrame:
+    """Rows (path, content) of feed documents as rows of the fixed entry schema; a task holds one document at a time."""
+    names = [c.split()[0] for c in ENTRY.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
+            held = []
             for file, body in zip(files["path"], files["content"]):
-                entries, broken = parse_feed(bytes(body))
-                yield pd.DataFrame([{"file": file, **e, "malformed": broken} for e in entries], columns=[c.split()[0] for c in ENTRY.split(", ")])
+                entries, broken = parse_feed(bytes(body) if body is not None else b"")
+                held += [{"file": file, **e, "malformed": broken} for e in entries]
+                if len(held) > 1_000:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+            yield pd.DataFrame(held, columns=names)
+
+    return bodies.select("path", "content").mapInPandas(run, ENTRY)
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Feed files as rows of the fixed entry schema; a file is read by one task."""
+    return parse_bodies(spark.read.format("binaryFile").load(path))
+
+
+def feed_documents(pages: DataFrame) -> DataFrame:
+    """(path, content): every page (page_id, url, html) as a feed of one entry: RSS, Atom and a news sitemap in turn."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    title, link = safe(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)), F.replace(safe(F.col("url")), F.lit('"'), F.lit("&quot;"))
+    image = F.replace(safe(F.regexp_extract("html", r'<img[^>]+src="([^"]+)"', 1)), F.lit('"'), F.lit("&quot;"))
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    number = F.col("page_id").cast("string")
+    rss = F.concat(
+        F.lit('<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Outlet</title><item><title>'), title, F.lit("</title><link>"), link, F.lit("</link><guid>"), number,
+        F.lit("</guid><pubDate>"), at, F.lit('</pubDate><dc:creator>desk</dc:creator><category>a</category><category>b</category><enclosure url="'), image, F.lit('"/></item></channel></rss>'),
+    )
+    atom = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>Outlet</title><entry><title>'), title, F.lit('</title><link rel="alternate" href="'), link, F.lit('"/><id>'), number, F.lit("</id><updated>"), at,
+        F.lit("</updated><author><name>desk</name></author><category term=\"a\"/></entry></feed>"),
+    )
+    sitemap = F.concat(
+        F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:n="http://www.google.com/schemas/sitemap-news/0.9"><url><loc>'), link, F.lit("</loc><n:news><n:publication_date>"), at,
+        F.lit("</n:publication_date><n:title>"), title, F.lit("</n:title></n:news></url></urlset>"),
+    )
+    body = F.when(F.col("page_id") % 3 == 0, rss).when(F.col("page_id") % 3 == 1, atom).otherwise(sitemap)
+    return pages.select(number.alias("path"), F.encode(body, "UTF-8").alias("content"))
+
+
+_CLEAN = r"nullif(regexp_replace(regexp_replace({c}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '^\s+|\s+$', '', 'g'), '')"
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ENTRY)
+@query(
+    "s2_feed_entries",
+    rf"""WITH p AS (SELECT page_id, page_id % 3 AS kind, {_CLEAN.format(c="regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {_CLEAN.format(c="url")} AS url,
+      {_CLEAN.format(c="regexp_extract(html, '<img[^>]+src=" + chr(34) + "([^" + chr(34) + "]+)" + chr(34) + "', 1)")} AS image FROM pages)
+    SELECT CAST(page_id AS VARCHAR) AS file, left(title, {CLIP}) AS title, url AS link, CASE WHEN kind < 2 THEN CAST(page_id AS VARCHAR) END AS id,
+      strftime(make_timestamp((1704067200 + page_id * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS published, CASE WHEN kind < 2 THEN 'desk' END AS author,
+      CASE kind WHEN 0 THEN 'a,b' WHEN 1 THEN 'a' ELSE '' END AS tags, CASE WHEN kind = 0 THEN image END AS image, false AS malformed FROM p""",
+)
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of RSS, Atom and sitemap documents that hold the pages' titles, addresses and images."""
+    found = parse_bodies(feed_documents(read_table(spark, sf_dir, "pages")))
+    return found.select("file", "title", "link", "id", "published", "author", F.array_join("tags", ",").alias("tags"), "image", "malformed")
 
 
 def links_of(html: Column) -> Column:
