@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressgauge.plans.bindings import AS_OF, EVENT_RANGE, EVENT_SQL, STAR_RANGE, STAR_SQL, TODAY, Range, event_articles, star_articles, star_entities, star_mentions
+from pressgauge.session import checkpointed
 
 QUERIES, ORACLE = {}, {}
 _E, _S = EVENT_RANGE, STAR_RANGE
@@ -356,6 +357,8 @@ def article_search(spark: SparkSession, sf_dir: str, rng: Range = _S, topic: str
     if entity_text is not None:
         named = star_mentions(spark, sf_dir, hit).join(star_entities(spark, sf_dir).where(F.col("name").contains(entity_text)), "entity_id").select("id")
         hit = hit.join(named, "id", "left_semi")
+    # The hits are found once; both the page and their number read what was found.
+    hit = checkpointed(hit.select("id", "topic", "published_date"))
     total = hit.agg(F.count(F.lit(1)).alias("total"))
     page = hit.orderBy(F.desc("published_date"), F.desc("id")).offset(offset).limit(limit)
     return page.join(total).select("id", "topic", day("published_date"), "total")

@@ -92,14 +92,19 @@ def sources_compare(spark: SparkSession, sf_dir: str, rng: Range = _R, topics: i
     every = near_range(event_articles(spark, sf_dir), rng)
     heads = story_heads(every).select("story_id", F.col("outlets").alias("k"), "first_source")
     mine = every.where(rng.holds(F.col("published_date"))).join(heads, "story_id")
-    led = F.when((F.col("k") >= 2) & (F.col("first_source") == F.col("source_id")), F.col("story_id"))
-    n = mine.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("articles"),
-        F.count_if(F.col("duplicate_of_id").isNull()).alias("originals"),
-        F.round(F.avg("score"), 6).alias("avg_tone"),
-        F.max("epoch").alias("last_epoch"),
-        F.countDistinct("story_id").alias("stories"),
-        F.countDistinct(led).alias("first_reports"),
+    led = (F.col("k") >= 2) & (F.col("first_source") == F.col("source_id"))
+    # The join left the rows together by story, so a row per outlet and story needs no shuffle.
+    each = mine.groupBy("story_id", "source_id").agg(
+        F.count(F.lit(1)).alias("articles"), F.count_if(F.col("duplicate_of_id").isNull()).alias("originals"), F.sum("score").alias("tone"), F.count("score").alias("toned"),
+        F.max("epoch").alias("last_epoch"), F.max(led).alias("led"),
+    )
+    n = each.groupBy("source_id").agg(
+        F.sum("articles").alias("articles"),
+        F.sum("originals").alias("originals"),
+        F.round(F.try_divide(F.sum("tone"), F.sum("toned")), 6).alias("avg_tone"),
+        F.max("last_epoch").alias("last_epoch"),
+        F.count(F.lit(1)).alias("stories"),
+        F.count_if("led").alias("first_reports"),
     )
     rank = Window.partitionBy("source_id").orderBy(F.desc("n"), "topic")
     tops = mine.groupBy("source_id", "topic").agg(F.count(F.lit(1)).alias("n")).withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= topics)
