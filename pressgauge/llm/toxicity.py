@@ -196,28 +196,30 @@ class Reader:
         self.cost, self.known, self.seen = cost, known, {}
         self.spelled = np.unique(np.array([_number(w)[0] for w in known], np.uint64))
         self.begun = np.unique(np.array([_number(w[:n])[0] for w in known for n in range(1, len(w) + 1)], np.uint64))
+        self.inside = {w[i:j] for w in known for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
 
-    def words(self, part: bytes) -> list[str]:
-        """The words that a token stands for, plain and restored."""
-        got = self.seen.get(part)
-        if got is None:
+    def look(self, part: bytes) -> tuple[list[str], str, str]:
+        """The words that a token stands for, plain and restored; the single character that it is but for marks; and what
+        it adds to a weighted word that it may be a part of."""
+        found = self.seen.get(part)
+        if found is None:
             core = part.decode().lower().strip(MARKS)
             whole = part.decode().lower().strip(".,;:?\"'()[]{}<>%&#~-_/\\=")
             got = [core] if core else []
             if whole and suspicious(whole):
                 got = [x for x in dict.fromkeys([*got, restore(whole, self.cost)]) if x]
+            token = part.decode().lower() if len(part) <= 16 else ""
+            alone = token if len(token) == 1 else token.strip(MARKS)
+            piece = single(got[-1]) if got and len(got[-1]) <= LONGEST else ""
+            found = got, alone if len(alone) == 1 else "", piece if piece in self.inside else ""
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            self.seen[part] = got
-        return got
+            self.seen[part] = found
+        return found
 
-    def _letters_apart(self, parts: list[bytes], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
+    def _letters_apart(self, alone: list[str], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
         """Words of runs of ``SPELLED`` or more tokens in one row that are a single character but for marks around it."""
-        alone = []
-        for part in parts:
-            token = part.decode().lower() if len(part) <= 16 else ""
-            alone.append(token if len(token) == 1 else token.strip(MARKS))
-        one = np.array([len(x) == 1 for x in alone], bool)[index] if len(index) else np.zeros(0, bool)
+        one = np.array([bool(x) for x in alone], bool)[index] if len(index) else np.zeros(0, bool)
         if one.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], (one * (row + 1)), [0]))))
             for a, b in zip(edge, edge[1:]):
@@ -226,14 +228,13 @@ class Reader:
                     for word in respace(list(letters), self.cost, self.known):
                         yield int(row[a]), word
 
-    def _parts_apart(self, listed: list[list[str]], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
+    def _parts_apart(self, texts: list[str], index: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, str]]:
         """Weighted words that neighbouring tokens spell together, where the lattice joins them.
 
         Tokens are followed as long as they begin a weighted word, so their number has no bound but the word's letters.
         """
         if not len(self.spelled) or not len(index):
             return
-        texts = [single(x[-1]) if x else "" for x in listed]
         number, factor = (np.array(x, np.uint64) for x in zip(*map(_number, texts)))
         among = lambda x, of: of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
         usable = np.array([bool(t) for t in texts])[index]
@@ -256,8 +257,9 @@ class Reader:
         for first, data, at in W.chunks(column):
             start, end, row = W.spans(data, at)
             parts, index = W.distinct(data, start, end)
-            listed = [self.words(p) for p in parts]
-            yield first, len(at) - 1, listed, index, row, [*self._letters_apart(parts, index, row), *self._parts_apart(listed, index, row)]
+            looks = [self.look(p) for p in parts]
+            listed, alone, texts = ([x[i] for x in looks] for i in range(3))
+            yield first, len(at) - 1, listed, index, row, [*self._letters_apart(alone, index, row), *self._parts_apart(texts, index, row)]
 
 
 def _pick(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
