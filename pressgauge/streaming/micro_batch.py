@@ -72,6 +72,40 @@ def late_items(spark: SparkSession, sf_dir: str, as_of: str = "2024-01-31 00:00:
     return run_to_table(judged, spark, "append").agg(F.count_if("old").alias("too_old"), F.count_if(~F.col("old")).alias("accepted"))
 
 
+def await_analyses(items: DataFrame, analyses: DataFrame, wait_minutes: int = 360, lateness: str = "2 days") -> DataFrame:
+    """(id, at, done) of the stream ``items`` (id, at) as soon as each may be clustered.
+
+    An item leaves with the time of its analysis (``analyses``: item, done) when that comes within the wait, and with null
+    once the watermark says that none can come any more. Rows later than ``lateness`` are dropped by the watermark; the
+    state holds the items of the wait and the lateness only.
+    """
+    left = items.select("id", "at").withWatermark("at", lateness)
+    right = analyses.select(F.col("item"), F.col("done")).withWatermark("done", lateness)
+    in_time = (F.col("id") == F.col("item")) & (F.col("done") >= F.col("at")) & (F.col("done") <= F.col("at") + F.expr(f"INTERVAL {wait_minutes} MINUTES"))
+    return left.join(right, in_time, "left_outer").select("id", "at", "done")
+
+
+@query(
+    "t8_awaited_analyses",
+    """WITH i AS (SELECT event_id AS id, event_type AS topic, ts AS came FROM events), a AS (SELECT event_id AS item, ts + to_minutes(event_id % 600) AS done FROM events WHERE event_id % 10 <> 0),
+    w AS (SELECT least((SELECT max(came) FROM i), (SELECT max(done) FROM a)) - INTERVAL 2 DAY - INTERVAL 360 MINUTE AS edge)
+    SELECT topic, count(*) FILTER (WHERE done <= came + INTERVAL 360 MINUTE) AS analysed, count(*) FILTER (WHERE (done IS NULL OR done > came + INTERVAL 360 MINUTE) AND date_trunc('millisecond', came) <= edge) AS given_up
+    FROM i LEFT JOIN a ON id = item, w GROUP BY 1""",
+)
+def awaited_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items per topic that left with their analysis, and those that left without one after six hours.
+
+    Those without one that may still get it are in neither number.
+    """
+    e = event_stream(spark, sf_dir)
+    items = e.select(F.col("event_id").alias("id"), "at")
+    done = F.col("at") + F.expr("make_dt_interval(0, 0, event_id % 600, 0)")
+    analyses = event_stream(spark, sf_dir).where("event_id % 10 <> 0").select(F.col("event_id").alias("item"), done.alias("done"))
+    left = run_to_table(await_analyses(items, analyses), spark, "append")
+    topics = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("topic"))
+    return left.join(topics, "id").groupBy("topic").agg(F.count("done").alias("analysed"), F.count_if(F.col("done").isNull()).alias("given_up"))
+
+
 @query(
     "s10_upsert",
     """WITH s AS (SELECT user_id AS source_id, event_id % 500 AS item_key, event_id, md5(event_type) AS content FROM events),
