@@ -66,3 +66,16 @@ def test_one_row_per_group_whatever_its_ids(spark):
     assert fixed <= set(got) and len(got) == len(fixed) + 2
     assert sum(i is None and t in (" ".join(only_null), edit(only_null)) for i, t in got) == 1
     assert sum(i == 9 for i, _ in got) == 1
+
+
+def test_the_whole_pipeline_runs(spark, tmp_path):
+    """``run`` over a table of files: every stage's decisions show in the end."""
+    clean = [(i, prose(100 + i, 60)) for i in range(8)]
+    words = prose(200, 120).split()
+    rows = [*clean, (20, " ".join(words)), (21, " ".join([*words[:60], "changed", *words[61:]])), (22, None), (23, "123 456"), (24, prose(300, 40) + " " + " ".join(words[:60]))]
+    with_ids(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = Counter(r.doc_id for r in out.collect())
+    assert set(got) <= {*range(8), 20, 24} and max(got.values()) <= 3 and len(got) >= 5
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.where("n_tokens = 0").count() == 0
