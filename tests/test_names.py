@@ -100,3 +100,23 @@ def test_words_of_a_summary_that_its_text_lacks(spark, summary, missing):
     texts = spark.createDataFrame([(1, "Kurti u takua në Prishtina me 12 deputetë, qeveria miratoi 12.5 pika.")], "doc_id long, text string")
     got = grounding.ungrounded_words(spark.createDataFrame([(1, summary)], "doc_id long, summary string"), texts).collect()
     assert {r.word for r in got} == missing
+
+
+def test_items_leave_with_their_analysis_or_when_none_can_come(spark, tmp_path):
+    """Three micro-batches: analyses in time, too late, missing, and items that still wait."""
+    from pressgauge.streaming.micro_batch import await_analyses, run_to_table
+
+    at = lambda h, m=0: f"2024-01-0{1 + h // 24} {h % 24:02d}:{m:02d}:00"
+    batches = [
+        ([(1, at(0)), (2, at(1)), (3, at(2))], [(1, at(5, 59))]),
+        ([(4, at(9))], [(2, at(7, 1)), (4, at(9))]),
+        ([(5, at(20)), (6, at(23))], [(5, at(20, 30)), (9, at(22))]),
+    ]
+    for n, (items, analyses) in enumerate(batches):
+        spark.createDataFrame(items, "id long, at string").select("id", F.to_timestamp("at").alias("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/items/{n}")
+        spark.createDataFrame(analyses, "item long, done string").select("item", F.to_timestamp("done").alias("done")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/analyses/{n}")
+    source = lambda name, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}")
+    told = run_to_table(await_analyses(source("items", "id long, at timestamp"), source("analyses", "item long, done timestamp"), lateness="1 hour"), spark, "append")
+    got = {r.id: r.done and r.done.strftime("%H:%M") for r in told.collect()}
+    # 2 was analysed a minute too late and 3 never; 6 still waits.
+    assert got == {1: "05:59", 2: None, 3: None, 4: "09:00", 5: "20:30"}
