@@ -20,6 +20,7 @@ and (for learning) labels are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
@@ -178,6 +179,7 @@ class Model:
 
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
+_DOUBLED = re.compile(r"(.)\1")
 
 
 def _number(word: str) -> tuple[np.uint64, np.uint64]:
@@ -203,14 +205,16 @@ class Reader:
         it adds to a weighted word that it may be a part of."""
         found = self.seen.get(part)
         if found is None:
-            core = part.decode().lower().strip(MARKS)
-            whole = part.decode().lower().strip(".,;:?\"'()[]{}<>%&#~-_/\\=")
+            token = part.decode().lower()
+            core = token.strip(MARKS)
+            whole = token.strip(".,;:?\"'()[]{}<>%&#~-_/\\=")
             got = [core] if core else []
             if whole and suspicious(whole):
                 got = [x for x in dict.fromkeys([*got, restore(whole, self.cost)]) if x]
-            token = part.decode().lower() if len(part) <= 16 else ""
-            alone = token if len(token) == 1 else token.strip(MARKS)
-            piece = single(got[-1]) if got and len(got[-1]) <= LONGEST else ""
+            alone = token if len(token) == 1 else core
+            piece = got[-1] if got and len(got[-1]) <= LONGEST else ""
+            if _DOUBLED.search(piece):
+                piece = single(piece)
             found = got, alone if len(alone) == 1 else "", piece if piece in self.inside else ""
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -235,7 +239,10 @@ class Reader:
         """
         if not len(self.spelled) or not len(index):
             return
-        number, factor = (np.array(x, np.uint64) for x in zip(*map(_number, texts)))
+        number, factor = np.zeros(len(texts), np.uint64), np.ones(len(texts), np.uint64)
+        for k, text in enumerate(texts):
+            if text:
+                number[k], factor[k] = _number(text)
         among = lambda x, of: of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
         usable = np.array([bool(t) for t in texts])[index]
         at = np.flatnonzero(usable & among(number[index], self.begun))
