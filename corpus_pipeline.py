@@ -41,8 +41,13 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     marked = docs.join(listed, same, "left")
     single = marked.where(F.col("_goes").isNull()).select(*docs.columns)
     repeated = marked.where(~F.col("_goes")).select(*docs.columns)
-    # Texts are shuffled only if a row that stays has copies of itself.
-    return single if listed.where("not _goes").isEmpty() else single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    # Texts are shuffled only if a row that stays has copies of itself. Of rows that agree in doc_id and text that with the
+    # smallest other columns stays, so that reruns keep the same one.
+    if listed.where("not _goes").isEmpty():
+        return single
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return single.unionByName(repeated.groupBy("doc_id", "text").agg(F.min_by(whole, others).alias("_row")).select("_row.*"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
