@@ -79,3 +79,15 @@ def test_the_whole_pipeline_runs(spark, tmp_path):
     assert set(got) <= {*range(8), 20, 24} and max(got.values()) <= 3 and len(got) >= 5
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert out.where("n_tokens = 0").count() == 0
+
+
+def test_of_equal_rows_the_same_one_stays(spark):
+    """Rows that agree in doc_id and text, but not in source: whatever their order, one of them stays, always the same."""
+    text = prose(400, 50)
+    rows = [(1, text, "en", s, len(text), 0, "k", 0, 0, 1.0, "e", "a", "b", 0.5, 0) for s in ("s3", "s1", None, "s2")]
+    kept = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = corpus_pipeline.one_per_group(spark, spark.createDataFrame(order, SCHEMA).repartition(2), "").collect()
+        assert len(got) == 1 and got[0].text == text
+        kept.add(got[0].source)
+    assert len(kept) == 1
