@@ -52,6 +52,8 @@ SWAP, DROP, REPEAT, SYMBOL = 1.0, 0.5, 0.7, 12.0
 #: Costs of a word that has a weight and of dropping a space; letters of the longest word between spaced-out letters.
 KNOWN, JOIN, LONGEST = 6.0, 0.5, 24
 
+_DOUBLED, _TRIPLED = re.compile(r"(.)\1+", re.DOTALL), re.compile(r"(.)\1\1", re.DOTALL)
+
 SYMBOLS = 28  # a-z, other letters, word edge
 EDGE, OTHER = 27, 26
 
@@ -98,7 +100,7 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 def suspicious(core: str) -> bool:
     """Letters mixed with symbols or digits, or a letter three times in a row."""
     if core.isalpha():
-        return any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))
+        return _TRIPLED.search(core) is not None
     return any(c.isalpha() for c in core) or sum(c in LOOKS_LIKE for c in core) >= 3
 
 
@@ -161,7 +163,7 @@ def respace(parts: list[str], cost: np.ndarray, known: Container[str]) -> list[s
 
 def single(word: str) -> str:
     """Doubled letters written once, as a restored word may have lost one."""
-    return "".join(c for i, c in enumerate(word) if not i or c != word[i - 1])
+    return _DOUBLED.sub(r"\1", word)
 
 
 def features(word: str) -> list[str]:
@@ -179,7 +181,6 @@ class Model:
 
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
-_DOUBLED = re.compile(r"(.)\1")
 
 
 def _number(word: str) -> tuple[np.uint64, np.uint64]:
@@ -206,14 +207,15 @@ class Reader:
         found = self.seen.get(part)
         if found is None:
             token = part.decode().lower()
-            core = token.strip(MARKS)
-            whole = token.strip(".,;:?\"'()[]{}<>%&#~-_/\\=")
+            plain = token.isalpha()
+            core = token if plain else token.strip(MARKS)
+            whole = token if plain else token.strip(".,;:?\"'()[]{}<>%&#~-_/\\=")
             got = [core] if core else []
             if whole and suspicious(whole):
                 got = [x for x in dict.fromkeys([*got, restore(whole, self.cost)]) if x]
             alone = token if len(token) == 1 else core
             piece = got[-1] if got and len(got[-1]) <= LONGEST else ""
-            if _DOUBLED.search(piece):
+            if piece not in self.inside:
                 piece = single(piece)
             found = got, alone if len(alone) == 1 else "", piece if piece in self.inside else ""
             if len(self.seen) > 200_000:
@@ -334,7 +336,9 @@ def _gather(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.weights
         reader = Reader(shared.value.cost, {w for w in weights if not w.endswith("~") and len(w) >= 4})
-        weigh = lambda words: max((weights.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+        # All features of a word begin like it.
+        heads = {f[:3] for f in weights}
+        weigh = lambda words: max((weights.get(f, 0.0) for w in words if single(w)[:3] in heads for f in features(w)), default=0.0)
         for batch in batches:
             for first, rows, listed, index, row, spaced in reader.read(batch.column("text")):
                 w = np.array([weigh(x) for x in listed]) if listed else np.zeros(0)
