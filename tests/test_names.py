@@ -53,6 +53,11 @@ def test_forms_merge_to_the_most_mentioned_under_a_good_name(spark):
     assert got[60] == got[61] == (61, "Vitomiricë të Pejës", 10) and got[70] == (70, "Kosova", 1)
 
 
+def test_name_forms_need_no_bucket_in_memory(spark):
+    names = spark.createDataFrame([(1, "location", "prishtina", "Prishtina", 5), (2, "location", "prishtines", "Prishtinës", 9)], "id long, type string, key string, name string, mentions long")
+    assert "FlatMapGroupsInPandas" not in entities.merge_forms(names)._jdf.queryExecution().toString()
+
+
 def test_a_stored_form_is_found_the_same_name_first(spark):
     stored = spark.createDataFrame([(3, "location", "kosoves"), (9, "location", "kosova"), (1, "person", "kosova"), (5, "location", "kosoven")], "id long, type string, key string")
     wanted = spark.createDataFrame([("location", "kosova"), ("location", "kosove"), ("location", "peja"), ("organization", "kosova"), ("location", "")], "type string, key string")

@@ -113,11 +113,6 @@ def test_a_hot_key_is_dealt_out_by_gaps(spark):
     assert rows[0] == rows[40] == rows[95] and rows[400] == rows[450]
 
 
-def test_name_forms_need_no_bucket_in_memory(spark):
-    names = spark.createDataFrame([("walker", 5), ("walkers", 9)], "name string, mentions long")
-    assert "FlatMapGroupsInPandas" not in entities.merge_forms(names)._jdf.queryExecution().toString()
-
-
 def test_text_functions(spark):
     row = spark.createDataFrame([("Çafé — DÉJÀ  vu!", "http://www.Example.com/a/b/amp/?utm_source=x&b=2&a=1#t")], "t string, u string").select(
         T.normalize_key(F.col("t")), T.canonical_url(F.col("u")), T.near_verbatim(F.lit("big fire in town"), F.lit("big fire town live")), T.jaccard(T.trigrams(F.lit("word")), T.trigrams(F.lit("word")))
