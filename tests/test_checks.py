@@ -40,3 +40,8 @@ def test_feed_documents_of_every_kind_keep_marks(spark):
 def test_checks_of_the_last_day_are_all_there(spark):
     got = {r["check_name"]: r["status"] for r in operations.quality_checks(spark, "/root/testdata/sf0.01").collect()}
     assert len(got) == 10 and {"rule_based_share", "story_backlog", "ungrounded_entities", "low_confidence", "foreign_domains"} < set(got)
+
+
+def test_the_summary_tells_of_all_checks(spark):
+    row = operations.quality_summary(spark, "/root/testdata/sf0.01").first()
+    assert row["passed"] + sum(len(row[c].split(",")) for c in ("warnings", "failures") if row[c]) == 10
