@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressgauge.functions import text as T
-from pressgauge.plans import checks, operations
+from pressgauge.plans import checks, operations, texts
 from pressgauge.sources import feeds
 
 
@@ -45,3 +45,8 @@ def test_checks_of_the_last_day_are_all_there(spark):
 def test_the_summary_tells_of_all_checks(spark):
     row = operations.quality_summary(spark, "/root/testdata/sf0.01").first()
     assert row["passed"] + sum(len(row[c].split(",")) for c in ("warnings", "failures") if row[c]) == 10
+
+
+def test_validation_has_all_its_rules(spark):
+    got = {r["reason"] for r in texts.validation(spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
+    assert "missing_url" in got
