@@ -15,8 +15,9 @@ are cut more than their length demands.
 A sequence takes documents of one block, which lie near each other in the input: where neighbours are alike, deal the
 documents out at random before packing.
 
-Text is cut at the start of white space into pieces, where the byte-level pattern always cuts as well; a chunk's distinct
-pieces are encoded once, and once per Python worker as long as they stay in a cache of bounded size.
+Text is cut into pieces at the start of white space, and before ASCII punctuation other than the apostrophe that follows
+an ASCII letter or digit, where the byte-level pattern always cuts as well; a chunk's distinct pieces are encoded once,
+and once per Python worker as long as they stay in a cache of bounded size.
 
 Edge cases: null text counts as empty and is one piece with the end id only; rows that repeat a doc_id, and null doc_ids,
 are documents of their own; a text longer than a block is a block; an empty table gives no rows; other columns are not
@@ -65,9 +66,9 @@ class ByteEncoder:
             self.width[i] = len(token)  # a byte-level token has a character per byte
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        probe = [b"a", b" B1", b"\n\n c\xc3\xa9's", b"  ", b"\t<x>"]
+        probe = [b"a", b" B1", b".", b" c", b",\"d7", b"-e", b"\n\n c\xc3\xa9's", b"  ", b"\t<x", b">"]
         if np.concatenate(self._each(probe)).tolist() != self._each([b"".join(probe)])[0].tolist():
-            raise ValueError("the tokenizer must be byte-level and cut wherever white space begins")
+            raise ValueError("the tokenizer must be byte-level and cut wherever white space begins, and between letters or digits and punctuation")
 
     @classmethod
     def of(cls, config: bytes) -> ByteEncoder:
@@ -81,7 +82,7 @@ class ByteEncoder:
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
 
     def _together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and number of ids of parts that begin with white space and end with something else, encoded as one text."""
+        """Ids and number of ids of parts that begin with white space and do not end with it, encoded as one text."""
         ids = np.array(self.model.encode_batch_fast([b"".join(parts).decode()], add_special_tokens=False)[0].ids, np.uint32)
         ends, reached = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), np.cumsum(self.width[ids])
         stop = np.searchsorted(reached, ends) + 1
@@ -127,16 +128,16 @@ class ByteEncoder:
 def encode_rows(column: pa.Array, encoder: ByteEncoder, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, number of ids per row) for chunks of rows, the end id after each row's ids."""
     for _, data, at in W.chunks(column, 8 << 20):
-        start, end, row = W.pieces(data, at)
+        start, end, row = W.pieces(data, at, punctuation=True)
         edges = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
         coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         index, distinct = coded.indices.to_numpy(), coded.dictionary
         plain = np.zeros(len(distinct), bool)
         if len(distinct):
-            # A piece that begins with one kind of white space and ends with ASCII that is none.
+            # A piece that begins with ASCII white space and does not end with white space of any kind.
             edge = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
             body = np.frombuffer(distinct.buffers()[2], np.uint8)
-            plain = W.SPACE[body[edge[:-1]]] & (body[edge[1:] - 1] > 32) & (body[edge[1:] - 1] < 127)
+            plain = W.SPACE[body[edge[:-1]]] & ~W.white(body[: edge[-1]])[edge[1:] - 1]
         ids, offset, length = encoder.encode(distinct.to_pylist(), plain, np.bincount(index, minlength=len(distinct)) > 1)
         rows = np.arange(len(at) - 1)
         # The end id is one more piece after the last of every row.

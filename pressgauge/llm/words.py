@@ -171,8 +171,11 @@ def white(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of pieces that cover all bytes: white space and the word after it; a row's last may be blank."""
+def pieces(data: np.ndarray, at: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of pieces that cover all bytes: white space and the word after it; a row's last may be blank.
+
+    With ``punctuation`` they are cut before ASCII punctuation, but for the apostrophe, that follows an ASCII letter or digit.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     blank = white(data)
@@ -180,6 +183,9 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first[at] = True
     first = first[:-1]
     first[1:] |= blank[1:] & ~blank[:-1]
+    if punctuation:
+        kind = _CLASS[data]
+        first[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
     start = np.flatnonzero(first)
     return start, np.append(start[1:], len(data)), np.searchsorted(at, start, "right") - 1
 

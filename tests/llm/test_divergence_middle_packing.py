@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,14 @@ def test_packing_equals_the_tokenizer_on_every_kind_of_break(config, whole):
         at = np.concatenate(([0], np.cumsum(n)))
         got += [ids[a:b].tolist() for a, b in zip(at, at[1:])]
     assert got == [whole(t) for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_punctuation_follows(config, whole):
+    encoder, seen = packing.ByteEncoder(config), []
+    kept = encoder.encode
+    encoder.encode = lambda parts, *rest: (seen.extend(parts), kept(parts, *rest))[1]
+    texts = ["a cat, a cat. a cat; a cat!\" U.S. 3.5% x-y don't 'tis rock'n'roll é, é. ü'd “cat” cat…. (cat) cat),  cat,  x ", None, ".", "cat", ".cat"]
+    ids, n = zip(*packing.encode_rows(pa.array(texts), encoder, 1))
+    assert seen.count(b" cat") == 1 and not {b" cat,", b" cat.", b" cat;"} & set(seen)
+    wanted = [whole(t) for t in texts]
+    assert np.concatenate(n).tolist() == [len(w) for w in wanted] and np.concatenate(ids).tolist() == [i for w in wanted for i in w]
