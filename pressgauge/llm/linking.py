@@ -57,11 +57,13 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     joined = members.select("node", "component").distinct()
     members = members.select("key", "node", F.col("n").cast("long").alias("s"))
     first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node", "s"))
-    named = members.groupBy("key").agg(F.array_distinct(F.array(*[first(i) for i in range(HUBS)])).alias("h"))
-    hub_rows = work.cut(named.select("key", F.explode("h").alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.s").alias("hub_s")).distinct(), "hubs")
-    near = F.least("s", "hub_s") * 2 >= F.greatest("s", "hub_s")
-    placed = members.join(hub_rows, "key").where(near).select("key", "node", "hub")
-    pairs = work.cut(placed.where("node <> hub").select("hub", "node").distinct(), "family-pairs")
+    named = members.groupBy("key").agg(F.array(*[first(i) for i in range(HUBS)]).alias("h"))
+    named = work.cut(named.select("key", F.array_distinct(F.transform("h", lambda h: F.struct(h["node"].alias("node"), h["s"].alias("s")))).alias("h")), "hubs")
+    near = F.filter("h", lambda h: F.least("s", h["s"]) * 2 >= F.greatest("s", h["s"]))
+    # A row per key and node, whatever the number of hubs; hubs that several keys of a node name are one pair.
+    placed = work.cut(members.join(named, "key").select("key", "node", F.transform(near, lambda h: h["node"]).alias("hubs")), "placed")
+    pairs = placed.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))
+    pairs = work.cut(pairs.select(F.explode("hubs").alias("hub"), "node").where("node <> hub"), "family-pairs")
     both = pairs.join(side(sets, "hub", "x"), "hub").join(side(sets, "node", "y"), "node")
     apart = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
     sized = both.select("hub", "node", F.size("x").cast("long").alias("hub_n"), F.size("y").cast("long").alias("n"), apart.alias("d"))
@@ -101,8 +103,9 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     met = near.join(own_side("a"), ["hub", "a"]).join(own_side("b"), ["hub", "b"])
     differ = F.size("a_e") + F.size("b_e") - 2 * F.size(F.array_intersect("a_e", "b_e"))
     shared = met.where(differ * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)).select("a", "b")
-    done = placed.join(known.where("close").select("hub", "node"), ["hub", "node"]).select("key", "node")
-    done = done.unionByName(hub_rows.select("key", F.col("hub").alias("node"))).distinct()
+    close = known.where("close").groupBy("node").agg(F.collect_set("hub").alias("close_hubs"))
+    done = placed.join(close, "node").where(F.arrays_overlap("hubs", "close_hubs")).select("key", "node")
+    done = done.unionByName(named.select("key", F.explode("h.node").alias("node"))).distinct()
     return certain.unionByName(shared).distinct(), done, known.select("hub", "node")
 
 

@@ -48,6 +48,10 @@ MIN_RUN = 20
 BANDS, ROWS = 20, 3
 #: Words of a seed shingle.
 SEED = 5
+#: Bytes of text whose words a task looks at together.
+CHUNK = 1 << 20
+#: Postings of several chunks that are packed together.
+TOGETHER = 1 << 17
 #: Copies of texts and other single numbers may be broadcast up to so many.
 BROADCAST_IDS = 2_000_000
 
@@ -141,9 +145,14 @@ def _bands(items: np.ndarray, first: np.ndarray) -> np.ndarray:
     return W.mix(out + np.arange(BANDS, dtype=np.uint64))
 
 
+def _band_lists(items: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    bands = _bands(items, first) if len(first) else np.zeros((0, BANDS), np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(first) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Text]]:
     """First row, number of rows and words of the chunks of a batch."""
-    for first, data, at in W.chunks(batch.column("text")):
+    for first, data, at in W.chunks(batch.column("text"), CHUNK):
         yield first, len(at) - 1, Text(data, at)
 
 
@@ -174,7 +183,7 @@ def whole_texts(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def line_units(rows: DataFrame, k: int) -> DataFrame:
-    """(doc_id, row, start, end, n_words, digest) of every paragraph."""
+    """(doc_id, row, start, end, n_words, digest, bands) of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,12 +191,11 @@ def line_units(rows: DataFrame, k: int) -> DataFrame:
                 a, b = text.lines()
                 row, start, end = text.bounds(a, b)
                 took = batch.select(["doc_id", "row"]).take(pa.array(row + first))
-                digest = text.line_sets(k)[2].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*took.columns, pa.array(start), pa.array(end), pa.array((b - a).astype(np.int32)), pa.array(digest)], names=["doc_id", "row", "start", "end", "n_words", "digest"]
-                )
+                items, at, digest = text.line_sets(k)
+                columns = [pa.array(start), pa.array(end), pa.array((b - a).astype(np.int32)), pa.array(digest.view(np.int64)), _band_lists(items, at)]
+                yield pa.RecordBatch.from_arrays([*took.columns, *columns], names=["doc_id", "row", "start", "end", "n_words", "digest", "bands"])
 
-    return rows.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, start int, end int, n_words int, digest long")
+    return rows.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, start int, end int, n_words int, digest long, bands array<long>")
 
 
 def line_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -197,11 +205,8 @@ def line_sets(rows: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for _, _, text in _texts(batch):
                 items, first, digest = text.line_sets(k)
-                at = pa.array(np.append(first, len(items)).astype(np.int32))
-                bands = _bands(items, first) if len(first) else np.zeros((0, BANDS), np.uint64)
-                ends = pa.array(np.arange(0, len(first) * BANDS + 1, BANDS, dtype=np.int32))
-                lists = [pa.ListArray.from_arrays(x, pa.array(y.view(np.int64))) for x, y in ((at, items), (ends, bands.ravel()))]
-                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), *lists], names=["node", "items", "bands"])
+                sets = pa.ListArray.from_arrays(pa.array(np.append(first, len(items)).astype(np.int32)), pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), sets, _band_lists(items, first)], names=["node", "items", "bands"])
 
     return rows.select("text").mapInArrow(run, "node long, items array<long>, bands array<long>")
 
@@ -210,15 +215,13 @@ def near_lines(work: Workspace, rows: DataFrame, k: int, percent: int) -> DataFr
     """Removals among paragraphs."""
 
     def units(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, _, text in _texts(batch):
-            items, first, digest = text.line_sets(k)
-            if len(first):
-                yield _bands(items, first).ravel(), np.repeat(digest, BANDS)
+        owners = batch.column("digest").to_numpy().view(np.uint64)
+        yield batch.column("bands").flatten().to_numpy().view(np.uint64), np.repeat(owners, BANDS)
 
     lines = work.cut(line_units(rows, k), "lines")
     place = F.struct("doc_id", "row", "start")
     nodes = work.cut(lines.groupBy("digest").agg(F.min(place).alias("first"), F.count_distinct("row", "start").alias("n")), "line-nodes")
-    near = work.cut(nodes.join(shared(rows.select("text"), units).select("owner"), nodes["digest"] == F.col("owner"), "left_semi"), "near-lines")
+    near = work.cut(nodes.join(shared(lines.select("digest", "bands"), units, together=TOGETHER).select("owner"), nodes["digest"] == F.col("owner"), "left_semi"), "near-lines")
     holders = small_side(near.select(F.col("first.row").alias("row")).distinct(), limit=BROADCAST_IDS)
     sets = line_sets(rows.join(holders, "row", "left_semi"), k)
     sets = sets.join(small_side(near.select(F.col("digest").alias("node")), limit=BROADCAST_IDS), "node", "left_semi")
@@ -270,7 +273,7 @@ def repeated_seeds(rows: DataFrame) -> DataFrame:
             twice = p[1:][(g[p[1:]] == g[p[:-1]]) & (text.row[p[1:]] == text.row[p[:-1]])]
             yield np.concatenate((seed, g[twice])), np.concatenate((owner, ids[first + text.row[twice]] ^ np.uint64(1)))
 
-    return shared(rows.select("row", "text", "cuts"), units, lists=True).select(F.col("owner").alias("row"), F.col("tokens").alias("seeds"))
+    return shared(rows.select("row", "text", "cuts"), units, lists=True, together=TOGETHER).select(F.col("owner").alias("row"), F.col("tokens").alias("seeds"))
 
 
 _PLACES = [("ids", np.int64), ("rows", np.int64), ("words", np.int32), ("starts", np.int32), ("ends", np.int32), ("touched", np.uint8)]
@@ -373,15 +376,13 @@ def same_words(work: Workspace, rows: DataFrame, runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, text in _texts(batch):
-                data, at = text.data, text.first
-                out = []
-                for row, places in zip(batch.column("row").slice(first, n).to_pylist(), batch.column("places").slice(first, n).to_pylist()):
+            for first, data, at in W.chunks(batch.column("text"), CHUNK):
+                n, (start, end, of) = len(at) - 1, W.spans(data, at)
+                out, raw, start, end = [], data.tobytes(), start.tolist(), end.tolist()
+                for row, places, at in zip(batch.column("row").slice(first, n).to_pylist(), batch.column("places").slice(first, n).to_pylist(), np.searchsorted(of, np.arange(n)).tolist()):
                     for x in places:
-                        a, b = at[0] + x["word"], at[0] + x["stop"]
-                        words = [data[i:j].tobytes().lower() for i, j in zip(text.start[a:b].tolist(), text.end[a:b].tolist())]
+                        words = raw[start[at + x["word"]] : end[at + x["stop"] - 1]].lower().split()
                         out.append((row, x["word"], x["stop"], hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-                    at = at[1:]
                 columns = zip(*out) if out else ((), (), (), ())
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["at_row", "a", "b", "read"])
@@ -389,8 +390,10 @@ def same_words(work: Workspace, rows: DataFrame, runs: DataFrame) -> DataFrame:
     here = runs.select(F.col("row").alias("at_row"), F.col("word").alias("a"), F.col("stop").alias("b"))
     there = runs.select(F.col("keep_row").alias("at_row"), (F.col("word") + F.col("shift")).alias("a"), (F.col("stop") + F.col("shift")).alias("b"))
     places = here.unionByName(there).distinct().groupBy(F.col("at_row").alias("row")).agg(F.collect_list(F.struct(F.col("a").alias("word"), F.col("b").alias("stop"))).alias("places"))
-    places = small_side(work.cut(places, "places"), F.size("places") * 8)
-    read = rows.select("row", "text").join(places, "row").mapInArrow(run, "at_row long, a int, b int, read binary").dropDuplicates(["at_row", "a", "b"])
+    places = work.cut(places, "places")
+    # Texts without places stay where they are, also if places are too many to be sent around.
+    some = rows.select("row", "text").join(small_side(places.select("row"), limit=BROADCAST_IDS), "row", "left_semi")
+    read = some.join(small_side(places, F.size("places") * 8), "row").mapInArrow(run, "at_row long, a int, b int, read binary").dropDuplicates(["at_row", "a", "b"])
     read = work.cut(read, "read")
     one = read.select(F.col("at_row").alias("row"), F.col("a").alias("word"), F.col("b").alias("stop"), F.col("read").alias("one"))
     other = read.select(F.col("at_row").alias("keep_row"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("read").alias("other"))
@@ -447,10 +450,11 @@ def repeated_runs(work: Workspace, rows: DataFrame, percent: int, digest_bits: i
 def removals(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, row, start, end, n_words, kind, class_id, keep_doc_id): byte spans to remove, which may overlap."""
     small_batches(docs.sparkSession)
-    work = Workspace(docs.sparkSession, "paragraphs")
+    work, early = Workspace(docs.sparkSession, "paragraphs"), Workspace(docs.sparkSession, "paragraph-lines")
     gone = work.cut(copies(docs), "copies")
     rows = _slim(docs).where("text is not null").join(small_side(gone.select("row"), limit=BROADCAST_IDS), "row", "left_anti")
-    lines = work.cut(whole_texts(docs, gone).unionByName(near_lines(work, rows, k, percent)), "lines-out")
+    lines = work.cut(whole_texts(docs, gone).unionByName(near_lines(early, rows, k, percent)), "lines-out")
+    early.close()
     cuts = lines.where("kind = 'line'").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     cuts = small_side(work.cut(cuts, "cuts"), F.size("cuts") * 8, limit=BROADCAST_IDS)
     found = cut(lines.unionByName(repeated_runs(work, rows.join(cuts, "row", "left"), percent)), "removals")

@@ -61,10 +61,25 @@ def _counted(owners: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     return o, n, tokens[order]
 
 
-def shared(rows: DataFrame, units: Units, lists: bool = False) -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], units: Units, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The units of all batches, joined until they are ``least`` tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for unit in units(batch):
+            held.append(unit)
+            size += len(unit[0])
+            if size >= least:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def shared(rows: DataFrame, units: Units, lists: bool = False, together: int = 0) -> DataFrame:
     """(owner long, n long[, tokens array<binary>]) of the owners with tokens that other owners hold too.
 
-    ``units`` gives tokens and owners of a batch of ``rows``, a chunk at a time; owners are never zero. ``n`` counts
+    ``units`` gives tokens and owners of a batch of ``rows``, a chunk at a time; owners are never zero. Chunks of fewer
+    than ``together`` tokens are joined. ``n`` counts
     shared tokens, at least as many as there are; ``tokens`` are the ``short`` forms of the shared ones, packed. The number
     of partitions is what Spark's number of shuffle partitions says, so that setting has to follow the input as for any
     other shuffle: a task holds the postings of one partition.
@@ -72,20 +87,19 @@ def shared(rows: DataFrame, units: Units, lists: bool = False) -> DataFrame:
     bits = range_bits(rows.sparkSession)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tokens, owners in units(batch):
-                t, o, first, count = _distinct(tokens, owners)
-                if not len(t):
-                    continue
-                many = count > 1
-                of = np.repeat(many, count)
-                owner, n, held = _counted(o[of], short(t[of], bits))
-                t, o = t[first], np.where(many, np.uint64(0), o[first])
-                head = short(t, bits)
-                out = [(r, head[a:b].tobytes(), o[a:b].tobytes(), None) for r, a, b in ranges(t, bits)]
-                if len(owner):
-                    out.append((int(owner[0] & np.uint64(0x7FFFFFFF)) >> max(0, 31 - bits), held.tobytes() if lists else b"", owner.tobytes(), n.astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
+        for tokens, owners in _gathered(batches, units, together):
+            t, o, first, count = _distinct(tokens, owners)
+            if not len(t):
+                continue
+            many = count > 1
+            of = np.repeat(many, count)
+            owner, n, held = _counted(o[of], short(t[of], bits))
+            t, o = t[first], np.where(many, np.uint64(0), o[first])
+            head = short(t, bits)
+            out = [(r, head[a:b].tobytes(), o[a:b].tobytes(), None) for r, a, b in ranges(t, bits)]
+            if len(owner):
+                out.append((int(owner[0] & np.uint64(0x7FFFFFFF)) >> max(0, 31 - bits), held.tobytes() if lists else b"", owner.tobytes(), n.astype(np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, known = [], [], []

@@ -289,3 +289,16 @@ def test_ragged_and_wide_vectors(spark):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == wanted
     near = prefix_forest.forest_top_k(df, 20, F.col("vec_id") % 20 == 0).collect()
     assert all(abs(r.score - v[r.query_id] @ v[r.vec_id]) < 1e-9 for r in near) and len(near) == 6 * 20
+
+
+def test_shuffle_files_go_with_the_table_that_is_written(spark):
+    from pressgauge.llm.scratch import CLEANUP, Workspace
+
+    def blocks():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return manager.getAllFiles().mkString(" ").count("shuffle_")
+
+    before, kept, work = blocks(), spark.conf.get(CLEANUP), Workspace(spark, "cleanup")
+    table = work.cut(spark.range(1000).repartition(4, F.col("id")), "dealt")
+    assert blocks() <= before and spark.conf.get(CLEANUP) == kept and table.count() == 1000
+    work.close()
