@@ -2,12 +2,12 @@
 
 Documents are dealt out by ranges of doc_id, so that files in name order hold ascending ids, and each task writes its
 range as one file whose stripes Spark reads in parallel and prunes by their statistics, row index and Bloom filter.
-A row has the document's ids (with the end id), and the number of ids before it in its file; a file's first id comes
-from the totals of the files before it, one row per file.
+A row has the document's ids (with the end id), and the number of ids before it and up to its end in its file; a file's
+first id comes from the totals of the files before it, one row per file, for which no ids are read.
 
 Word parts that repeat are encoded once per chunk of text, and once per Python worker as long as they stay in a cache
-of bounded size. A cut between parts lies at ASCII white space, or between ASCII letters or digits and punctuation,
-where the tokenizer's own rules always cut as well.
+of bounded size, which those used longest ago leave first. A cut between parts lies at ASCII white space, or between
+ASCII letters or digits and punctuation, where the tokenizer's own rules always cut as well.
 
 Edge cases: null text counts as empty and has the end id only; null doc_ids come first; rows that repeat a doc_id
 follow each other in the order of their texts; an empty table gives no rows; other columns are not read.
@@ -28,6 +28,8 @@ from pressgauge.llm.scratch import new_dir
 
 #: Distinct word parts that a Python worker keeps encoded.
 CACHE = 300_000
+#: Word parts that the tokenizer sees as one text.
+GROUP = 250
 _loaded: dict = {}
 
 
@@ -46,7 +48,9 @@ class PartEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
+        # Parts used of late and, before the last turnover, those used before them.
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # Parts are folded and cut before the model sees them, which only a model that does the same allows.
         whole, parts = self._each(["Ab cD1, e\tF;g"])[0], self._each(["ab", "cd1", ",", "e", "f", ";", "g"])
         if whole != b"".join(parts) or not self.ends[np.frombuffer(parts[0], "<u4")[-1]]:
@@ -74,21 +78,27 @@ class PartEncoder:
 
     def encode(self, parts: list[bytes]) -> list[bytes]:
         """Ids of each part as little-endian 32-bit integers."""
-        found = [self.cache.get(p) for p in parts]
-        new = [i for i, x in enumerate(found) if x is None]
-        texts = {i: parts[i].decode() for i in new}
-        plain = [i for i in new if texts[i].isalpha()]
-        others = [i for i in new if not texts[i].isalpha()]
-        for group, how in ((plain, self._letters), (others, self._each)):
-            for k in range(0, len(group), 2000):
-                some = group[k : k + 2000]
-                for i, ids in zip(some, how([texts[i] for i in some])):
+        found = list(map(self.cache.get, parts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.older.get(parts[i])
+        new = [i for i in missing if found[i] is None]
+        # No part has a line feed, so that all are decoded at once.
+        texts = b"\n".join([parts[i] for i in new]).decode().split("\n") if new else []
+        letters = list(map(str.isalpha, texts))
+        for want, how in ((True, self._letters), (False, self._each)):
+            at = [i for i, x in zip(new, letters) if x is want]
+            group = [t for t, x in zip(texts, letters) if x is want]
+            for k in range(0, len(group), GROUP):
+                for i, ids in zip(at[k : k + GROUP], how(group[k : k + GROUP])):
                     found[i] = ids
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-        # Frequent parts come first; the rest of a chunk is not worth keeping once the cache is full.
-        for i in new[: CACHE - len(self.cache)]:
-            self.cache[parts[i]] = found[i]
+        # A part that is used again outlasts the turnover, so that frequent parts stay encoded.
+        while missing:
+            room = CACHE // 2 - len(self.cache)
+            some, missing = missing[:room], missing[room:]
+            self.cache.update((parts[i], found[i]) for i in some)
+            if len(self.cache) >= CACHE // 2:
+                self.cache, self.older = {}, self.cache
         return found
 
 
@@ -109,7 +119,7 @@ def encode_column(column: pa.Array, encoder: PartEncoder, end_id: int) -> Iterat
 
 
 def write_token_orc(docs: DataFrame, path: str, config: bytes, end_id: int, row_stride: int = 1000, stripe_bytes: int = 8 << 20) -> None:
-    """Encode every text and write (doc_id, before, ids) in ascending doc_id order."""
+    """Encode every text and write (doc_id, before, after, ids) in ascending doc_id order."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(config)
 
@@ -123,16 +133,17 @@ def write_token_orc(docs: DataFrame, path: str, config: bytes, end_id: int, row_
                     [
                         batch.column("doc_id").slice(row, len(n)),
                         pa.array(before + at[:-1]),
+                        pa.array(before + at[1:]),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32))),
                     ],
-                    names=["doc_id", "before", "ids"],
+                    names=["doc_id", "before", "after", "ids"],
                 )
                 row, before = row + len(n), before + int(at[-1])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     (
-        ordered.mapInArrow(run, "doc_id long, before long, ids array<int>")
+        ordered.mapInArrow(run, "doc_id long, before long, after long, ids array<int>")
         .write.format("orc")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", 0)
@@ -166,9 +177,9 @@ def token_digest(spark, path: str) -> DataFrame:
             )
 
     rows = read_token_orc(spark, path).mapInArrow(run, "doc_id long, before long, file int, n_tokens long, ids_crc32 long")
-    ends = spark.read.schema("before long, ids array<int>").orc(path)
+    ends = spark.read.schema("after long").orc(path)
     number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    totals = ends.groupBy(number.alias("file")).agg(F.max(F.col("before") + F.size("ids")).alias("total"))
+    totals = ends.groupBy(number.alias("file")).agg(F.max("after").alias("total"))
     # One row per file.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))

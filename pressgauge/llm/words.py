@@ -226,7 +226,13 @@ def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list
     if not len(start):
         return [], np.zeros(0, np.int64)
     h = hashes(data, start, end) ^ (end - start).astype(np.uint64)
-    _, where, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    # As np.unique does, but with a sort that need not be stable: any span stands for its equals.
+    by_hash = np.argsort(h)
+    h = h[by_hash]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    first, inverse = np.flatnonzero(new), np.empty(len(h), np.int64)
+    inverse[by_hash] = np.cumsum(new) - 1
+    where, count = by_hash[first], np.diff(np.append(first, len(h)))
     order = np.argsort(-count, kind="stable")
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))

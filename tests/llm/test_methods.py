@@ -302,3 +302,27 @@ def test_shuffle_files_go_with_the_table_that_is_written(spark):
     table = work.cut(spark.range(1000).repartition(4, F.col("id")), "dealt")
     assert blocks() <= before and spark.conf.get(CLEANUP) == kept and table.count() == 1000
     work.close()
+
+
+def test_frequent_word_parts_stay_encoded(monkeypatch):
+    """A part that every chunk holds is encoded once, however many others come by."""
+    from pressgauge.llm import queries, token_orc
+
+    monkeypatch.setattr(token_orc, "CACHE", 40)
+    encoder, seen = token_orc.PartEncoder(queries.tokenizer_file("word_bpe_49k.json")), Counter()
+    for name in ("_each", "_letters"):
+        monkeypatch.setattr(encoder, name, lambda texts, f=getattr(encoder, name): [seen.update(texts), f(texts)][1])
+    chunks = [["often", "!!", *(f"w{'abcdefghij'[k]}{'abcdefghijklmnopqrst'[i]}" for i in range(18))] for k in range(10)]
+    got = [encoder.encode([p.encode() for p in c]) for c in chunks]
+    assert seen["often"] == 1 and len(encoder.cache) + len(encoder.older) <= 40
+    assert all(ids == token_orc.PartEncoder._each(encoder, c) for c, ids in zip(chunks, got))
+
+
+def test_token_totals_read_no_ids(spark, tmp_path):
+    from pressgauge.llm import queries, token_orc
+
+    path = str(tmp_path / "tokens")
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(3)
+    token_orc.write_token_orc(docs, path, queries.tokenizer_file("word_bpe_49k.json"), 1)
+    plan = token_orc.token_digest(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert [s.count("ids") for s in re.findall(r"ReadSchema: (struct<.*?>)\s", plan)].count(0) == 1
