@@ -6,7 +6,7 @@ no further edge, so keys whose nodes all lie in one component are finished. Of t
 across components verified. Large ones may be groups of near copies, and are settled by families first:
 
 A large key names a few hubs. A family is a hub and the nodes of its keys that are somewhat similar to it. Its reference is the set of items that
-most of the family hold, and every node is known by its differences from the reference. For nodes x and y the
+most of those close to the hub hold, and every node is known by its differences from the reference. For nodes x and y the
 symmetric difference has |x| + |y| - 2 * (shared) differences, so with the slack
 S = (100 - percent) * size - (100 + percent) * differences two nodes are linked for certain if S(x) + S(y) >= 0, and
 otherwise only if they share differences. The node with the most slack is linked to all it can be for certain; other
@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressgauge.llm.scratch import Workspace
+from pressgauge.llm.scratch import Workspace, small_side
 from pressgauge.operators.components import components as settle
 
 #: Members up to which a key's pairs across components are compared in the first ``ROUNDS`` rounds, and how that number
@@ -35,6 +35,8 @@ from pressgauge.operators.components import components as settle
 SMALL, ROUNDS, GROWTH = 16, 2, 64
 #: Hubs that a large key names in a round; every member of the key meets each of them.
 HUBS = 4
+#: How many of them are the members of most keys.
+CENTRAL = 3
 
 
 def side(sets: DataFrame, node: str, items: str) -> DataFrame:
@@ -56,8 +58,12 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     """
     joined = members.select("node", "component").distinct()
     members = members.select("key", "node", F.col("n").cast("long").alias("s"))
-    first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o"), "node", "s"))
-    named = members.groupBy("key").agg(F.array(*[first(i) for i in range(HUBS)]).alias("h"))
+    # Most hubs are the members of most keys: those are the same in many keys, so that a node meets few hubs however many
+    # keys it has. The others are drawn, so that what is unlike the busiest members is met as well.
+    busy = members.groupBy("node").agg((-F.count(F.lit(1))).alias("busy"))
+    drawn = lambda i: F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o")
+    first = lambda i: F.min(F.struct(F.when(F.lit(i < CENTRAL), F.col("busy")).alias("p"), drawn(i), "node", "s"))
+    named = members.join(busy, "node").groupBy("key").agg(F.array(*[first(i) for i in range(HUBS)]).alias("h"))
     named = work.cut(named.select("key", F.array_distinct(F.transform("h", lambda h: F.struct(h["node"].alias("node"), h["s"].alias("s")))).alias("h")), "hubs")
     near = F.filter("h", lambda h: F.least("s", h["s"]) * 2 >= F.greatest("s", h["s"]))
     # A row per key and node, whatever the number of hubs; hubs that several keys of a node name are one pair.
@@ -74,15 +80,18 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     ring = work.cut(ring.select("hub", "hub_n", "node", "n", "d", "close"), "ring")
     own = ring.select("hub", F.col("hub_n").alias("n")).distinct().select("hub", F.col("hub").alias("node"), "n", F.array().cast("array<long>").alias("d"), F.lit(True).alias("close"))
     ring = ring.drop("hub_n").unionByName(own)
-    many = ring.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
-    often = ring.select("hub", F.explode("d").alias("item")).groupBy("hub", "item").agg(F.count(F.lit(1)).alias("c")).join(many, "hub").where(F.col("c") * 2 > F.col("m"))
-    # Items on which most of the family differ from the hub: at most twice as many as a node has differences.
+    # Any reference gives the same links; what the close members say settles it, as they have few differences.
+    near = ring.where("close")
+    many = near.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    often = near.select("hub", F.explode("d").alias("item")).groupBy("hub", "item").agg(F.count(F.lit(1)).alias("c")).join(many, "hub").where(F.col("c") * 2 > F.col("m"))
+    # Items on which most of the close members differ from the hub: at most twice as many as a node has differences.
     flipped = often.groupBy("hub").agg(F.collect_list("item").alias("f"))
     known = ring.join(flipped, "hub", "left").withColumn("f", F.coalesce("f", F.array().cast("array<long>")))
     known = known.select("hub", "node", "n", "close", F.concat(F.array_except("d", "f"), F.array_except("f", "d")).alias("e"))
     known = work.cut(known.withColumn("slack", F.col("n") * (100 - percent) - F.size("e") * (100 + percent)), "family")
-    best = known.groupBy("hub").agg(F.max(F.struct("slack", "node")).alias("best"))
-    known = known.join(best, "hub").withColumn("certain", F.col("slack") + F.col("best.slack") >= 0)
+    best = work.cut(known.groupBy("hub").agg(F.max(F.struct("slack", "node")).alias("best")), "best")
+    # A row per hub goes around, so that a large family is not dealt to one task.
+    known = known.join(small_side(best), "hub").withColumn("certain", F.col("slack") + F.col("best.slack") >= 0)
     certain = known.where("certain and node <> best.node").select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b"))
 
     items = known.select("hub", "node", "certain", "slack", F.size("e").alias("k"), (F.col("slack") + F.col("best.slack")).alias("over"), F.explode("e").alias("item"))
@@ -90,9 +99,11 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     # Differences that two nodes must share at least, given the sum of their slacks.
     need = lambda over: F.greatest(F.lit(1), F.ceil(-over / (2.0 * (100 + percent))))
     rare = Window.partitionBy("hub", "node").orderBy("c", "item")
-    # Items that one node holds come first and cannot be shared; those whose holders all are linked already add nothing.
-    leading = items.join(count, ["hub", "item"]).withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("k") - need(F.col("over")) + 1)
-    leading = leading.where("c > 1 and not sure").join(joined, "node").select("hub", "item", "node", "certain", "component", "slack", (F.col("k") - F.col("place") + 1).alias("left"))
+    # Items that one node holds come first and cannot be shared, so only their number is needed; those whose holders all
+    # are linked already add nothing.
+    leading = items.join(count.where("c > 1"), ["hub", "item"]).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("hub", "node")))
+    leading = leading.withColumn("place", F.col("k") - F.col("held") + F.row_number().over(rare)).where(F.col("place") <= F.col("k") - need(F.col("over")) + 1)
+    leading = leading.where("not sure").join(joined, "node").select("hub", "item", "node", "certain", "component", "slack", (F.col("k") - F.col("place") + 1).alias("left"))
     leading = work.cut(leading, "leading")
     x, y = (leading.select("hub", "item", F.col("node").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in ("certain", "component", "slack", "left")]) for c in ("a", "b"))
     apart = (F.col("a") < F.col("b")) & ~(F.col("a_certain") & F.col("b_certain")) & (F.col("a_component") != F.col("b_component"))
@@ -126,7 +137,10 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
         return linked(work.cut(meets(near), name), sets, percent)
 
     def components(links: DataFrame) -> DataFrame:
-        return work.cut(settle(links, lambda e: work.cut(e, "edges")), "labels")
+        part = work.part("stars")
+        labels = work.cut(settle(links, lambda e: part.cut(e, "edges")), "labels")
+        part.close()
+        return labels
 
     hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", *carried)).alias("h"))
     first = hub.select("key", *[F.col(f"h.{c}").alias(f"y_{c}") for c in ("node", *carried)])
@@ -143,7 +157,7 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
         sizes = here.agg(F.max("m"), F.min("m")).first()
         if sizes[0] is None:
             return labels
-        found = []
+        found, part = [], work.part("turn")
         if sizes[1] <= small:
             few = here.where(F.col("m") <= small)
             apart = F.expr("x_node < y_node and x_component <> y_component")
@@ -160,11 +174,13 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
             found.append(checked(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "pairs"))
         if sizes[0] > small:
             large = here.where(F.col("m") > small)
-            kin, done, placed = families(work, large, turn, sets, meets, percent)
+            kin, done, placed = families(part, large, turn, sets, meets, percent)
+            placed = work.cut(placed, "families")
             settled = placed if settled is None else settled.unionByName(placed)
             found.append(kin)
             members = work.cut(large.select("key", "node", *carried).join(done, ["key", "node"], "left_anti"), "members")
         links = work.cut(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "links")
+        part.close()
         if not links.isEmpty():
             # Components so far stand for the links that made them.
             labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))

@@ -57,6 +57,32 @@ BROADCAST_IDS = 2_000_000
 
 _ODD = np.random.default_rng(23).integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _NO_ID = -(2**63)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def _packed(a: Column, b: Column) -> Column:
+    """Two small numbers as one, so that lists of them are as short in rows that are sent around as they are counted."""
+    return F.shiftleft(a.cast("long"), 32) + b.cast("long")
+
+
+def _unpacked(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and both numbers of all entries of a column of lists of ``_packed`` ones."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    both = column.flatten().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), both >> 32, both & 0xFFFFFFFF
+
+
+def _member(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among ``wanted``, where few are: their last bits rule out nearly all others before any search."""
+    out, wanted = np.zeros(len(x), bool), np.sort(wanted)
+    if len(wanted):
+        last, marks = np.uint64((1 << 20) - 1), np.zeros(1 << 20, bool)
+        marks[(wanted & last).astype(np.int64)] = True
+        some = np.flatnonzero(marks[(x & last).astype(np.int64)])
+        at = np.minimum(np.searchsorted(wanted, x[some]), len(wanted) - 1)
+        out[some[wanted[at] == x[some]]] = True
+    return out
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -95,7 +121,11 @@ class Text:
         size = b - a - k + 1
         items = W.gather(W.shingles(self.h, k), a, size, np.arange(len(a)))
         of = np.repeat(np.arange(len(a)), size)
-        order = np.lexsort((items, of))
+        # Paragraphs and the first bits of items in one number are sorted faster; later bits decide only where those agree.
+        key = of.astype(np.uint64) << np.uint64(40) | items >> np.uint64(24)
+        order = np.argsort(key)
+        if len(a) >= 1 << 24 or ((key[order[1:]] == key[order[:-1]]) & (items[order[1:]] != items[order[:-1]])).any():
+            order = np.lexsort((items, of))
         items, of = items[order], of[order]
         keep = np.concatenate(([True], (items[1:] != items[:-1]) | (of[1:] != of[:-1])))
         items, of = items[keep], of[keep]
@@ -266,7 +296,7 @@ def repeated_seeds(rows: DataFrame) -> DataFrame:
             seed, row = least[picked], text.row[at[picked]]
             owner = ids[first + row]
             # Places of a seed in its document: a second owner stands for the second place.
-            is_seed = np.isin(g, seed)
+            is_seed = _member(g, seed)
             place = np.flatnonzero(is_seed & (text.row[: len(g)] == text.row[SEED - 1 :][: len(g)]))
             order = np.lexsort((g[place], text.row[place]))
             p = place[order]
@@ -327,7 +357,7 @@ def run_hits(rows: DataFrame, lists: DataFrame, digest_bits: int = 64) -> DataFr
                 wanted = np.frombuffer(b"".join(packed), np.uint32).astype(np.uint64)
                 wanted |= np.repeat(np.arange(n, dtype=np.uint64), [len(x) // 4 for x in packed]) << np.uint64(32)
                 have = short(least, bits).astype(np.uint64) | text.row[at].astype(np.uint64) << np.uint64(32)
-                keep = np.isin(have, wanted)
+                keep = _member(have, wanted)
                 at, gone = at[keep], gone[keep]
                 if not len(at):
                     continue
@@ -368,6 +398,16 @@ def run_hits(rows: DataFrame, lists: DataFrame, digest_bits: int = 64) -> DataFr
     return packed.repartition(partitions(rows.sparkSession), "range").mapInArrow(meet, HIT)
 
 
+def _plain(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Words in lower case with one blank between those of a row, and where each begins and ends."""
+    keep, low = ~W.SPACE[data], _FOLD[data]
+    after = end[end < len(data)]
+    after = after[~keep[after]]
+    keep[after], low[after] = True, 32
+    place = np.cumsum(keep)
+    return low[keep].tobytes(), place[start] - 1, place[end - 1]
+
+
 def same_words(work: Workspace, rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Those of ``runs`` whose words are, one by one, those that the document which keeps them has there.
 
@@ -377,28 +417,27 @@ def same_words(work: Workspace, rows: DataFrame, runs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, at in W.chunks(batch.column("text"), CHUNK):
-                n, (start, end, of) = len(at) - 1, W.spans(data, at)
-                out, raw, start, end = [], data.tobytes(), start.tolist(), end.tolist()
-                for row, places, at in zip(batch.column("row").slice(first, n).to_pylist(), batch.column("places").slice(first, n).to_pylist(), np.searchsorted(of, np.arange(n)).tolist()):
-                    for x in places:
-                        words = raw[start[at + x["word"]] : end[at + x["stop"] - 1]].lower().split()
-                        out.append((row, x["word"], x["stop"], hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-                columns = zip(*out) if out else ((), (), (), ())
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["at_row", "a", "b", "read"])
-
-    here = runs.select(F.col("row").alias("at_row"), F.col("word").alias("a"), F.col("stop").alias("b"))
-    there = runs.select(F.col("keep_row").alias("at_row"), (F.col("word") + F.col("shift")).alias("a"), (F.col("stop") + F.col("shift")).alias("b"))
-    places = here.unionByName(there).distinct().groupBy(F.col("at_row").alias("row")).agg(F.collect_list(F.struct(F.col("a").alias("word"), F.col("b").alias("stop"))).alias("places"))
-    places = work.cut(places, "places")
+                start, end, of = W.spans(data, at)
+                low, begin, stop = _plain(data, start, end)
+                row, a, b = _unpacked(batch.column("places").slice(first, len(at) - 1))
+                word = np.searchsorted(of, np.arange(len(at) - 1))[row]
+                read = [hashlib.blake2b(low[i:j], digest_size=16).digest() for i, j in zip(begin[word + a].tolist(), stop[word + b - 1].tolist())]
+                two = np.frombuffer(b"".join(read), "<i8").reshape(-1, 2)
+                took = batch.column("row").take(pa.array(row + first))
+                yield pa.RecordBatch.from_arrays([took, pa.array(a << 32 | b), pa.array(two[:, 0]), pa.array(two[:, 1])], names=["at_row", "place", "x", "y"])
+
+    word, stop, shift = F.col("word"), F.col("stop"), F.col("shift")
+    runs = runs.withColumn("_a", _packed(word, stop)).withColumn("_b", _packed(word + shift, stop + shift))
+    places = runs.select("row", F.col("_a").alias("place")).unionByName(runs.select(F.col("keep_row").alias("row"), F.col("_b").alias("place")))
+    places = work.cut(places.groupBy("row").agg(F.collect_set("place").alias("places")), "places")
     # Texts without places stay where they are, also if places are too many to be sent around.
     some = rows.select("row", "text").join(small_side(places.select("row"), limit=BROADCAST_IDS), "row", "left_semi")
-    read = some.join(small_side(places, F.size("places") * 8), "row").mapInArrow(run, "at_row long, a int, b int, read binary").dropDuplicates(["at_row", "a", "b"])
+    read = some.join(small_side(places, F.size("places") * 8), "row").mapInArrow(run, "at_row long, place long, x long, y long").dropDuplicates(["at_row", "place"])
     read = work.cut(read, "read")
-    one = read.select(F.col("at_row").alias("row"), F.col("a").alias("word"), F.col("b").alias("stop"), F.col("read").alias("one"))
-    other = read.select(F.col("at_row").alias("keep_row"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("read").alias("other"))
-    kept = runs.join(one, ["row", "word", "stop"]).withColumn("_a", F.col("word") + F.col("shift")).withColumn("_b", F.col("stop") + F.col("shift")).join(other, ["keep_row", "_a", "_b"])
-    return kept.where("one = other").drop("_a", "_b", "one", "other")
+    one = read.select(F.col("at_row").alias("row"), F.col("place").alias("_a"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    other = read.select(F.col("at_row").alias("keep_row"), F.col("place").alias("_b"), "x", "y")
+    kept = runs.join(one, ["row", "_a"]).join(other, ["keep_row", "_b"])
+    return kept.where("x = _x and y = _y").drop("_a", "_b", "_x", "_y", "x", "y")
 
 
 def repeated_runs(work: Workspace, rows: DataFrame, percent: int, digest_bits: int = 64) -> DataFrame:
@@ -455,16 +494,18 @@ def removals(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = _slim(docs).where("text is not null").join(small_side(gone.select("row"), limit=BROADCAST_IDS), "row", "left_anti")
     lines = work.cut(whole_texts(docs, gone).unionByName(near_lines(early, rows, k, percent)), "lines-out")
     early.close()
-    cuts = lines.where("kind = 'line'").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    cuts = lines.where("kind = 'line'").groupBy("row").agg(F.collect_list(_packed(F.col("start"), F.col("end"))).alias("cuts"))
     cuts = small_side(work.cut(cuts, "cuts"), F.size("cuts") * 8, limit=BROADCAST_IDS)
-    found = cut(lines.unionByName(repeated_runs(work, rows.join(cuts, "row", "left"), percent)), "removals")
+    unpack = lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), x.bitwiseAND(0xFFFFFFFF).cast("int").alias("end"))
+    rows = rows.join(cuts, "row", "left").withColumn("cuts", F.transform("cuts", unpack))
+    found = cut(lines.unionByName(repeated_runs(work, rows, percent)), "removals")
     work.close()
     return found
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans cut out of their texts; documents of which no word is left are dropped."""
-    lists = cut(spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("_cut")), "spans")
+    lists = cut(spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(_packed(F.col("start"), F.col("end"))).alias("_cut")), "spans")
     names = docs.columns
     lists = small_side(lists, F.size("_cut") * 8, limit=BROADCAST_IDS)
     # A struct keeps the columns of ``docs`` apart from those of the join, whatever their names.
@@ -474,20 +515,22 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, cuts = dict(zip(names, batch.column("d").flatten())), batch.column("_cut").to_pylist()
-            column, texts, keep = whole["text"], [], []
+            whole = dict(zip(names, batch.column("d").flatten()))
+            column, texts, keep = whole["text"], [], [np.zeros(0, bool)]
             for first, data, at in W.chunks(column):
-                for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                    left = np.ones(b - a, bool)
-                    for c in cuts[first + i]:
-                        left[c["start"] : c["end"]] = False
-                    texts.append(data[a:b][left].tobytes().decode())
-                    keep.append(left.all() or bool((~W.SPACE[data[a:b][left]]).any()))
-            new = pa.array(texts, pa.string())
+                row, start, end = _unpacked(batch.column("_cut").slice(first, len(at) - 1))
+                inside = np.zeros(len(data) + 1, np.int64)
+                np.add.at(inside, at[row] + start, 1)
+                np.add.at(inside, at[row] + end, -1)
+                left = np.cumsum(inside[:-1]) == 0
+                to, words = (np.concatenate(([0], np.cumsum(x)))[at] for x in (left, left & ~W.SPACE[data]))
+                keep.append((np.diff(to) == np.diff(at)) | (np.diff(words) > 0))
+                texts.append(pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(data[left])]))
+            new = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
             changed = {"text": new}
             if "n_chars" in names:
                 changed["n_chars"] = pc.utf8_length(new)
-            out = pa.table({c: changed[c].cast(x.type) if c in changed else x for c, x in whole.items()}).filter(pa.array(keep, pa.bool_()))
+            out = pa.table({c: changed[c].cast(x.type) if c in changed else x for c, x in whole.items()}).filter(pa.array(np.concatenate(keep)))
             yield from out.to_batches()
 
     touched = joined.where(F.col("_cut").isNotNull() & F.col("d.text").isNotNull()).select("d", "_cut").mapInArrow(run, docs.schema)

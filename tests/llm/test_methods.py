@@ -326,3 +326,47 @@ def test_token_totals_read_no_ids(spark, tmp_path):
     token_orc.write_token_orc(docs, path, queries.tokenizer_file("word_bpe_49k.json"), 1)
     plan = token_orc.token_digest(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert [s.count("ids") for s in re.findall(r"ReadSchema: (struct<.*?>)\s", plan)].count(0) == 1
+
+
+def test_a_node_meets_few_hubs_however_many_keys_it_has(spark, monkeypatch):
+    """Near copies that share most of twenty keys meet the same few hubs under all of them."""
+    from pressgauge.llm import linking
+    from pressgauge.llm.scratch import Workspace
+
+    rng = random.Random(3)
+    keys = [(key, node) for node in range(200) for key in range(20) if rng.random() < 0.7]
+    members = spark.createDataFrame([(k, n, 30, n) for k, n in keys], "key long, node long, n int, component long")
+    sets = spark.createDataFrame([(n, [*range(29), 1000 + n]) for n in range(200)], "node long, items array<long>")
+    work, tables = Workspace(spark, "hubs"), {}
+    monkeypatch.setattr(work, "cut", lambda df, name, f=work.cut: tables.setdefault(name, f(df, name)))
+    linking.families(work, members, 1, sets, lambda pairs: pairs, 80)
+    assert tables["family-pairs"].count() <= 200 * 14
+    # The busiest members are hubs of nearly all keys that they have.
+    assert tables["leading"].count() == 0 and tables["family"].count() > 0
+
+
+def test_packed_places_and_few_among_many():
+    from pressgauge.llm.paragraph_dedup import _member, _plain
+    from pressgauge.llm.words import spans
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 22, 5000, dtype=np.uint64) << np.uint64(3)
+    for wanted in (x[::9], x[:0], rng.integers(0, 1 << 25, 700, dtype=np.uint64)):
+        assert (_member(x, wanted) == np.isin(x, wanted)).all()
+    texts = [b"One  TWO\tthree", b"", b"\xc3\x89 four", b" five\n"]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, end, row = spans(data, at)
+    low, begin, stop = _plain(data, start, end)
+    first = np.searchsorted(row, np.arange(5))
+    assert [low[begin[a] : stop[b - 1]] for a, b in zip(first, first[1:]) if b > a] == [b" ".join(t.lower().split()) for t in texts if t.split()]
+
+
+def test_lists_that_go_around_are_as_small_as_they_are_counted(spark):
+    """Spans are one number each: rows with lists of structs would be several times what ``small_side`` counts."""
+    docs = spark.createDataFrame([(i, "same line " * 30 + f"\nend {i}") for i in range(4)], "doc_id long, text string")
+    spans = paragraph_dedup.removals(docs)
+    plan = paragraph_dedup.without(docs, spans)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and re.search(r"_cut#\d+", plan)
+    assert paragraph_dedup._packed(F.col("a"), F.col("b")) is not None
+    got = spark.createDataFrame([(3, 7), (0, 2**31 - 1)], "a int, b int").select(paragraph_dedup._packed(F.col("a"), F.col("b")).alias("x"))
+    assert [(r.x >> 32, r.x & 0xFFFFFFFF) for r in got.collect()] == [(3, 7), (0, 2**31 - 1)]
