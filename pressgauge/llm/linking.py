@@ -77,7 +77,7 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     union = F.col("n") + F.col("hub_n") - F.col("common")
     # Within distance 1/2 of the hub; close ones are nearer by the distance that a link may have.
     ring = sized.where(F.col("common") * 2 >= union).withColumn("close", F.col("common") * 100 >= (150 - percent) * union)
-    ring = work.cut(ring.select("hub", "hub_n", "node", "n", "d", "close"), "ring")
+    ring = work.cut_small(ring.select("hub", "hub_n", "node", "n", "d", "close"), "ring")
     own = ring.select("hub", F.col("hub_n").alias("n")).distinct().select("hub", F.col("hub").alias("node"), "n", F.array().cast("array<long>").alias("d"), F.lit(True).alias("close"))
     ring = ring.drop("hub_n").unionByName(own)
     # Any reference gives the same links; what the close members say settles it, as they have few differences.
@@ -120,6 +120,25 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     return certain.unionByName(shared).distinct(), done, known.select("hub", "node")
 
 
+def sharing_rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs x, y of (node, n, ...) that share one of the rarest items of either, each with a prefix for its columns.
+
+    Two linked sets of n and m items share one of the n - ceil(t n) + 1 items of either that the fewest of ``nodes`` hold,
+    and at the first such item all that they share lies from there on. A pair comes once per item, though no pair that can
+    be linked is left out.
+    """
+    items = nodes.select("node", "n").join(side(sets, "node", "items"), "node").select("node", "n", F.explode("items").alias("item"))
+    count = items.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Items that one node holds come first and cannot be shared, so only their number is needed.
+    leading = items.join(count, "item").withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    leading = leading.withColumn("place", F.col("n") - F.col("held") + F.row_number().over(Window.partitionBy("node").orderBy("c", "item")))
+    leading = leading.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    leading = leading.select("node", "item", (F.col("n") - F.col("place") + 1).alias("left")).join(nodes, "node")
+    x, y = (leading.select("item", *[F.col(c).alias(f"{p}{c}") for c in leading.columns if c != "item"]) for p in ("x_", "y_"))
+    enough = F.least("x_left", "y_left") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+    return x.join(y, "item").where(enough & (F.col("x_node") < F.col("y_node")))
+
+
 def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fits: Callable[[str, str], Column], meets: Callable[[DataFrame], DataFrame], keys: DataFrame) -> DataFrame:
     """(node, component) for the nodes that have a link; other nodes are components of their own.
 
@@ -134,7 +153,7 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
         return here.select("key", *[F.col(c).alias(f"{prefix}{c}") for c in ("node", *extra, *carried)])
 
     def checked(near: DataFrame, name: str) -> DataFrame:
-        return linked(work.cut(meets(near), name), sets, percent)
+        return linked(work.cut_small(meets(near), name), sets, percent)
 
     def components(links: DataFrame) -> DataFrame:
         part = work.part("stars")
@@ -147,7 +166,7 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
     stars = sides(members, "x_").join(first, "key").where(F.col("x_node") != F.col("y_node")).where(fits("x_", "y_"))
     stars = stars.groupBy(F.col("x_node").alias("a"), F.col("y_node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     stars = stars.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    labels = components(work.cut(checked(stars, "stars"), "links"))
+    labels = components(work.cut_small(checked(stars, "stars"), "links"))
     settled = None
     for turn in itertools.count(1):
         small = SMALL * GROWTH ** max(0, turn - ROUNDS)
@@ -162,24 +181,29 @@ def link(work: Workspace, members: DataFrame, sets: DataFrame, percent: int, fit
             few = here.where(F.col("m") <= small)
             apart = F.expr("x_node < y_node and x_component <> y_component")
             if settled is None:
-                across = sides(few, "x_", "component").join(sides(few, "y_", "component"), "key").where(apart)
+                across = sides(few, "x_", "component").join(sides(few, "y_", "component"), "key").where(apart).where(fits("x_", "y_"))
             else:
-                # A pair belongs to the first key that it shares: there it was or will be settled if not here.
-                few = few.join(settled.groupBy("node").agg(F.collect_set("hub").alias("families")), "node", "left").join(keys, "node")
                 met = F.coalesce(F.arrays_overlap("x_families", "y_families"), F.lit(False))
-                first = F.col("key") == F.element_at(F.array_intersect("x_keys", "y_keys"), 1)
-                more = ("component", "families", "keys")
-                across = sides(few, "x_", *more).join(sides(few, "y_", *more).withColumnRenamed("key", "y_key"), F.col("key") == F.col("y_key")).where(apart & ~met & first)
-            across = across.where(fits("x_", "y_"))
+                in_families = settled.groupBy("node").agg(F.collect_set("hub").alias("families"))
+                nodes = part.cut(few.groupBy("node").agg(F.first("component").alias("component"), F.first("n").cast("long").alias("n"), F.collect_set("key").alias("left_keys")), "open-nodes")
+                if few.agg(F.sum(F.col("m") - 1)).first()[0] > 2 * nodes.agg(F.sum("n")).first()[0]:
+                    # Keys that so many share make more pairs than their nodes have items.
+                    across = sharing_rare(nodes.join(in_families, "node", "left"), sets, percent).where(apart & ~met & F.arrays_overlap("x_left_keys", "y_left_keys"))
+                else:
+                    # A pair belongs to the first key that it shares: there it was or will be settled if not here.
+                    few = few.join(in_families, "node", "left").join(keys, "node")
+                    first = F.col("key") == F.element_at(F.array_intersect("x_keys", "y_keys"), 1)
+                    more = ("component", "families", "keys")
+                    across = sides(few, "x_", *more).join(sides(few, "y_", *more).withColumnRenamed("key", "y_key"), F.col("key") == F.col("y_key")).where(apart & ~met & first).where(fits("x_", "y_"))
             found.append(checked(across.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "pairs"))
         if sizes[0] > small:
             large = here.where(F.col("m") > small)
             kin, done, placed = families(part, large, turn, sets, meets, percent)
-            placed = work.cut(placed, "families")
+            placed = work.cut_small(placed, "families")
             settled = placed if settled is None else settled.unionByName(placed)
             found.append(kin)
             members = work.cut(large.select("key", "node", *carried).join(done, ["key", "node"], "left_anti"), "members")
-        links = work.cut(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "links")
+        links = work.cut_small(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "links")
         part.close()
         if not links.isEmpty():
             # Components so far stand for the links that made them.

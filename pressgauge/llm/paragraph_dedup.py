@@ -52,6 +52,8 @@ SEED = 5
 CHUNK = 1 << 20
 #: Postings of several chunks that are packed together.
 TOGETHER = 1 << 17
+#: Hits that a batch between Python and Spark holds.
+HITS = 50_000
 #: Copies of texts and other single numbers may be broadcast up to so many.
 BROADCAST_IDS = 2_000_000
 
@@ -327,14 +329,16 @@ def _ranked(digest: np.ndarray, places: dict[str, np.ndarray]) -> tuple[np.ndarr
 HIT = "doc_id long, row long, word int, start int, end int, digest long, keep_id long, keep_row long, keep_word int, keep_end int, keeper int"
 
 
-def _hits(digest: np.ndarray, p: dict[str, np.ndarray], of: np.ndarray, keeper: np.ndarray) -> pa.RecordBatch:
+def _hits(digest: np.ndarray, p: dict[str, np.ndarray], of: np.ndarray, keeper: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Places that are not the first of their digest, with that first. ``keeper``: 0 it stays, 1 and 2 it is a chunk's."""
-    again = np.flatnonzero(of != np.arange(len(of)))
-    first = of[again]
-    ids = [pa.array(p["ids"][x], mask=p["ids"][x] == _NO_ID) for x in (again, first)]
-    columns = [ids[0], *(pa.array(p[c][again]) for c in ("rows", "words", "starts", "ends")), pa.array(digest[again].view(np.int64))]
-    columns += [ids[1], *(pa.array(p[c][first]) for c in ("rows", "words", "ends")), pa.array(keeper[again])]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HIT.split(", ")])
+    found = np.flatnonzero(of != np.arange(len(of)))
+    for a in range(0, len(found), HITS):
+        again = found[a : a + HITS]
+        first = of[again]
+        ids = [pa.array(p["ids"][x], mask=p["ids"][x] == _NO_ID) for x in (again, first)]
+        columns = [ids[0], *(pa.array(p[c][again]) for c in ("rows", "words", "starts", "ends")), pa.array(digest[again].view(np.int64))]
+        columns += [ids[1], *(pa.array(p[c][first]) for c in ("rows", "words", "ends")), pa.array(keeper[again])]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HIT.split(", ")])
 
 
 def run_hits(rows: DataFrame, lists: DataFrame, digest_bits: int = 64) -> DataFrame:
@@ -371,7 +375,9 @@ def run_hits(rows: DataFrame, lists: DataFrame, digest_bits: int = 64) -> DataFr
                     # Followers travel with the run they follow, whole groups together.
                     many = np.flatnonzero(np.bincount(of, minlength=len(of))[of] > 1)
                     back = np.searchsorted(many, of[many]).astype(np.int32)
-                    out.append((int(tops[0] >> np.uint64(64 - bits)), d[many].tobytes(), *[p[c][many].tobytes() for c, _ in _PLACES], back.tobytes()))
+                    # They meet nothing there, so any range will do; the chunk's least digest would name the same for all.
+                    dealt = (int(p["rows"][0]) & 0x7FFFFFFF) >> max(0, 31 - bits)
+                    out.append((dealt, d[many].tobytes(), *[p[c][many].tobytes() for c, _ in _PLACES], back.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,12 +391,12 @@ def run_hits(rows: DataFrame, lists: DataFrame, digest_bits: int = 64) -> DataFr
                 else:
                     p = {c: np.frombuffer(x[c], kind) for c, kind in _PLACES}
                     of = np.frombuffer(x["first"], np.int32)
-                    yield _hits(np.frombuffer(x["keys"], np.uint64), p, of, 1 + p["touched"][of].astype(np.int32))
+                    yield from _hits(np.frombuffer(x["keys"], np.uint64), p, of, 1 + p["touched"][of].astype(np.int32))
         if keys:
             d, p, of = _ranked(np.concatenate(keys), {c: np.concatenate(v) for c, v in parts.items()})
             # A first run that touches a removed line keeps nothing.
             of = np.where(p["touched"][of] > 0, np.arange(len(of)), of)
-            yield _hits(d, p, of, np.zeros(len(of), np.int32))
+            yield from _hits(d, p, of, np.zeros(len(of), np.int32))
 
     lists = small_side(lists, F.aggregate("seeds", F.lit(0), lambda n, x: n + F.octet_length(x)), limit=BROADCAST_IDS)
     some = rows.join(lists, "row").select("doc_id", "row", "text", "cuts", "seeds")

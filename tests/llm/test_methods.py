@@ -370,3 +370,42 @@ def test_lists_that_go_around_are_as_small_as_they_are_counted(spark):
     assert paragraph_dedup._packed(F.col("a"), F.col("b")) is not None
     got = spark.createDataFrame([(3, 7), (0, 2**31 - 1)], "a int, b int").select(paragraph_dedup._packed(F.col("a"), F.col("b")).alias("x"))
     assert [(r.x >> 32, r.x & 0xFFFFFFFF) for r in got.collect()] == [(3, 7), (0, 2**31 - 1)]
+
+
+def test_a_passage_that_many_unlike_lines_hold_makes_few_pairs(spark, monkeypatch):
+    """Lines that share a common passage, and with it keys, are compared only where they share rare items too."""
+    from pressgauge.llm import linking
+    from pressgauge.llm.scratch import Workspace
+
+    common = list(range(60))
+    sets = [(n, [*common, *range(1000 * n, 1000 * n + 30)]) for n in range(1, 121)]
+    # The last one is a near copy of the first.
+    sets[-1] = (120, [*sets[0][1][:-2], 7_000_001, 7_000_002])
+    nodes = spark.createDataFrame([(n, n, len(items)) for n, items in sets], "node long, component long, n long")
+    items = spark.createDataFrame(sets, "node long, items array<long>")
+    got = linking.sharing_rare(nodes, items, 80).select("x_node", "y_node").collect()
+    assert {tuple(r) for r in got} == {(1, 120)}
+    # With all of the way there: keys of all of them, no family that settles them.
+    members = spark.createDataFrame([(k, n, len(i)) for k in range(3) for n, i in sets], "key long, node long, n int")
+    work, tables = Workspace(spark, "rare"), {}
+    monkeypatch.setattr(linking, "SMALL", 1)
+    cut = Workspace.cut
+    monkeypatch.setattr(Workspace, "cut", lambda self, df, name: tables.setdefault(name, []).append(df := cut(self, df, name)) or df)
+    monkeypatch.setattr(Workspace, "close", lambda self: None)
+    labels = linking.link(work, members, items, 80, lambda x, y: F.lit(True), lambda pairs: pairs, members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    assert {(r.node, r.component) for r in labels.collect()} == {(1, 1), (120, 1)}
+    assert sum(t.count() for t in tables["pairs"]) <= 10
+
+
+def test_followers_of_all_chunks_are_dealt_out(spark, monkeypatch):
+    """What repeats within a chunk goes to many ranges, not all to that of the least digest; batches of hits are bounded."""
+    monkeypatch.setattr(paragraph_dedup, "HITS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        docs = spark.createDataFrame([(i, f"{prose(7000 + i, 300)} {prose(9000 + i, 5)} {prose(7000 + i, 300)}") for i in range(40)], "doc_id long, text string").repartition(4)
+        rows = paragraph_dedup._slim(docs).withColumn("cuts", F.expr("cast(null as array<struct<start: int, end: int>>)"))
+        hits = paragraph_dedup.run_hits(rows, paragraph_dedup.repeated_seeds(rows))
+        dealt = hits.where("keeper > 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["count"] for r in dealt) == 40 * 281 and len(dealt) >= 2
