@@ -5,7 +5,7 @@ a hub, and every node is compared with that hub that it shares the most keys wit
 no further edge, so keys whose nodes all lie in one component are finished. Of the others, small keys have their pairs
 across components verified. Large ones may be groups of near copies, and are settled by families first:
 
-A large key names a few hubs. A family is a hub and the nodes of its keys that are somewhat similar to it. Its reference is the set of items that
+A large key names a hub. A family is a hub and the nodes of its keys that are somewhat similar to it. Its reference is the set of items that
 most of those close to the hub hold, and every node is known by its differences from the reference. For nodes x and y the
 symmetric difference has |x| + |y| - 2 * (shared) differences, so with the slack
 S = (100 - percent) * size - (100 + percent) * differences two nodes are linked for certain if S(x) + S(y) >= 0, and
@@ -32,11 +32,7 @@ from pressgauge.operators.components import components as settle
 
 #: Members up to which a key's pairs across components are compared in the first ``ROUNDS`` rounds, and how that number
 #: grows in every round after them.
-SMALL, ROUNDS, GROWTH = 16, 2, 64
-#: Hubs that a large key names in a round; every member of the key meets each of them.
-HUBS = 4
-#: How many of them are the members of most keys.
-CENTRAL = 3
+SMALL, ROUNDS, GROWTH = 16, 1, 1024
 
 
 def side(sets: DataFrame, node: str, items: str) -> DataFrame:
@@ -58,13 +54,12 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     """
     joined = members.select("node", "component").distinct()
     members = members.select("key", "node", F.col("n").cast("long").alias("s"))
-    # Most hubs are the members of most keys: those are the same in many keys, so that a node meets few hubs however many
-    # keys it has. The others are drawn, so that what is unlike the busiest members is met as well.
+    # The first hubs are the members of most keys: those are the same in many keys, so that a node meets few hubs however
+    # many keys it has. Later ones are drawn, so that what is unlike the busiest members is met as well.
     busy = members.groupBy("node").agg((-F.count(F.lit(1))).alias("busy"))
-    drawn = lambda i: F.xxhash64("node", F.lit(turn * HUBS + i)).alias("o")
-    first = lambda i: F.min(F.struct(F.when(F.lit(i < CENTRAL), F.col("busy")).alias("p"), drawn(i), "node", "s"))
-    named = members.join(busy, "node").groupBy("key").agg(F.array(*[first(i) for i in range(HUBS)]).alias("h"))
-    named = work.cut(named.select("key", F.array_distinct(F.transform("h", lambda h: F.struct(h["node"].alias("node"), h["s"].alias("s")))).alias("h")), "hubs")
+    order = F.struct(F.when(F.lit(turn == 1), F.col("busy")).alias("p"), F.xxhash64("node", F.lit(turn)).alias("o"), "node", "s")
+    named = members.join(busy, "node").groupBy("key").agg(F.min(order).alias("h"))
+    named = work.cut(named.select("key", F.array(F.struct(F.col("h.node").alias("node"), F.col("h.s").alias("s"))).alias("h")), "hubs")
     near = F.filter("h", lambda h: F.least("s", h["s"]) * 2 >= F.greatest("s", h["s"]))
     # A row per key and node, whatever the number of hubs; hubs that several keys of a node name are one pair.
     placed = work.cut(members.join(named, "key").select("key", "node", F.transform(near, lambda h: h["node"]).alias("hubs")), "placed")
@@ -75,8 +70,8 @@ def families(work: Workspace, members: DataFrame, turn: int, sets: DataFrame, me
     sized = both.select("hub", "node", F.size("x").cast("long").alias("hub_n"), F.size("y").cast("long").alias("n"), apart.alias("d"))
     sized = sized.withColumn("common", (F.col("n") + F.col("hub_n") - F.size("d")) / 2)
     union = F.col("n") + F.col("hub_n") - F.col("common")
-    # Within distance 1/2 of the hub; close ones are nearer by the distance that a link may have.
-    ring = sized.where(F.col("common") * 2 >= union).withColumn("close", F.col("common") * 100 >= (150 - percent) * union)
+    # Within twice the distance that a link may have; close ones are within that distance itself.
+    ring = sized.where(F.col("common") * 100 >= (2 * percent - 100) * union).withColumn("close", F.col("common") * 100 >= percent * union)
     ring = work.cut_small(ring.select("hub", "hub_n", "node", "n", "d", "close"), "ring")
     own = ring.select("hub", F.col("hub_n").alias("n")).distinct().select("hub", F.col("hub").alias("node"), "n", F.array().cast("array<long>").alias("d"), F.lit(True).alias("close"))
     ring = ring.drop("hub_n").unionByName(own)
