@@ -4,8 +4,9 @@ A name's tokens of three letters or more are looked for among the tokens of its
 first five letters, or one that has a stem of three letters or more in common where both continue with case endings only.
 A person needs all tokens, any other name half of them; a name of shorter tokens only needs each of them as it is.
 
-Both sides are rows of match keys (the token, its first letters, its stems), so a name meets only the tokens that share a
-key with it; keys and documents are joined together, and no list of tokens is searched.
+Two tokens meet exactly if they share a match key: one of their beginnings or of their short stems (longer stems hold the
+same beginning). A text lies in one row with the keys that its names ask for and is cut to those of its own tokens there,
+so that only keys which are found become rows; names meet them by a join.
 
 Edge cases: null texts hold nothing; a name without letters or digits is not grounded; a null name is left out; rows that
 repeat a text are one text each for its names; an empty table gives no rows.
@@ -20,6 +21,8 @@ from pressgauge.functions import text as T
 
 #: Letters of the shortest token that counts, of a beginning, and of the shortest stem.
 TOKEN, BEGINNING, STEM = 3, 5, 3
+#: First letters of a document's names up to which a text's tokens are looked for among them.
+STARTS = 64
 # Endings of case and definiteness, folded; the empty one stands for the bare stem.
 ENDINGS = (
     "", "a", "e", "i", "u", "n", "s", "t", "en", "es", "et", "in", "it", "is", "ut", "un", "us",
@@ -36,22 +39,27 @@ def folded_tokens(text: Column) -> Column:
 
 
 def match_keys(token: Column) -> Column:
-    """Structs (key, rest) of a token: itself, its beginning, and each stem with the ending that follows it."""
-    whole = F.array(F.struct(F.concat(F.lit("="), token).alias("key"), F.lit("").alias("rest")))
-    begun = F.when(F.length(token) >= BEGINNING, F.array(F.struct(F.concat(F.lit("^"), F.substring(token, 1, BEGINNING)).alias("key"), F.lit("").alias("rest"))))
-    stems = [
-        F.when(token.endswith(e) & (F.length(token) - len(e) >= STEM), F.struct(F.concat(F.lit("~"), F.substring(token, F.lit(1), F.length(token) - len(e))).alias("key"), F.lit(e).alias("rest")))
-        for e in ENDINGS
-    ]
-    return F.concat(whole, F.coalesce(begun, F.array().cast("array<struct<key:string,rest:string>>")), F.array_compact(F.array(*stems)))
+    """Keys of a token, of which two tokens share one exactly if they meet.
 
+    A short token has itself; others have their beginning and each stem of three or four letters that an ending follows.
+    Two endings after one stem are still endings after all the letters that both words share, whichever letter that is,
+    but for "er": beside another ending in "e" it would leave "r". So these two have one key of a stem each, others both.
+    """
+    out = [F.when(F.length(token) < TOKEN, F.concat(F.lit("="), token)), F.when(F.length(token) >= BEGINNING, F.concat(F.lit("^"), F.substring(token, 1, BEGINNING)))]
+    for n in range(STEM, BEGINNING):
+        stem, rest = F.substring(token, 1, n), F.substring(token, n + 1, BEGINNING)
+        fits = (F.length(token) >= n) & rest.isin(*ENDINGS)
+        out.append(F.when(fits & (rest != "er"), F.concat(F.lit("~"), stem)))
+        out.append(F.when(fits & ((rest == "er") | ~rest.startswith("e")), F.concat(F.lit("~"), stem, F.lit("+"))))
+    return F.array_compact(F.array(*out))
 
-def _endings_meet(a: Column, b: Column) -> Column:
-    """Whether two endings after one stem are still endings after all the letters that both words share.
 
-    They are, whichever letter two endings share, but for "er": beside another ending in "e" it would leave "r".
-    """
-    return (a == b) | (F.substring(a, 1, 1) != F.substring(b, 1, 1)) | ~F.lit("er").isin(a, b)
+def held_keys(text: Column, wanted: Column, starts: Column) -> Column:
+    """The keys of ``wanted`` that a text's tokens have; ``starts`` are the first letters of all names' tokens."""
+    tokens = folded_tokens(text)
+    # Tokens that meet have their first letters in common; for long lists, keys are cheaper than looking there.
+    near = F.when(F.size(starts) <= STARTS, F.filter(tokens, lambda t: F.array_contains(starts, F.substring(t, 1, STEM)))).otherwise(tokens)
+    return F.array_intersect(wanted, F.flatten(F.transform(near, match_keys)))
 
 
 def grounded(names: DataFrame, texts: DataFrame) -> DataFrame:
@@ -61,10 +69,10 @@ def grounded(names: DataFrame, texts: DataFrame) -> DataFrame:
     long = F.filter(tokens, lambda t: F.length(t) >= TOKEN)
     asked = asked.withColumn("wanted", F.when(F.size(long) > 0, long).otherwise(tokens)).withColumn("exact", F.size(long) == 0)
     one = asked.select("doc_id", "name", "type", "exact", F.explode("wanted").alias("token"))
-    keyed = one.select("*", F.explode(match_keys(F.col("token"))).alias("k")).where("not exact or k.key like '=%'").select("doc_id", "name", "type", "token", "k.key", "k.rest")
-    held = texts.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(folded_tokens(F.col("text"))).alias("t")).distinct()
-    held = held.select("doc_id", F.explode(match_keys(F.col("t"))).alias("k")).select("doc_id", "k.key", F.col("k.rest").alias("has")).distinct()
-    found = keyed.join(held, ["doc_id", "key"]).where(_endings_meet(F.col("rest"), F.col("has"))).select("doc_id", "name", "type", "token").distinct()
+    keyed = one.select("*", F.explode(match_keys(F.col("token"))).alias("key")).select("doc_id", "name", "type", "token", "key")
+    sought = keyed.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(F.substring("token", 1, STEM)).alias("starts"))
+    held = texts.join(sought, "doc_id").select("doc_id", F.explode(held_keys(F.col("text"), F.col("keys"), F.col("starts"))).alias("key"))
+    found = keyed.join(held, ["doc_id", "key"]).select("doc_id", "name", "type", "token").distinct()
     hits = found.groupBy("doc_id", "name", "type").agg(F.count(F.lit(1)).alias("hits")).select(F.col("doc_id").alias("_doc"), F.col("name").alias("_name"), F.col("type").alias("_type"), "hits")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("name") == F.col("_name")) & F.col("type").eqNullSafe(F.col("_type"))
     n, got = F.size("wanted"), F.coalesce("hits", F.lit(0))

@@ -97,6 +97,31 @@ def test_grounding_equals_the_rule(spark):
     assert 50 < sum(got.values()) < len(got) - 100
 
 
+def rows_of(plan, node):
+    """Rows that the nodes of a name put out."""
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == node else 0
+    return own + sum(rows_of(plan.children().apply(i), node) for i in range(plan.children().size()))
+
+
+def test_words_that_no_name_asks_for_make_no_rows(spark):
+    """A thousand words that are not asked for, beside a name each and beside more names than are looked up by their first letters."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    names = [f"{a}{b}{c}{a}" for a in letters[:5] for b in "aeiou" for c in letters[:5]]
+    texts = {i: " ".join(f"{i}word{k:04d}" for k in range(1000)) for i in range(4)}
+    texts |= {5: texts[1] + " ostani", 6: " ".join([texts[2], *names[::2]])}
+    asked = [(i, "Osman", "person") for i in texts] + [(6, n.title(), "location") for n in names]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = grounding.grounded(spark.createDataFrame(asked, "doc_id long, name string, type string"), spark.createDataFrame([*texts.items()], "doc_id long, text string"))
+        got = {(r.doc_id, r.name): r.grounded for r in df.collect()}
+        rows = rows_of(df._jdf.queryExecution().executedPlan(), "Generate")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < rows < 1500
+    assert got == {(i, n): plain_grounded(n, t, texts[i]) for i, n, t in asked} and sum(got.values()) == 63
+    assert len(names) > grounding.STARTS
+
+
 @pytest.mark.parametrize("summary,missing", [
     ("Ministrja Osmani takoi 12 deputetë. Qeveria foli.", {"Osmani"}), ("Kurti dhe Osmanit folën për 12,5 milionë.", {"12,5", "Osmanit"}), ("Prishtinës i duhen 12.", set()),
     ("Foli “Berisha” dhe pastaj Berisha në Prishtinën.", {"Berisha"}), (None, set()), ("", set()), ("Në BE dhe UN 1.5.", {"1.5."}),
